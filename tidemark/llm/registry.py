@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe_codec import op7_byte_bpe
+from tidemark.llm.id_files import op10_arrow_ids
+from tidemark.llm.packing import op8_best_fit
+
+QUERIES = [op7_byte_bpe, op8_best_fit, op10_arrow_ids]
 
 
 def queries() -> dict:
-    return {"op7_byte_bpe": op7_byte_bpe}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
