@@ -5,10 +5,12 @@ from __future__ import annotations
 from tidemark.llm.bpe_codec import op7_byte_bpe
 from tidemark.llm.id_files import op10_arrow_ids
 from tidemark.llm.packing import op8_best_fit
+from tidemark.llm.quality import op2_robust_quality
 from tidemark.llm.simhash import op6_simhash
 from tidemark.llm.suffix_tree import op1_suffix_tree
+from tidemark.llm.toxicity import op5_toxicity
 
-QUERIES = [op1_suffix_tree, op6_simhash, op7_byte_bpe, op8_best_fit, op10_arrow_ids]
+QUERIES = [op1_suffix_tree, op2_robust_quality, op5_toxicity, op6_simhash, op7_byte_bpe, op8_best_fit, op10_arrow_ids]
 
 
 def queries() -> dict:
