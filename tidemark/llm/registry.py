@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe_codec import op7_byte_bpe
+from tidemark.llm.chat import op4_event_chat
 from tidemark.llm.id_files import op10_arrow_ids
 from tidemark.llm.packing import op8_best_fit
 from tidemark.llm.quality import op2_robust_quality
 from tidemark.llm.simhash import op6_simhash
 from tidemark.llm.suffix_tree import op1_suffix_tree
+from tidemark.llm.topk import OP3_SQL, op3_norm_buckets
 from tidemark.llm.toxicity import op5_toxicity
 
-QUERIES = [op1_suffix_tree, op2_robust_quality, op5_toxicity, op6_simhash, op7_byte_bpe, op8_best_fit, op10_arrow_ids]
+QUERIES = [op1_suffix_tree, op2_robust_quality, op3_norm_buckets, op4_event_chat, op5_toxicity, op6_simhash, op7_byte_bpe, op8_best_fit, op10_arrow_ids]
 
 
 def queries() -> dict:
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_norm_buckets": OP3_SQL}
