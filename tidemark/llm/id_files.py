@@ -35,7 +35,7 @@ from tidemark.llm.sequences import with_end
 from tidemark.llm.shared import map_arrow, shared_folder, written
 
 #: Ids of a sequence; sequences of a record batch; documents of a file, about.
-LENGTH, BATCH, FILE_DOCS = 2048, 256, 16_384
+LENGTH, BATCH, FILE_DOCS = 2048, 256, 8_192
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
 
@@ -59,15 +59,15 @@ def id_type(merges) -> str:
     return "<u2" if max(merges.strings) < 1 << 16 else "<u4"
 
 
-def write(df: DataFrame, kind: str, length: int = LENGTH, file_docs: int = FILE_DOCS) -> DataFrame:
+def write(df: DataFrame, keys: DataFrame, kind: str, length: int = LENGTH, file_docs: int = FILE_DOCS) -> DataFrame:
     """Writes (doc_id, ids) as files in the shared folder.  Returns the manifest: file, first_doc, docs, tokens, start.
 
-    Bounds of the ranges come from doc_id alone, so that the ids are made once.
+    keys: the column doc_id of all documents, read from their source.  Bounds of the
+    ranges come from it, so that the ids are made once.
     """
     folder = f"{shared_folder(df.sparkSession)}/ids-{uuid.uuid4().hex}"
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root)
-    keys = df.select("doc_id")
     n = max(1, -(-keys.count() // file_docs))
     cuts = [] if n == 1 else keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -190,4 +190,4 @@ def op10_arrow_ids(spark, sf_dir: str) -> DataFrame:
     """All documents as files of ids, read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
     path = public_tokenizers.path(VOCABULARY)
-    return read_documents(write(encoded(docs, path), id_type(load(path))))
+    return read_documents(write(encoded(docs, path), docs.select("doc_id"), id_type(load(path))))
