@@ -9,10 +9,11 @@ from tidemark.llm.packing import op8_best_fit
 from tidemark.llm.quality import op2_robust_quality
 from tidemark.llm.simhash import op6_simhash
 from tidemark.llm.suffix_tree import op1_suffix_tree
+from tidemark.llm.urls import op9_url_filter
 from tidemark.llm.topk import OP3_SQL, op3_norm_buckets
 from tidemark.llm.toxicity import op5_toxicity
 
-QUERIES = [op1_suffix_tree, op2_robust_quality, op3_norm_buckets, op4_event_chat, op5_toxicity, op6_simhash, op7_byte_bpe, op8_best_fit, op10_arrow_ids]
+QUERIES = [op1_suffix_tree, op2_robust_quality, op3_norm_buckets, op4_event_chat, op5_toxicity, op6_simhash, op7_byte_bpe, op8_best_fit, op9_url_filter, op10_arrow_ids]
 
 
 def queries() -> dict:
