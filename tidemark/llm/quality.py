@@ -22,6 +22,7 @@ gives no rows; columns besides id, text, language and source are not read.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textstats
 from tidemark.llm.buffers import blocks, text_buffer
-from tidemark.llm.shared import map_arrow, written
+from tidemark.llm.shared import map_arrow, with_columns_from_text, written
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -111,16 +112,16 @@ def _solved(moments: DataFrame, floors: list[float], share: float) -> DataFrame:
     return moments.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(y["g"]), pa.array(y["mean"], pa.list_(pa.float64())), pa.array(y["inverse"], pa.list_(pa.float64()))], ["g", "mean", "inverse"]) for b in batches if b.num_rows for y in make(b)), "g string, mean array<double>, inverse array<double>")
 
 
-def robust_distances(rows: DataFrame, floors: list[float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """rows (g and x0, x1, ..., in a table) with d2, the squared Mahalanobis distance under the group's robust estimate."""
+def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """g, mean, inverse and n of every group of rows (a table of g and x0, x1, ...)."""
     k = len(floors)
     names = [f"x{i}" for i in range(k)]
     middle = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(x) for x in names]
-    start = rows.groupBy("g").agg(*middle)
+    start = rows.groupBy("g").agg(F.count("*").alias("n"), *middle)
     spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in zip(names, floors)]
     inverse = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(k) for j in range(k)]
-    estimate = written(start.select("g", F.array(*(F.col(x)[1] for x in names)).alias("mean"), F.array(*inverse).alias("inverse")), "start")
-    groups = estimate.count()
+    first = written(start.select("g", "n", F.array(*(F.col(x)[1] for x in names)).alias("mean"), F.array(*inverse).alias("inverse")), "start")
+    groups, estimate = first.count(), first.select("g", "mean", "inverse")
     for step in range(steps):
         scored = _attached(rows, estimate, groups).select("g", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
         per_bin = scored.groupBy("g", "bin").agg(F.count("*").alias("n"))
@@ -131,32 +132,65 @@ def robust_distances(rows: DataFrame, floors: list[float], share: float = SHARE,
         products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
         moments = near.groupBy("g").agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(x) for x in names), *products)
         estimate = written(_solved(moments, floors, share), f"estimate{step}")
-    return _attached(rows, estimate, groups).withColumn("d2", _distance(k)).drop("mean", "inverse")
+    return estimate.join(first.select("g", "n"), "g")
 
 
-def judged(df: DataFrame, statistics: dict[str, float] = STATISTICS, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and d2 (null where the base rule decides) of every row of (doc_id, text, lang, source)."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))  # noqa: E731  null and empty differ
-    counted = written(text_counts(df).withColumn("base_failed", base_failed()).withColumn("own", F.concat_ws("\n", name("lang"), name("source"))).withColumn("tongue", name("lang")), "counts")
-    sizes = counted.where("not base_failed").groupBy("own", "tongue").agg(F.count("*").alias("n"))
+@dataclass
+class Rule:
+    """Fitted estimates: own (language and source) to mean, inverse and n; groups counts its rows."""
+
+    table: DataFrame
+    groups: int
+    statistics: dict[str, float]
+    cutoff: float
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """rows (the counts, own) with base_failed, d2 and kept, each row once."""
+        k = len(self.statistics)
+        passed = rows.withColumn("base_failed", base_failed())
+        joined = passed.join(F.broadcast(self.table) if self.groups <= BROADCAST_GROUPS else self.table, "own", "left")
+        for i, s in enumerate(self.statistics):
+            joined = joined.withColumn(f"x{i}", F.expr(s).cast("double"))
+        d2 = F.when(~F.col("base_failed"), _distance(k))
+        kept = ~F.col("base_failed") & F.coalesce((F.col("n") < 2 * k) | (F.col("d2") <= self.cutoff), F.lit(True))
+        return joined.withColumn("d2", d2).withColumn("kept", kept).drop("mean", "inverse", "n", *(f"x{i}" for i in range(k)))
+
+
+def own_group(lang: Column, source: Column) -> tuple[Column, Column]:
+    """A name for language and source together, and for the language; null and empty differ."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    return F.concat_ws("\n", name(lang), name(source)), name(lang)
+
+
+def fitted(counted: DataFrame, statistics: dict[str, float] = STATISTICS, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> Rule:
+    """The rule that all rows of counted (a table of lang, source and the counts) give."""
+    own, tongue = own_group(F.col("lang"), F.col("source"))
+    good = counted.where(~base_failed()).select(own.alias("own"), tongue.alias("tongue"), *(F.expr(s).cast("double").alias(f"x{i}") for i, s in enumerate(statistics)))
+    sizes = good.groupBy("own", "tongue").agg(F.count("*").alias("n"))
     small = F.col("n") < least_rows
     pooled = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("tongue"))
-    plan = sizes.withColumn("pooled", pooled).select("own", F.when(~small, F.col("own")).when(F.col("pooled") >= least_rows, F.col("tongue")).otherwise("").alias("g"))
-    plan = written(plan, "groups")
-    floors = list(statistics.values())
-    # The table rows are kept whole: each is numbered by what it counts, never by position.
-    passed = counted.where("not base_failed")
-    placed = passed.join(F.broadcast(plan) if plan.count() <= BROADCAST_GROUPS else plan, "own")
-    vector = [F.expr(s).cast("double").alias(f"x{i}") for i, s in enumerate(statistics)]
-    rows = written(placed.select("doc_id", *COUNTS, "g", *vector), "vectors")
-    far = robust_distances(rows, floors)
-    few = rows.groupBy("g").agg((F.count("*") < 2 * len(floors)).alias("few"))
-    far = far.join(F.broadcast(few) if plan.count() <= BROADCAST_GROUPS else few, "g")
-    good = far.select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), (F.col("few") | (F.col("d2") <= cutoff)).alias("kept"), "d2")
-    bad = counted.where("base_failed").select("doc_id", *COUNTS, F.lit(True).alias("base_failed"), F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))
-    return good.unionByName(bad)
+    plan = written(sizes.withColumn("pooled", pooled).select("own", F.when(~small, F.col("own")).when(F.col("pooled") >= least_rows, F.col("tongue")).otherwise("").alias("g")), "groups")
+    groups = plan.count()
+    rows = written(good.join(F.broadcast(plan) if groups <= BROADCAST_GROUPS else plan, "own").drop("own", "tongue"), "vectors")
+    estimates = robust_estimates(rows, list(statistics.values()))
+    return Rule(written(plan.join(estimates, "g").drop("g"), "rule"), groups, statistics, cutoff)
+
+
+def judged(df: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and d2 (null where the base rule decides) of every row of (doc_id, text, lang, source)."""
+    counted = written(text_counts(df), "counts")
+    rule = fitted(counted)
+    return rule.applied(counted.withColumn("own", own_group(F.col("lang"), F.col("source"))[0])).select("doc_id", *COUNTS, "base_failed", "kept", "d2")
+
+
+def kept_rows(df: DataFrame) -> DataFrame:
+    """The rows of df, with all their columns, that the rules keep."""
+    rule = fitted(written(text_counts(df), "counts"))
+    schema = ", ".join(f"{c} long" for c in COUNTS)
+    seen = with_columns_from_text(df.select(F.struct("*").alias("row"), own_group(F.col("lang"), F.col("source"))[0].alias("own"), "text"), textstats.counts, schema).drop("text")
+    return rule.applied(seen).where("kept").select("row.*")
 
 
 def op2_robust_quality(spark, sf_dir: str) -> DataFrame:
     """Base rules and the method's verdict for all documents."""
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *COUNTS, "base_failed", "kept", "d2")
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Bytes of text, about, that one task of a text operator reads.
-_BATCH_ROWS = 2_000
-
+from tidemark.llm.buffers import blocks, text_buffer
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,6 +59,25 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def with_columns_from_text(df: DataFrame, make: Callable, added: str, text: str = "text") -> DataFrame:
+    """All rows and columns of df, and the added long or binary columns: make(bytes, offsets) of the text column's blocks, as a dict."""
+    names = [part.split()[0] for part in added.split(",")]
+    kinds = [_ARROW[part.split()[1]] for part in added.split(",")]
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                raw, offsets = text_buffer(batch.column(at))
+                for a, b, part, by_text in blocks(raw, offsets):
+                    new = make(part, by_text)
+                    rows = batch.slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *(_array(new[n], k) for n, k in zip(names, kinds))], [*rows.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
+
 def crc32_mod(column: str | Column, n: int) -> Column:
     """crc32 of a number as text, modulo n."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n
