@@ -34,6 +34,8 @@ from tidemark.llm.shared import map_arrow, written
 #: Tokens of a sequence; free places with which a bin is as good as full; bins of one task from level 1 on; pieces packed together on level 0.
 CAPACITY, SLACK, TASK_BINS, WINDOW = 2048, 8, 65_536, 500_000
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
+#: Columns of pieces().
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def pieces(df: DataFrame, path: str, end: int = END_ID, capacity: int = CAPACITY
                 "ids_crc32": [zlib.crc32(data[x:y]) for x, y in zip(p, p + length * 4)],
             }
 
-    return map_arrow(df, make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(df, make, PIECES)
 
 
 def _fitted(df: DataFrame, capacity: int, keep: str, size: str) -> DataFrame:
@@ -149,4 +151,4 @@ def pack(items: DataFrame, keep: str, capacity: int = CAPACITY, slack: int = SLA
 def op8_best_fit(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return pack(pieces(docs, public_tokenizers.path(VOCABULARY)), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return pack(pieces(docs, public_tokenizers.path(VOCABULARY)), PIECES)

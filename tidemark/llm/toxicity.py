@@ -167,6 +167,21 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     return map_arrow(df.select("doc_id", "text"), make, "doc_id long, score double")
 
 
+def clean_rows(df: DataFrame, model: Model, below: float = TOXIC_AT) -> DataFrame:
+    """The rows of df, with all their columns, whose text scores under below."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                raw, offsets = text_buffer(batch.column(at))
+                good = np.concatenate([_scored(shared.value, part, o)[0] for _, _, part, o in blocks(raw, offsets)]) < below
+                yield batch.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def offending(df: DataFrame, model: Model, at_least: float = TOXIC_AT) -> DataFrame:
     """doc_id, sentence, p: the sentences whose own probability reaches at_least, with byte start and end in the text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
