@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bytes of text worked on at once; bounds the scratch arrays, which take some 60 bytes for each.
 BLOCK_BYTES = 2_000_000
@@ -116,3 +117,15 @@ def run_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array's bytes, those of equal rank together, compressed: sorted keys and small counts take a part of their room."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
