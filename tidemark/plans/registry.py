@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from tidemark.plans import dialect, domain, relational
+
 
 def queries() -> dict:
-    return {}
+    return {name: partial(domain.sql, query=q) for name, q in relational.SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: dialect.check_text(q) for name, q in relational.SQL.items()}
