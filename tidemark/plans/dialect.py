@@ -25,11 +25,17 @@ MACROS: dict[str, tuple[str, str]] = {
     "days": ("datediff({0}, {1})", "date_diff('day', {1}, {0})"),
     "int": ("CAST({0} AS BIGINT)", "CAST({0} AS BIGINT)"),
     "try_double": ("try_cast({0} AS DOUBLE)", "TRY_CAST({0} AS DOUBLE)"),
-    "r": ("round(CAST({0} AS DOUBLE), 4)", "round(CAST({0} AS DOUBLE), 4)"),
+    "r": ("(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))"),
     "list": ("sort_array(collect_list({0}))", "list_sort(list({0}))"),
     "join_list": ("array_join({0}, ',')", "array_to_string({0}, ',')"),
     "extract": ("regexp_extract({0}, {1}, {2})", "regexp_extract({0}, {1}, {2})"),
     "explode_range": ("explode(sequence({0}, {1}))", "unnest(range({0}, {1} + 1))"),
+    "last": ("last_value({0}) IGNORE NULLS OVER {1}", "last_value({0} IGNORE NULLS) OVER {1}"),
+    "skew": ("CASE WHEN count({0}) OVER {1} > 2 AND stddev_pop({0}) OVER {1} > 0 THEN skewness({0}) OVER {1} * sqrt(count({0}) OVER {1} * (count({0}) OVER {1} - 1)) / (count({0}) OVER {1} - 2) END", "CASE WHEN count({0}) OVER {1} > 2 AND stddev_pop({0}) OVER {1} > 0 THEN skewness({0}) OVER {1} END"),
+    "kurt": ("CASE WHEN count({0}) OVER {1} > 3 AND stddev_pop({0}) OVER {1} > 0 THEN (count({0}) OVER {1} - 1) / ((count({0}) OVER {1} - 2) * (count({0}) OVER {1} - 3)) * ((count({0}) OVER {1} + 1) * kurtosis({0}) OVER {1} + 6) END", "CASE WHEN count({0}) OVER {1} > 3 AND stddev_pop({0}) OVER {1} > 0 THEN kurtosis({0}) OVER {1} END"),
+    "full": ("CASE WHEN count({1}) OVER {2} = {3} THEN {0}({1}) OVER {2} END", "CASE WHEN count({1}) OVER {2} = {3} THEN {0}({1}) OVER {2} END"),
+    "weekday": ("weekday({0})", "(isodow({0}) - 1)"),
+    "filter_pct": ("percentile({0}, {1}) FILTER (WHERE {2})", "quantile_cont({0}, {1}) FILTER (WHERE {2})"),
     "stddev_pop": ("stddev_pop({0})", "stddev_pop({0})"),
 }
 
