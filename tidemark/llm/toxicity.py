@@ -99,25 +99,33 @@ def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray) -> Model:
     """A model from whole labelled texts (labels 0 or 1)."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), FIRST_BIAS, float(labels.mean()) if len(labels) else 0.0)
-    hashes, sentence_of, text_of, base = [], [], [], 0
     raw, offsets = text_buffer(texts)
+    n = len(labels)
+    # First the features: each text's once, block by block, with its label.
+    once, marks = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
     for a, _, part, at in blocks(raw, offsets):
         h, s, t, _, _ = instances(part, at)
-        hashes.append(h)
-        sentence_of.append(s + base)
-        text_of.append(t + a)
-        base += len(t)
-    hashes, sentence, text = (np.concatenate(x) for x in (hashes, sentence_of, text_of))
-    n, m = len(labels), len(text)
-    order = np.argsort(hashes, kind="stable")
-    h, t = hashes[order], text[sentence][order]
-    once = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]  # texts come in order: a feature's texts stand together
-    words, which = np.unique(h[once], return_inverse=True)
-    docs, toxic = np.bincount(which), np.bincount(which, labels[t[once]])
-    words = words[(docs >= LEAST_DOCS) & (_ratios(toxic, docs, int(labels.sum()), n) >= LEAST_RATIO)]
-    at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-    known = (words[at] == hashes) if len(words) else np.zeros(len(hashes), bool)
-    index, place = at[known], sentence[known]
+        order = np.lexsort((t[s], h))
+        h, t = h[order], t[s][order]
+        new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
+        once.append(h[new])
+        marks.append(labels[a + t[new]] == 1)
+    words, which = np.unique(np.concatenate(once), return_inverse=True)
+    docs, toxic = np.bincount(which), np.bincount(which, np.concatenate(marks))
+    words = words[(docs >= LEAST_DOCS) & (_ratios(toxic, docs, int(labels.sum()), n) >= LEAST_RATIO)] if len(words) else words
+    del once, marks, which
+    # Then where they stand.
+    index, place, text, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for a, _, part, at in blocks(raw, offsets):
+        h, s, t, _, _ = instances(part, at)
+        if len(words):
+            spot = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            known = words[spot] == h
+            index.append(spot[known])
+            place.append(s[known] + m)
+        text.append(t + a)
+        m += len(t)
+    index, place, text = map(np.concatenate, (index, place, text))
     k = len(words)
     theta = np.zeros(k + 1)
     theta[-1] = FIRST_BIAS
