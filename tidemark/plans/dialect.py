@@ -10,8 +10,8 @@ import re
 
 # name: (Spark, DuckDB), with numbered arguments.
 MACROS: dict[str, tuple[str, str]] = {
-    "ms": ("unix_millis(CAST({0} AS TIMESTAMP))", "epoch_ms({0})"),
-    "hour": ("(unix_millis(CAST({0} AS TIMESTAMP)) div 3600000) * 3600000", "(epoch_ms({0}) // 3600000) * 3600000"),
+    "ms": ("unix_millis(CAST({0} AS TIMESTAMP))", "(epoch_us({0}) // 1000)"),
+    "hour": ("(unix_millis(CAST({0} AS TIMESTAMP)) div 3600000) * 3600000", "(epoch_us({0}) // 3600000000) * 3600000"),
     "div": ("({0} div {1})", "({0} // {1})"),
     "min_by": ("min_by({0}, struct({1}))", "arg_min({0}, ({1}))"),
     "max_by": ("max_by({0}, struct({1}))", "arg_max({0}, ({1}))"),

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemark.plans import dialect, domain, relational, windowed
+from tidemark.plans import dialect, domain, engine, relational, windowed
 
 TEXTS = relational.SQL | windowed.SQL
 
 
 def queries() -> dict:
-    return {name: partial(domain.sql, query=q) for name, q in TEXTS.items()}
+    return {name: partial(domain.sql, query=q) for name, q in TEXTS.items()} | engine.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.check_text(q) for name, q in TEXTS.items()}
+    return {name: dialect.check_text(q) for name, q in TEXTS.items()} | engine.ORACLES
