@@ -27,8 +27,8 @@ def query(oracle: str | None):
     return add
 
 
-def r(c: str | Column) -> Column:
-    return F.round(c if isinstance(c, Column) else F.col(c), 5) + F.lit(0.0)
+def r(c: str | Column, places: int = 5) -> Column:
+    return F.round(c if isinstance(c, Column) else F.col(c), places) + F.lit(0.0)
 
 
 _INTEREST = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'"
@@ -157,18 +157,18 @@ _FWD = """q AS (SELECT symbol, ts_ms - 1800000 AS ts_ms FROM bars WHERE trades %
  z AS (SELECT p.*, CASE WHEN ref_ms IS NULL THEN 'no_reference' WHEN NOT (ref_ms + 47 * 3600000 <= data_end) THEN 'partial_tail' WHEN n < 48 THEN 'gap' ELSE 'complete' END AS state FROM p LEFT JOIN e ON e.symbol = p.symbol)"""
 
 
-@query(f"WITH {_FWD} SELECT symbol, ts_ms, ref_ms, $r(hi / ref_price) AS touch, $r(least(0, lo / ref_price - 1)) AS worst, peak_ms, state, CASE WHEN hi / ref_price >= 5 THEN 'reach' WHEN state = 'complete' THEN 'no_reach' ELSE 'undetermined' END AS verdict FROM z")
+@query(f"WITH {_FWD} SELECT symbol, ts_ms, ref_ms, $r8(hi / ref_price) AS touch, $r8(least(0, lo / ref_price - 1)) AS worst, peak_ms, state, CASE WHEN hi / ref_price >= 5 THEN 'reach' WHEN state = 'complete' THEN 'no_reach' ELSE 'undetermined' END AS verdict FROM z")
 def e01_forward_outcomes(spark, d):
     """Reference at the first bar's open, touch, worst, first peak and verdict over 48 hours."""
     bars = domain(spark, d, "bars")
     decisions = bars.where("trades % 3 = 0").select("symbol", (F.col("ts_ms") - 1_800_000).alias("ts_ms"))
-    return outcomes.forward(decisions, bars, 48, 5.0).select("symbol", "ts_ms", "ref_ms", r("touch").alias("touch"), r("worst").alias("worst"), "peak_ms", "state", "verdict")
+    return outcomes.forward(decisions, bars, 48, 5.0).select("symbol", "ts_ms", "ref_ms", r("touch", 8).alias("touch"), r("worst", 8).alias("worst"), "peak_ms", "state", "verdict")
 
 
 @query("""WITH g AS (SELECT symbol, $div(ts_ms; 3600000) AS h, close, high FROM bars), x AS (SELECT symbol, h, max(h) OVER (PARTITION BY symbol) AS last_h, max(close) OVER (PARTITION BY symbol ORDER BY h RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS ref, max(high) OVER f AS top, count(high) OVER f AS n FROM g WINDOW f AS (PARTITION BY symbol ORDER BY h RANGE BETWEEN 1 FOLLOWING AND 24 FOLLOWING)),
- s AS (SELECT *, CASE WHEN ref IS NULL THEN 'no_reference' WHEN h + 24 > last_h THEN 'partial_tail' WHEN n < 24 THEN 'gap' ELSE 'complete' END AS state FROM x) SELECT symbol, h AS hour_idx, $r(top / ref) AS touch, state, CASE WHEN state = 'complete' THEN CASE WHEN top / ref >= 5 THEN 'reach' ELSE 'no_reach' END ELSE 'undetermined' END AS verdict FROM s""")
+ s AS (SELECT *, CASE WHEN ref IS NULL THEN 'no_reference' WHEN h + 24 > last_h THEN 'partial_tail' WHEN n < 24 THEN 'gap' ELSE 'complete' END AS state FROM x) SELECT symbol, h AS hour_idx, $r8(top / ref) AS touch, state, CASE WHEN state = 'complete' THEN CASE WHEN top / ref >= 5 THEN 'reach' ELSE 'no_reach' END ELSE 'undetermined' END AS verdict FROM s""")
 def e03_outcome_labels(spark, d):
-    return outcomes.labels(domain(spark, d, "bars"), 24, 5.0).select("symbol", "hour_idx", r("touch").alias("touch"), "state", "verdict")
+    return outcomes.labels(domain(spark, d, "bars"), 24, 5.0).select("symbol", "hour_idx", r("touch", 8).alias("touch"), "state", "verdict")
 
 
 @query("WITH x AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS r FROM samples) SELECT lang, count(*) AS n, $int(sum(label)) AS n1, $r(CASE WHEN count(*) >= 30 AND sum(label) BETWEEN 1 AND count(*) - 1 THEN (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) END) AS auc FROM x GROUP BY 1")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemark.plans import dialect, domain, engine, relational, windowed
+from tidemark.plans import dialect, domain, engine, evaluation, extras, relational, windowed  # noqa: F401  extras registers its queries
 
-TEXTS = relational.SQL | windowed.SQL
+TEXTS = relational.SQL | windowed.SQL | evaluation.SQL
 
 
 def queries() -> dict:

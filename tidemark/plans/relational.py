@@ -69,7 +69,7 @@ SQL["g06_payoff"] = """WITH r AS (SELECT user_id, value - 50 AS ret FROM events)
 SQL["g07_histogram"] = """SELECT CASE WHEN value < 10 THEN '[0,10)' WHEN value < 25 THEN '[10,25)' WHEN value < 50 THEN '[25,50)' WHEN value < 100 THEN '[50,100)' ELSE '[100,inf)' END AS bin, count(*) AS n, $r(avg(value)) AS mean_value FROM events GROUP BY 1"""
 SQL["g09_edges_bins"] = """WITH e AS (SELECT $pct(score, 0.2) AS e1, $pct(score, 0.4) AS e2, $pct(score, 0.6) AS e3, $pct(score, 0.8) AS e4 FROM samples) SELECT CASE WHEN score <= e1 THEN 0 WHEN score <= e2 THEN 1 WHEN score <= e3 THEN 2 WHEN score <= e4 THEN 3 ELSE 4 END AS bin, count(*) AS n, $r(avg(label)) AS rate, $r(avg(score)) AS mean_score FROM samples CROSS JOIN e GROUP BY 1"""
 SQL["g10_distinct"] = """SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT $day(ts)) AS days FROM events GROUP BY 1"""
-SQL["g11_crosstab"] = """SELECT year(o_orderdate) AS y, $int(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)) AS f, $int(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)) AS o, $int(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)) AS p FROM orders GROUP BY 1"""
+SQL["g11_crosstab"] = """SELECT $int(year(o_orderdate)) AS y, $int(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)) AS f, $int(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)) AS o, $int(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)) AS p FROM orders GROUP BY 1"""
 SQL["g12_vocabulary_counts"] = """WITH v AS (SELECT 'click' AS k UNION ALL SELECT 'view' UNION ALL SELECT 'refund'), c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT v.k AS status, coalesce(c.n, 0) AS n FROM v LEFT JOIN c ON c.event_type = v.k"""
 SQL["g13_multi_cut"] = """SELECT 'overall' AS cut, 'all' AS level, count(*) AS n, $r(avg(score)) AS mean_score FROM samples UNION ALL SELECT 'lang', lang, count(*), $r(avg(score)) FROM samples GROUP BY lang UNION ALL SELECT 'label', CAST(label AS STRING), count(*), $r(avg(score)) FROM samples GROUP BY label UNION ALL SELECT 'score>=1000', 'all', count(*), $r(avg(score)) FROM samples WHERE score >= 1000 UNION ALL SELECT 'score>=4000', 'all', count(*), $r(avg(score)) FROM samples WHERE score >= 4000"""
 SQL["g14_daily_list_size"] = """WITH d AS (SELECT $day(ts) AS day, count(DISTINCT user_id) AS n FROM events WHERE value > 80 GROUP BY 1) SELECT count(*) AS days, $r(avg(n)) AS mean_n, min(n) AS min_n, max(n) AS max_n, $r($pct(n, 0.5)) AS med_n FROM d"""
