@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textstats
 from tidemark.llm.buffers import blocks, text_buffer
-from tidemark.llm.shared import map_arrow, with_columns_from_text, written
+from tidemark.llm.shared import apart, map_arrow, with_columns_from_text, written
 
 LEAST_WORDS, MOST_REPEATED = 10, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -187,8 +187,9 @@ def kept_rows(df: DataFrame) -> DataFrame:
     """The rows of df, with all their columns, that the rules keep."""
     rule = fitted(written(text_counts(df), "counts"))
     schema = ", ".join(f"{c} long" for c in COUNTS)
-    seen = with_columns_from_text(df.select(F.struct("*").alias("row"), own_group(F.col("lang"), F.col("source"))[0].alias("own"), "text"), textstats.counts, schema).drop("text")
-    return rule.applied(seen).where("kept").select("row.*")
+    held, back = apart(df)
+    seen = with_columns_from_text(df.select(*held, own_group(F.col("lang"), F.col("source"))[0].alias("own")), textstats.counts, schema)
+    return rule.applied(seen).where("kept").select(*back)
 
 
 def op2_robust_quality(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame, text: str = "text") -> tuple[list[Column], list[Column]]:
+    """Columns that hold a row of any column names beside new ones: ``row`` without the text, and the text; and what gives the row back."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text]
+    back = [F.col(text) if c == text else F.col("row")[c].alias(c) for c in df.columns]
+    return [F.struct(*rest).alias("row"), F.col(text)], back
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_BYTES (a setting of the session, made here), so that few texts are held at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = "8m"
+
+
 def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict[str, object]]], schema: str) -> DataFrame:
     """mapInArrow with a function that yields dicts of columns for each batch."""
     names = [part.split()[0] for part in schema.split(",")]
@@ -47,7 +64,7 @@ def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict[str,
                 for columns in make(batch):
                     yield pa.RecordBatch.from_arrays([_array(columns[n], k) for n, k in zip(names, kinds)], names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
@@ -75,7 +92,7 @@ def with_columns_from_text(df: DataFrame, make: Callable, added: str, text: str
                     rows = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([*rows.columns, *(_array(new[n], k) for n, k in zip(names, kinds))], [*rows.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def crc32_mod(column: str | Column, n: int) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.buffers import ascii_lower, blocks, span_hashes, text_buffer
-from tidemark.llm.shared import crc32_mod, map_arrow
+from tidemark.llm.shared import crc32_mod, map_arrow, map_batches
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 3_000
 STEPS, RATE, RIDGE, FIRST_BIAS = 300, 0.1, 0.05, -6.0
@@ -187,7 +187,7 @@ def clean_rows(df: DataFrame, model: Model, below: float = TOXIC_AT) -> DataFram
                 good = np.concatenate([_scored(shared.value, part, o)[0] for _, _, part, o in blocks(raw, offsets)]) < below
                 yield batch.filter(pa.array(good))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def offending(df: DataFrame, model: Model, at_least: float = TOXIC_AT) -> DataFrame:
