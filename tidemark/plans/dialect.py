@@ -27,6 +27,7 @@ MACROS: dict[str, tuple[str, str]] = {
     "try_double": ("try_cast({0} AS DOUBLE)", "TRY_CAST({0} AS DOUBLE)"),
     "r": ("(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))"),
     "list": ("sort_array(collect_list({0}))", "list_sort(list({0}))"),
+    "r6": ("(round(CAST({0} AS DOUBLE), 6) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 6) + CAST(0 AS DOUBLE))"),
     "r8": ("(round(CAST({0} AS DOUBLE), 8) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 8) + CAST(0 AS DOUBLE))"),
     "join_list": ("array_join({0}, ',')", "array_to_string({0}, ',')"),
     "extract": ("regexp_extract({0}, {1}, {2})", "regexp_extract({0}, {1}, {2})"),

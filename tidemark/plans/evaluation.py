@@ -18,7 +18,7 @@ SQL["e10_causal_features"] = "WITH h AS (SELECT symbol, $div(ts_ms; 3600000) + 1
 SQL["e11_pump_features"] = "WITH x AS (SELECT symbol, ts_ms, $div(ts_ms; 86400000) AS d, close, volume, avg(close) OVER w50 AS base, max(high) OVER b24 AS box_high, sum(volume) OVER w4 AS v4, sum(volume) OVER p4 AS prev4 FROM bars WINDOW w50 AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), b24 AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), w4 AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), p4 AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 7 PRECEDING AND 4 PRECEDING)) SELECT symbol, d AS day_idx, $max_by(close > base; ts_ms) AS c_trend, $max_by(close > box_high; ts_ms) AS c_breakout, $max_by(v4 > prev4; ts_ms) AS c_v4up, $r($max_by(close; ts_ms)) AS close FROM x WHERE ts_ms % 86400000 <= 22 * 3600000 GROUP BY 1, 2"
 SQL["e12_derivative_features"] = "WITH o AS (SELECT user_id % 20 AS symbol, $day(ts) AS day, avg(value) AS oi, min(value) AS lo, avg(CASE WHEN value < 20 THEN 1.0 ELSE 0.0 END) AS neg FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT a.symbol, $ymd(a.day) AS day, $r(a.oi / nullif(b.oi, 0) - 1) AS chg1, $r(c.oi / nullif(a.oi, 0) - 1) AS fwd2, $r((SELECT min(z.lo) FROM o z WHERE z.symbol = a.symbol AND z.day > $plus_days(a.day, -7) AND z.day <= a.day)) AS min7, $r(a.neg) AS neg_ratio FROM o a LEFT JOIN o b ON b.symbol = a.symbol AND b.day = $plus_days(a.day, -1) LEFT JOIN o c ON c.symbol = a.symbol AND c.day = $plus_days(a.day, 2)"
 SQL["e14_condition_panel"] = "WITH x AS (SELECT symbol, ts_ms, CASE WHEN close > open THEN 1 ELSE 0 END + CASE WHEN volume > avg(volume) OVER b THEN 2 ELSE 0 END AS s FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)), d AS (SELECT symbol, $div(ts_ms; 86400000) AS day_idx, $max_by(s; ts_ms) AS s FROM x WHERE ts_ms % 86400000 <= 22 * 3600000 GROUP BY 1, 2) SELECT symbol, day_idx, s, s - lag(s) OVER (PARTITION BY symbol ORDER BY day_idx) AS d1 FROM d"
-SQL["e15_depth_features"] = "SELECT user_id % 20 AS symbol, $ymd(ts) AS day, count(*) AS snapshots, $r($max_by(CASE WHEN $k(props) < 50 THEN value END; CASE WHEN $k(props) < 50 THEN 1 ELSE 0 END, ts, event_id)) AS last_bid, $r(avg(CASE WHEN $k(props) < 50 THEN value END)) AS bid_mean, $r(avg(CASE WHEN $k(props) >= 50 THEN value END)) AS ask_mean, $r(ln((sum(CASE WHEN $k(props) < 50 THEN value ELSE 0 END) + 1) / (sum(CASE WHEN $k(props) >= 50 THEN value ELSE 0 END) + 1))) AS imbalance FROM events GROUP BY 1, 2 HAVING count(*) >= 10"
+SQL["e15_depth_features"] = "SELECT user_id % 20 AS symbol, $ymd(ts) AS day, count(*) AS snapshots, $r6($max_by(CASE WHEN $k(props) < 50 THEN value END; CASE WHEN $k(props) < 50 THEN 1 ELSE 0 END, ts, event_id)) AS last_bid, $r6(avg(CASE WHEN $k(props) < 50 THEN value END)) AS bid_mean, $r6(avg(CASE WHEN $k(props) >= 50 THEN value END)) AS ask_mean, $r6(ln((sum(CASE WHEN $k(props) < 50 THEN value ELSE 0 END) + 1) / (sum(CASE WHEN $k(props) >= 50 THEN value ELSE 0 END) + 1))) AS imbalance FROM events GROUP BY 1, 2 HAVING count(*) >= 10"
 
 # ---- statistics
 SQL["f04_stat_block"] = "WITH v AS (SELECT 'score' AS var, score AS x, label FROM samples UNION ALL SELECT 'x1', x1, label FROM samples UNION ALL SELECT 'x2', CASE WHEN doc_id % 5 = 0 THEN NULL ELSE x2 END, label FROM samples), k AS (SELECT var, x, label, rank() OVER (PARTITION BY var ORDER BY x) + (count(*) OVER (PARTITION BY var, x) - 1) / CAST(2 AS DOUBLE) AS rk FROM v WHERE x IS NOT NULL), c AS (SELECT var, $r(avg(CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END)) AS coverage FROM v GROUP BY 1) SELECT k.var, count(*) AS n, max(c.coverage) AS coverage, $r((sum(CASE WHEN label = 1 THEN rk END) - sum(label) * (sum(label) + 1) / CAST(2 AS DOUBLE)) / nullif(sum(label) * (count(*) - sum(label)), 0)) AS auc FROM k JOIN c ON c.var = k.var GROUP BY k.var"

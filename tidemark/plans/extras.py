@@ -44,10 +44,10 @@ def a21_archive_key(spark, d):
     return sql(spark, d, _KEYS).select("key", f["market"].alias("market"), f["kind"].alias("kind"), f["dataset"].alias("dataset"), f["symbol"].alias("symbol"), f["interval"].alias("interval_"), f["period"].alias("period"), f["name_agrees"].alias("name_agrees"))
 
 
-@query("SELECT event_id, $r8(CASE WHEN $k(props) <> 0 THEN value / $k(props) END) AS ratio, $r(sign(value - 50) * ln(1 + abs(value - 50))) AS slog, $r(ln(($k(props) + 1) / (value + 1))) AS lratio, $r((1 + value / 100) * (1 - 0.003) - 1) AS net FROM events")
+@query("SELECT event_id, $r8(CASE WHEN $k(props) <> 0 THEN value / $k(props) END) AS ratio, $r(sign(value - 50) * ln(1 + abs(value - 50))) AS slog, $r(ln(($k(props) + 1) / (value + 1))) AS lratio, $r8((1 + value / 100) * (1 - CAST(0.003 AS DOUBLE)) - 1) AS net FROM events")
 def p03_math_functions(spark, d):
     e = sql(spark, d, "SELECT event_id, value, CAST($k(props) AS DOUBLE) AS k FROM events")
-    return e.select("event_id", r(fn.safe_divide("value", "k"), 8).alias("ratio"), r(fn.signed_log(F.col("value") - 50)).alias("slog"), r(fn.log_ratio("value", "k")).alias("lratio"), r(fn.net_return(F.col("value") / 100)).alias("net"))
+    return e.select("event_id", r(fn.safe_divide("value", "k"), 8).alias("ratio"), r(fn.signed_log(F.col("value") - 50)).alias("slog"), r(fn.log_ratio("value", "k")).alias("lratio"), r(fn.net_return(F.col("value") / 100), 8).alias("net"))
 
 
 @query("SELECT event_id, event_id % 9 <> 0 AND event_id % 11 <> 0 AS finite FROM events")
