@@ -18,7 +18,7 @@ Defined results: vectors that are null, or hold a null, NaN or an infinity, take
 of rows with the same vec_id the first in the order of their components counts, once; a
 shorter vector counts as filled up with zeros; an empty vector has the product 0 with
 all; null vec_ids take no part; a query with less than k others gets all; products beyond
-a long are held at its ends; columns besides id and vector are not read.
+a long are held at its ends before they are ranked; columns besides id and vector are not read.
 """
 
 from __future__ import annotations
@@ -122,10 +122,10 @@ class Shard:
         whole_v = [[int(x) for x in row] for row in v]
         for i, row in enumerate(q):
             mine = [int(x) for x in row]
-            best = sorted((-sum(a * b for a, b in zip(mine, x)), int(d)) for x, d in zip(whole_v, self.ids) if d != query_ids[i])[:k]
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(mine, x)))), int(d)) for x, d in zip(whole_v, self.ids) if d != query_ids[i])[:k]
             rows += [i] * len(best)
             found += [d for _, d in best]
-            products += [max(-(2**63), min(2**63 - 1, -p)) for p, _ in best]
+            products += [-p for p, _ in best]
         return np.array(rows, np.int64), np.array(found, np.int64), np.array(products, np.int64)
 
 
