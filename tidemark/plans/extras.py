@@ -5,14 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import models, scoring
+from tidemark.operators import asof, features, models, scoring, windows
 from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
-from tidemark.sources import sinks
+from tidemark.sources import readers, sinks
 from tidemark.streaming import streams
 
 
@@ -100,6 +100,179 @@ def k04_fingerprint_reuse(spark, d):
     return sinks.reused(spark, scratch(spark), {"query": "user bars", "version": 1}, lambda: domain(spark, d, "user_bars").groupBy("symbol").agg(F.count("*").alias("n")))
 
 
+@query("SELECT symbol, ts_ms, $r(close) AS close, $r(volume) AS volume FROM bars")
+def a01_zip_klines(spark, d):
+    """Bars written as zipped CSV, a file for each symbol and week, and read by the archive reader."""
+    b = domain(spark, d, "bars").withColumn("week", F.expr("ts_ms div 604800000"))
+    line = F.concat_ws(",", *(F.col(c).cast("string") for c in ("ts_ms", "open", "high", "low", "close", "volume")), (F.col("ts_ms") + 3_599_999).cast("string"), F.lit("0,0,0,0,0"))
+    files = b.groupBy("symbol", "week").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    named = files.select(F.concat(F.lit("k/"), F.upper("symbol"), F.lit("-1h-2024-01-"), F.col("week"), F.lit(".zip")).alias("path"), "body")
+    got = readers.klines(readers.archive_lines(readers.zipped(named)))
+    return got.select(F.lower("symbol").alias("symbol"), "ts_ms", r("close").alias("close"), r("volume").alias("volume"))
+
+
+@query("SELECT $ms(ts) AS ts_ms, value AS last_funding_rate, CAST(8 AS DOUBLE) AS interval_hours FROM events WHERE event_type = 'signup'")
+def a07_funding_csv(spark, d):
+    at = scratch(spark)
+    sql(spark, d, "SELECT $ms(ts) AS calc_time, 8.0 AS interval_hours, value FROM events WHERE event_type = 'signup'").write.option("header", "true").csv(at)
+    return readers.funding(spark, at).select("ts_ms", "last_funding_rate", "interval_hours")
+
+
+@query("SELECT event_type AS symbol, $ms(ts) AS ts_ms FROM events")
+def a13_json_lanes(spark, d):
+    """Gzipped JSON lines, read with a fixed schema."""
+    at = scratch(spark)
+    sinks.write_json_lines(sql(spark, d, "SELECT event_type AS symbol, $ms(ts) AS ts_ms FROM events"), at)
+    return readers.json_lines(spark, at, "symbol string, ts_ms long")
+
+
+@query("SELECT 'part' AS kind, count(*) > 0 AS found FROM events")
+def a17_listing(spark, d):
+    at = scratch(spark)
+    domain(spark, d, "caps").coalesce(1).write.parquet(at)
+    return readers.listing(spark, at).where("path LIKE '%part-%'").agg(F.lit("part").alias("kind"), (F.count("*") > 0).alias("found"))
+
+
+@query("SELECT $hour(ts) AS ts_ms, $r(avg(CASE WHEN $k(props) < 50 THEN value END)) AS bids FROM events GROUP BY 1")
+def a11_depth_columns(spark, d):
+    """Two columns of a wide parquet table: the scan reads no others."""
+    return sql(spark, d, "SELECT $hour(ts) AS ts_ms, avg(CASE WHEN $k(props) < 50 THEN value END) AS bids FROM events GROUP BY 1").select("ts_ms", r("bids").alias("bids"))
+
+
+@query("SELECT base, $r(cap) AS cap FROM caps")
+def k01_csv_round_trip(spark, d):
+    at = scratch(spark)
+    domain(spark, d, "caps").coalesce(1).write.option("header", "true").csv(at)
+    return spark.read.schema("base string, cap double").option("header", "true").csv(at).select("base", r("cap").alias("cap"))
+
+
+@query("SELECT 'c' AS kind, CAST(c_custkey AS BIGINT) AS id, c_mktsegment AS seg, NULL AS pri FROM customer UNION ALL SELECT 'o', o_orderkey, NULL, o_orderpriority FROM orders")
+def k02_dynamic_columns(spark, d):
+    a = sql(spark, d, "SELECT 'c' AS kind, c_custkey AS id, c_mktsegment AS seg FROM customer")
+    b = sql(spark, d, "SELECT 'o' AS kind, o_orderkey AS id, o_orderpriority AS pri FROM orders")
+    return sinks.flattened(a, b)
+
+
+@query(None)
+def k06_text_table(spark, d):
+    """A small result as lines of text."""
+    lines = sinks.text_table(domain(spark, d, "caps").orderBy("base"), markdown=True).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+
+
+@query("SELECT user_id AS symbol, max(event_id) AS event_id FROM events GROUP BY 1")
+def k08_snapshot(spark, d):
+    """Overwritten as a whole by the commit protocol, then read."""
+    at = scratch(spark)
+    snapshot = sql(spark, d, "SELECT user_id AS symbol, max(event_id) AS event_id FROM events GROUP BY 1")
+    for _ in range(2):
+        snapshot.coalesce(1).write.mode("overwrite").json(at)
+    return spark.read.schema("symbol long, event_id long").json(at)
+
+
+@query("SELECT $ymd(ts) AS day, count(*) AS n FROM events GROUP BY 1")
+def k09_rolling_days(spark, d):
+    """A streaming file sink by day."""
+    at = scratch(spark)
+    q = _stream(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd")).writeStream.format("json").partitionBy("day").option("path", at).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("event_id long, day string").json(at).groupBy("day").agg(F.count("*").alias("n"))
+
+
+# ---- features
+@query("SELECT symbol, ts_ms, $r(close / nullif(lag(close, 24) OVER w, 0) - 1) AS ret_24, $r(CASE WHEN count(close) OVER f = 24 THEN (close - min(low) OVER f) / nullif(max(high) OVER f - min(low) OVER f, 0) END) AS range_pos_24, $r(CASE WHEN count(volume) OVER f = 24 THEN stddev_pop(volume) OVER f / nullif(avg(volume) OVER f, 0) END) AS cv_volume_24, $r(CASE WHEN count(volume) OVER f = 24 THEN volume / nullif(avg(volume) OVER f, 0) END) AS volume_ratio_24, row_number() OVER w AS age_bars FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms), f AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
+def e13_bar_features(spark, d):
+    """Five of the registry's features against SQL; e13_all_features has them all."""
+    names = ["ret_24", "range_pos_24", "cv_volume_24", "volume_ratio_24"]
+    got = features.bar_features(domain(spark, d, "bars"), [*names, "age_bars"])
+    return got.select("symbol", "ts_ms", *(r(n).alias(n) for n in names), F.col("age_bars").cast("long").alias("age_bars"))
+
+
+@query(None)
+def e13_all_features(spark, d):
+    return features.bar_features(domain(spark, d, "bars"))
+
+
+@query("SELECT symbol, ts_ms, $r(list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 50 PRECEDING AND CURRENT ROW), lambda a, x: a + (x - a) * CAST(0.25 AS DOUBLE))) AS ema FROM bars")
+def w05_framed_ema(spark, d):
+    """The recursive average as a reader of 51 bars sees it."""
+    return domain(spark, d, "bars").select("symbol", "ts_ms", r(windows.framed_ema("close", 7, 51)).alias("ema"))
+
+
+@query("SELECT symbol, ts_ms, $r(CASE WHEN count(high) OVER b = 24 THEN max(high) OVER b END) AS box_high, $r(CASE WHEN count(low) OVER b = 24 THEN min(low) OVER b END) AS box_low FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)")
+def w06_box(spark, d):
+    b = domain(spark, d, "bars")
+    return b.select("symbol", "ts_ms", r(windows.rolling(F.max, "high", 24, 1)).alias("box_high"), r(windows.rolling(F.min, "low", 24, 1)).alias("box_low"))
+
+
+# ---- gates on observations, segments, names
+@query("WITH o AS (SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value > 5 AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts) AS i FROM events WHERE event_type = 'purchase') SELECT symbol, ts_ms, i - coalesce(max(CASE WHEN ok THEN i END) OVER (PARTITION BY symbol ORDER BY ts_ms), 0) AS stale FROM o")
+def c09_stale_tail(spark, d):
+    rows = sql(spark, d, "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'")
+    return asof.bounded_changes(rows, "value", 40, 10, valid=F.col("value") > 5).select("symbol", "ts_ms", F.col("stale").cast("long").alias("stale"))
+
+
+@query("WITH o AS (SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, CASE WHEN value > 5 THEN 1 ELSE 0 END AS ok FROM events WHERE event_type = 'purchase') SELECT symbol, ts_ms, sum(ok) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) >= 25 AS enough FROM o")
+def c10_least_observations(spark, d):
+    rows = sql(spark, d, "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'")
+    return asof.bounded_changes(rows, "value", 40, 25, valid=F.col("value") > 5).select("symbol", "ts_ms", F.col("adopted").isNotNull().alias("enough"))
+
+
+@query("WITH b AS (SELECT symbol, max(ts_ms) AS last_ms, count(*) AS n FROM user_bars WHERE ts_ms + 3600000 <= 1705276800000 GROUP BY 1) SELECT u.symbol, CASE WHEN b.n IS NULL THEN 'no_kline_data' WHEN b.n < 26 THEN 'kline_short_history' WHEN 1705276800000 - b.last_ms > 7200000 THEN 'kline_gap' ELSE 'scored' END AS status FROM (SELECT DISTINCT symbol FROM user_bars) u LEFT JOIN b ON b.symbol = u.symbol")
+def c12_point_in_time(spark, d):
+    """One decision's record of every symbol: closed bars only."""
+    at, bars = 1_705_276_800_000, domain(spark, d, "user_bars")
+    closed = bars.where(F.col("ts_ms") + 3_600_000 <= at).groupBy("symbol").agg(F.max("ts_ms").alias("last_ms"), F.count("*").alias("n"))
+    status = F.when(F.col("n").isNull(), "no_kline_data").when(F.col("n") < 26, "kline_short_history").when(at - F.col("last_ms") > 7_200_000, "kline_gap").otherwise("scored")
+    return bars.select("symbol").distinct().join(closed, "symbol", "left").select("symbol", status.alias("status"))
+
+
+@query("WITH m AS (SELECT symbol, $div(ts_ms; 3600000) AS h FROM bars WHERE close > open), i AS (SELECT symbol, h, h - row_number() OVER (PARTITION BY symbol ORDER BY h) AS g FROM m) SELECT symbol, min(h) AS first_h, max(h) AS last_h FROM i GROUP BY symbol, g")
+def d03_segments(spark, d):
+    runs = windows.islands(domain(spark, d, "bars").where("close > open").withColumn("h", F.expr("ts_ms div 3600000")), "h", ["symbol"])
+    return runs.groupBy("symbol", "island").agg(F.min("h").alias("first_h"), F.max("h").alias("last_h")).drop("island")
+
+
+@query("SELECT unnest(['doc_id', 'lang', 'n_chars', 'score', 'source', 'x1', 'x2']) AS name")
+def p12_leak_filter(spark, d):
+    """Columns of the panel that may be features."""
+    names = models.features(["doc_id", "source", "lang", "score", "x1", "x2", "n_chars", "label", "toxic", "fwd_7d", "ret_after_3"])
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@query("SELECT unnest(['ts_ms', 'symbol', 'close', 'volume']) AS name")
+def s08_shared_columns(spark, d):
+    """Feature columns that two tables share."""
+    a, b = domain(spark, d, "bars").columns, ["symbol", "ts_ms", "close", "volume", "oi"]
+    return spark.createDataFrame([(c,) for c in a if c in b], "name string")
+
+
+@query("SELECT user_id, sha256(CAST(max(event_id) AS STRING) || ':' || CAST(count(*) AS STRING)) AS fingerprint FROM events GROUP BY 1")
+def r14_row_fingerprints(spark, d):
+    """Hashes of rows: what is drawn again only if it changed."""
+    x = table(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("e"), F.count("*").alias("n"))
+    return x.select("user_id", F.sha2(F.concat_ws(":", F.col("e").cast("string"), F.col("n").cast("string")), 256).alias("fingerprint"))
+
+
+@query(None)
+def f13_random_key_null(spark, d):
+    """How often a key of hashes ranks no worse than the pool in all folds: the null for fold counts."""
+    rows = domain(spark, d, "samples").withColumn("fold", F.col("doc_id") % 4).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    order = Window.partitionBy("rep", "fold").orderBy(F.xxhash64(F.lit(7), "rep", "doc_id"))
+    cut = rows.withColumn("top", F.row_number().over(order) <= F.count("*").over(Window.partitionBy("rep", "fold")) / 5)
+    per = cut.groupBy("rep", "fold").agg(F.avg(F.when(F.col("top"), F.col("label"))).alias("a"), F.avg("label").alias("b"))
+    wins = per.groupBy("rep").agg(F.sum(F.when(F.col("a") >= F.col("b") - 1e-9, 1).otherwise(0)).alias("folds"))
+    return wins.groupBy("folds").agg(F.count("*").alias("n"))
+
+
+@query("WITH x AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'running' END AS s FROM events) SELECT user_id, arg_max(s, event_id) FILTER (WHERE s IS NOT NULL) AS state, max(CASE WHEN s = 'success' THEN event_id END) AS last_success FROM x GROUP BY 1")
+def r11_scan_states(spark, d):
+    """A task's state is its last step's; a failure never hides the last success."""
+    s = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "running")
+    x = table(spark, d, "events").select("user_id", "event_id", s.alias("s"))
+    return x.groupBy("user_id").agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("event_id"))).alias("state"), F.max(F.when(F.col("s") == "success", F.col("event_id"))).alias("last_success"))
+
+
 # ---- models: results depend on the optimiser, so only their rows are checked
 @query(None)
 def f16_logistic(spark, d):

@@ -20,6 +20,13 @@ SELECT u.k AS custkey, a.k IS NOT NULL AS in_new, b.k IS NOT NULL AS in_old FROM
 SQL["a25_missing_months"] = """WITH months AS (SELECT DISTINCT $ym(day) AS month FROM daily), symbols AS (SELECT DISTINCT symbol FROM daily), seen AS (SELECT DISTINCT symbol, $ym(day) AS month FROM daily WHERE volume >= 40)
 SELECT s.symbol, m.month FROM symbols s CROSS JOIN months m LEFT JOIN seen x ON x.symbol = s.symbol AND x.month = m.month WHERE x.month IS NULL"""
 
+SQL["a03_rows_without_dedupe"] = """SELECT user_id AS symbol, $hour(ts) AS ts_ms, event_id FROM events"""
+SQL["a08_month_window"] = """SELECT symbol, $ymd(day) AS day, $r(close) AS close FROM daily WHERE $ym(day) BETWEEN '1997-03' AND '1997-08' AND symbol IN ('Brand#1', 'Brand#2')"""
+SQL["a10_day_list"] = """WITH s AS (SELECT symbol, min($int($days(day; DATE '1995-01-01'))) AS lo, max($int($days(day; DATE '1995-01-01'))) AS hi FROM daily GROUP BY 1), g AS (SELECT symbol, $explode_range(lo, hi) AS k FROM s) SELECT symbol, count(*) AS days FROM g GROUP BY 1"""
+SQL["a12_unit_fix_and_clamp"] = """WITH x AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN $ms(ts) * 1000 WHEN event_id % 4 = 1 THEN 5 ELSE $ms(ts) END AS t FROM events), f AS (SELECT event_id, CASE WHEN t > 100000000000000 THEN $div(t; 1000) ELSE t END AS t FROM x) SELECT event_id, t FROM f WHERE t BETWEEN 1400000000000 AND 2100000000000"""
+SQL["a14_long_cells"] = """SELECT symbol, $div(ts_ms; 3600000) AS hour_idx, trades FROM user_bars"""
+SQL["a23_latest_by_time"] = """SELECT user_id, $r($max_by(value; ts, event_id)) AS latest, max($ms(ts)) AS at_ms FROM events GROUP BY 1"""
+
 # ---- filters and projections
 SQL["p01_safe_float"] = """SELECT event_id, coalesce($try_double(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(value AS STRING) END), 0.0) AS value FROM events"""
 SQL["p04_universe_filter"] = """SELECT t.symbol, $r(t.quote_volume) AS quote_volume, $r(c.cap) AS cap FROM tickers t LEFT JOIN caps c ON t.base = c.base
@@ -38,6 +45,9 @@ SQL["p17_standardise"] = """WITH m AS (SELECT avg(value) AS mu, $stddev_pop(valu
 SQL["p18_sanitize"] = """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE $r(value) END AS value FROM events"""
 SQL["p19_ratios"] = """SELECT t.symbol, $r(t.quote_volume / nullif(c.cap, 0)) AS volume_cap_ratio, $r(t.fut_volume / nullif(c.cap, 0)) AS oi_cap_ratio FROM tickers t LEFT JOIN caps c ON t.base = c.base"""
 
+SQL["p11_in_list"] = """SELECT $k(props) AS k, count(*) AS n, $r(avg(value)) AS mean_value FROM events WHERE $k(props) IN (1, 5, 50, 99) GROUP BY 1"""
+SQL["p14_rename_before_join"] = """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS total FROM orders), b AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS total_lines FROM lineitem GROUP BY 1) SELECT a.k, $r(a.total) AS total, $r(b.total_lines) AS total_lines FROM a JOIN b ON a.k = b.k"""
+
 # ---- joins
 SQL["j01_inner"] = """SELECT o.o_orderkey, c.c_mktsegment, $r(o.o_totalprice) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""
 SQL["j02_left"] = """SELECT c.c_custkey, count(o.o_orderkey) AS orders_n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY 1"""
@@ -122,3 +132,10 @@ SQL["q05_file_profile"] = """SELECT symbol, count(*) AS n, min(ts_ms) AS lo, max
 SQL["q07_reconciliation"] = """SELECT count(*) AS scope, $int(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)) AS skipped_inactive, $int(sum(CASE WHEN c_acctbal >= 0 AND c_nationkey > 20 THEN 1 ELSE 0 END)) AS skipped_market, $int(sum(CASE WHEN c_acctbal >= 0 AND c_nationkey <= 20 THEN 1 ELSE 0 END)) AS rows_n, count(*) = sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) + sum(CASE WHEN c_acctbal >= 0 AND c_nationkey > 20 THEN 1 ELSE 0 END) + sum(CASE WHEN c_acctbal >= 0 AND c_nationkey <= 20 THEN 1 ELSE 0 END) AS ok FROM customer"""
 SQL["q08_coverage_bias"] = """SELECT label, score > 1000 AS covered, count(*) AS n FROM samples GROUP BY 1, 2"""
 SQL["q09_recomputed"] = """WITH pub AS (SELECT l_returnflag, count(*) + CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS n FROM lineitem GROUP BY 1), re AS (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1) SELECT coalesce(pub.l_returnflag, re.l_returnflag) AS flag, CASE WHEN pub.n IS NULL OR re.n IS NULL THEN 'UNVERIFIED' WHEN pub.n = re.n THEN 'PASS' ELSE 'FAIL' END AS state FROM pub FULL OUTER JOIN re ON pub.l_returnflag = re.l_returnflag"""
+SQL["q06_checksum_states"] = """WITH e AS (SELECT event_id % 50 AS name, max(value) AS v FROM events WHERE event_id % 3 <> 0 GROUP BY 1), f AS (SELECT event_id % 60 AS name, max(value) AS v FROM events WHERE event_id % 3 <> 1 GROUP BY 1) SELECT e.name, CASE WHEN f.name IS NULL THEN 'missing' WHEN e.name % 7 = 0 THEN 'needs_verify' WHEN e.v = f.v THEN 'done' ELSE 'bad' END AS state FROM e LEFT JOIN f ON f.name = e.name"""
+SQL["r02_hour_bucket_latest"] = """SELECT user_id, $hour(ts) AS hour_ms, $r($max_by(value; ts, event_id)) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"""
+SQL["r07_health_log"] = """SELECT event_type AS lane, $ymd(ts) AS day, count(*) AS rows_n, $int(sum(CASE WHEN value < 1 THEN 1 ELSE 0 END)) AS suspect, max($ms(ts)) AS last_ms FROM events GROUP BY 1, 2"""
+SQL["r08_queue_progress"] = """WITH d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linestatus = 'F') SELECT o_orderstatus, CASE WHEN d.k IS NULL THEN 'pending' ELSE 'done' END AS state, count(*) AS n FROM orders LEFT JOIN d ON d.k = o_orderkey GROUP BY 1, 2"""
+SQL["r09_throughput_plateau"] = """WITH t AS (SELECT $div($ms(ts); 86400000) AS w, count(*) AS rate FROM events GROUP BY 1), g AS (SELECT w, rate, rate / CAST(nullif(lag(rate) OVER (ORDER BY w), 0) AS DOUBLE) - 1 AS growth FROM t), p AS (SELECT w, rate, growth, lag(growth) OVER (ORDER BY w) AS before FROM g) SELECT w, rate, coalesce(growth < 0.1 AND before < 0.1, FALSE) AS plateau FROM p"""
+SQL["r10_budget_cut"] = """WITH c AS (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM documents) SELECT source, count(*) AS inside, $int(max(used)) AS used FROM c WHERE used <= 50000 GROUP BY 1"""
+SQL["c02_threshold_variants"] = """WITH t AS (SELECT 10 AS th UNION ALL SELECT 20 UNION ALL SELECT 35) SELECT th, count(*) AS n, $int(sum(CASE WHEN value >= th THEN 1 ELSE 0 END)) AS reached FROM events CROSS JOIN t GROUP BY 1"""

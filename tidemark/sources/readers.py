@@ -22,7 +22,28 @@ _LEAST_FIELDS = 11
 
 
 def zip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, fields of every line of the first .csv member of each archive; a file is read by one task, in batches.
+    """archive_lines of all zip files below path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    return archive_lines(files.select("path", "content"))
+
+
+def zipped(files: DataFrame) -> DataFrame:
+    """(path, body) as (path, content): each body as the only member of an archive."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for body in batch["body"]:
+                with zipfile.ZipFile(data := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("data.csv", body)
+                out.append(data.getvalue())
+            yield pd.DataFrame({"path": batch["path"], "content": out})
+
+    return files.select("path", "body").mapInPandas(run, "path string, content binary")
+
+
+def archive_lines(files: DataFrame) -> DataFrame:
+    """path, line_no, fields of every line of the first .csv member of each archive (path, content); a file is read by one task, in batches.
 
     Lines of less than eleven fields are dropped, and a first line that doesn't begin with a digit.
     """
@@ -47,8 +68,7 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=["path", "line_no", "fields"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, line_no long, fields array<string>")
+    return files.mapInPandas(run, "path string, line_no long, fields array<string>")
 
 
 def klines(lines: DataFrame, dedupe: bool = True) -> DataFrame:
