@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-#: Bytes of text worked on at once; bounds the scratch arrays, which take some 60 bytes for each.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text worked on at once; bounds the scratch arrays, which take some 100 bytes for each.
+BLOCK_BYTES = 1_000_000
 
 # An odd multiplier for polynomial hashes modulo 2**64 and its inverse.
 _R = 0x9E3779B97F4A7C15

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tidemark.llm.buffers import blocks, ragged, span_hashes
+from tidemark.llm.buffers import BLOCK_BYTES, blocks, ragged, span_hashes
 
 # Characters with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -335,7 +335,7 @@ class Merges:
         return ids, at[by_text]
 
     #: Merged slices kept from block to block; beyond so many all are forgotten, which costs time only.
-    CACHED = 2_000_000
+    CACHED = 500_000
 
     def _cached(self, key, raw, start, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the slices whose sorted hashes are key, merging only what no earlier block had."""
@@ -418,7 +418,7 @@ class ByteTable:
         return out, at[offsets]
 
 
-def encode_texts(merges: Merges, raw: np.ndarray, offsets: np.ndarray, most: int = 2_000_000):
+def encode_texts(merges: Merges, raw: np.ndarray, offsets: np.ndarray, most: int = BLOCK_BYTES):
     """(first, last + 1, ids, offsets) for each block of whole texts."""
     for first, last, part, at in blocks(raw, offsets, most):
         ids, by_text = merges.encode(part, at)
