@@ -174,7 +174,9 @@ def test_packing_covers_every_id_once(docs, empty):
 
 
 # ---- files of ids
-def test_id_files_give_documents_back(docs, empty):
+@pytest.mark.parametrize("most_cuts", [1_000, 1])
+def test_id_files_give_documents_back(docs, empty, monkeypatch, most_cuts):
+    monkeypatch.setattr(id_files, "MOST_CUTS", most_cuts)
     path = public_tokenizers.path(id_files.VOCABULARY)
     kind = id_files.id_type(bytebpe.from_json(path))
     library = Tokenizer.from_file(path)

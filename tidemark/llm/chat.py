@@ -133,3 +133,15 @@ def op4_event_chat(spark, sf_dir: str) -> DataFrame:
     back = parsed(rendered(folded(log_of(rows))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP4_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e AS (SELECT *, length(replace(text, '␛', '␛␛')) + len(regexp_extract_all(text, '<(?:[|]im_start[|]>|[|]im_end[|]>|[|]endoftext[|]>|/?s>|<SYS>>|</SYS>>)|\\[/?INST\\]')) AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + body + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -34,6 +34,8 @@ from tidemark.llm.buffers import text_buffer
 from tidemark.llm.sequences import with_end
 from tidemark.llm.shared import map_arrow, shared_folder, written
 
+#: Ranges up to which their bounds are an expression.
+MOST_CUTS = 1_000
 #: Ids of a sequence; sequences of a record batch; documents of a file, about.
 LENGTH, BATCH, FILE_DOCS = 2048, 256, 8_192
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -69,10 +71,15 @@ def write(df: DataFrame, keys: DataFrame, kind: str, length: int = LENGTH, file_
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root)
     n = max(1, -(-keys.count() // file_docs))
-    cuts = [] if n == 1 else keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    which = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))").cast("int") if cuts else F.lit(0)
-    dealt = df.withColumn("file_no", F.when(F.col("doc_id").isNull(), 0).otherwise(which)).repartitionById(len(cuts) + 1, F.col("file_no")).sortWithinPartitions("file_no", "doc_id").drop("file_no")
+    if n <= MOST_CUTS:
+        cuts = [] if n == 1 else keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
+        cuts = sorted(set(cuts))
+        which = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))").cast("int") if cuts else F.lit(0)
+        dealt = df.withColumn("file_no", F.when(F.col("doc_id").isNull(), 0).otherwise(which)).repartitionById(len(cuts) + 1, F.col("file_no")).drop("file_no")
+    else:
+        # Too many bounds for an expression: Spark's own ranges, which read the rows twice, so the ids are written first.
+        dealt = written(df, "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(batches):
         out = _File(folder, kind, length)

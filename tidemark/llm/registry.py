@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe_codec import op7_byte_bpe
-from tidemark.llm.chat import op4_event_chat
+from tidemark.llm.chat import OP4_SQL, op4_event_chat
 from tidemark.llm.id_files import op10_arrow_ids
 from tidemark.llm.packing import op8_best_fit
 from tidemark.llm.quality import op2_robust_quality
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_norm_buckets": OP3_SQL}
+    return {"op3_norm_buckets": OP3_SQL, "op4_event_chat": OP4_SQL}
