@@ -355,7 +355,9 @@ def test_golay_code_covers_within_three():
     assert [len(p) for p in patterns] == [2048, math.comb(23, 4), math.comb(23, 5)]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_LINKS", few)
     n = 60
     order = random.Random(5).sample(range(n), n)
     edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])] + [(1000, 1001)], "a long, b long")

@@ -161,22 +161,32 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+#: Links up to which each node's least neighbour is broadcast (a node has some 40 bytes, and there are at most two to a link).
+BROADCAST_LINKS = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node of its component."""
+    """(node, root) for every node of the links (a, b): root is the smallest node of its component.
+
+    A node with a great many links has them spread over tasks: their least is summed
+    before it is shuffled, and comes back by broadcast while there are few links, else by
+    a join.
+    """
     edges = written(edges.select("a", "b"), "links")
-    before = None
+    before, count = None, edges.count()
     while True:
+        small = (lambda df: F.broadcast(df)) if count <= BROADCAST_LINKS else (lambda df: df)
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(small(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "star")
+        pairs = down.join(small(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        edges = written(pairs, "star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = now
+        before, count = now, now[0]
 
 
 def near_duplicates(df: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
