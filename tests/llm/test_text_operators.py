@@ -117,6 +117,28 @@ def test_tokenizer_files_encode_as_the_library(name, texts):
     assert got == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab \n'sÄİ1<|>", "e\u0301", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext"]), max_size=9), max_size=6))
+def test_added_tokens_encode_as_the_library_as_loaded(name, texts):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    texts = ["".join(t) for t in texts] + ["a <|endoftext|> b", "<|endoftext|>", "", "<|endo", "ftext|>"]
+    raw, offsets = text_buffer(pa.array(texts))
+    got = [ids[a:b].tolist() for _, _, ids, at in sequences.with_end(_cached(bytebpe.from_json, path), raw, offsets, 7, sequences.added_tokens(path)) for a, b in zip(at, at[1:])]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_pieces_and_files_hold_added_tokens(spark):
+    texts = ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path(packing.VOCABULARY)
+    crc = lambda p, t, end, kind: zlib.crc32(np.array([*Tokenizer.from_file(p).encode(t or "", add_special_tokens=False).ids, end], kind).tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows(packing.pieces(df, path))} == {i: crc(path, t, packing.END_ID, "<u4") for i, t in enumerate(texts)}
+    path = public_tokenizers.path(id_files.VOCABULARY)
+    assert {r["doc_id"]: zlib.crc32(bytes(r["ids"])) for r in rows(id_files.encoded(df, path))} == {i: crc(path, t, id_files.END_ID, "<u2") for i, t in enumerate(texts)}
+
+
 def test_codec_round_trip_and_offsets(docs, empty):
     path = public_tokenizers.path(bpe_codec.RANKS)
     coded = bpe_codec.encode(docs, path, keep=["doc_id", "text"])

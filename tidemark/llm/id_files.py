@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_codec import load
 from tidemark.llm.buffers import text_buffer
-from tidemark.llm.sequences import with_end
+from tidemark.llm.sequences import added_tokens, with_end
 from tidemark.llm.shared import map_arrow, shared_folder, written
 
 #: Ranges up to which their bounds are an expression.
@@ -45,11 +45,11 @@ def encoded(df: DataFrame, path: str, end: int = END_ID) -> DataFrame:
     """doc_id and ids, as the bytes of unsigned integers of 2 (or 4) bytes."""
     merges = load(path)
     kind = id_type(merges)
-    shared = df.sparkSession.sparkContext.broadcast(merges)
+    shared, added = df.sparkSession.sparkContext.broadcast(merges), added_tokens(path)
 
     def make(batch):
         raw, offsets = text_buffer(batch.column(1))
-        for a, b, ids, at in with_end(shared.value, raw, offsets, end):
+        for a, b, ids, at in with_end(shared.value, raw, offsets, end, added):
             data = ids.astype(kind).tobytes()
             p = at * np.dtype(kind).itemsize
             yield {"doc_id": batch.column(0).slice(a, b - a), "ids": [data[x:y] for x, y in zip(p, p[1:])]}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_codec import load
 from tidemark.llm.buffers import text_buffer
-from tidemark.llm.sequences import with_end
+from tidemark.llm.sequences import added_tokens, with_end
 from tidemark.llm.shared import map_arrow, written
 
 #: Tokens of a sequence; free places with which a bin is as good as full; bins of one task from level 1 on; pieces packed together on level 0.
@@ -70,11 +70,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def pieces(df: DataFrame, path: str, end: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every text of (doc_id, text)."""
-    shared = df.sparkSession.sparkContext.broadcast(load(path))
+    shared, added = df.sparkSession.sparkContext.broadcast(load(path)), added_tokens(path)
 
     def make(batch):
         raw, offsets = text_buffer(batch.column(1))
-        for a, b, ids, at in with_end(shared.value, raw, offsets, end):
+        for a, b, ids, at in with_end(shared.value, raw, offsets, end, added):
             size = np.diff(at)
             many = -(-size // capacity)
             head = size - (many - 1) * capacity
