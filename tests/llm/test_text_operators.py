@@ -398,3 +398,46 @@ def test_wide_stage_keeps_one_of_each_group(spark, empty):
     kept = simhash_wide.deduplicated(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in rows(kept)) == list(range(60))
     assert not rows(simhash_wide.deduplicated(empty))
+
+
+def test_close_fingerprints_are_all_found():
+    rng = random.Random(8)
+    keys = []
+    for _ in range(60):
+        base = rng.getrandbits(253)
+        for bits in (0, *range(30, 52), 60):
+            x = base ^ sum(1 << b for b in rng.sample(range(253), bits))
+            keys.append([*((x >> 64 * k) & (2**64 - 1) for k in range(4)), rng.getrandbits(64), 0, rng.randint(80, 130)])
+    keys = np.array(sorted(keys, key=lambda k: k[-1]), np.uint64)
+    rest = np.bitwise_count(keys[:, None, :4] ^ keys[None, :, :4]).sum(2)
+    size = keys[:, -1].astype(int)
+    want = (rest <= simhash_wide.MOST_BITS) & (10 * np.minimum.outer(size, size) >= 8 * np.maximum.outer(size, size))
+    assert {(i, j) for p, q, _ in simhash_wide.close_pairs(keys, keys, True) for i, j in zip(p, q)} == set(zip(*np.nonzero(np.triu(want, 1))))
+    a, b = keys[::2], keys[1::2]
+    assert {(i, j) for p, q, _ in simhash_wide.close_pairs(a, b, False) for i, j in zip(p, q)} == set(zip(*np.nonzero(want[::2, 1::2])))
+
+
+def test_wide_stage_keeps_texts_below_the_similarity(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(simhash_wide, "LEAST_UNIT", 40)
+    texts = []
+    for _ in range(30):
+        words = prose(rng, 200).split()
+        for tail in (0, 2, 14, 26, 40, 60):  # new words at the end, so many shingles
+            texts.append(" ".join(words[: 200 - tail] + prose(rng, tail).split()))
+    texts += [" ".join(["same"] * 300 + prose(rng, n).split()) for n in (90, 91, 92)]  # one fingerprint, other shingles
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    fps = [np.frombuffer(simhash_wide.wide_fingerprints(*text_buffer(pa.array([t])))["fp"][0], "<u8") for t in texts]
+    root = list(range(len(texts)))
+    linked = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and np.bitwise_count(fps[i][:4] ^ fps[j][:4]).sum() <= 51]
+    for _ in texts:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    want = [i for i in range(len(texts)) if root[i] == i]
+    loose = sum(np.bitwise_count(fps[i][:4] ^ fps[j][:4]).sum() <= 51 for j in range(len(texts)) for i in range(j))
+    assert loose > len(linked) > 30
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "", "", "") for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in rows(simhash_wide.deduplicated(df))) == want
