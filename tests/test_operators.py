@@ -245,3 +245,24 @@ def test_queries_equal_their_sql(spark, name):
     columns = [c[0] for c in con.description]
     got = [tuple(r[c] for c in columns) for r in registry.queries()[name](spark, d).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_rolling_spearman_at_every_bar(spark):
+    rng = random.Random(12)
+    data = [(s, i, None if rng.random() < 0.03 else float(rng.randrange(40)), 1.0 if s == "C" else rng.random()) for s, n in (("A", 400), ("B", 170), ("C", 169), ("D", 100)) for i in range(n)]
+    df = spark.createDataFrame(data, "symbol string, ts_ms long, close double, volume double")
+    got = {(r["symbol"], r["ts_ms"]): r["rho"] for r in rows(stats.rolling_spearman(df, "close", "volume", ["symbol"], "ts_ms", 168, "rho"))}
+    assert len(got) == 233 + 3 + 2
+    for (s, t), rho in got.items():
+        part = pd.DataFrame([x[2:] for x in data if x[0] == s and t - 168 < x[1] <= t]).astype(float).dropna()
+        want = part[0].rank().corr(part[1].rank()) if s != "C" else None
+        assert rho is None if want is None else math.isclose(rho, want, abs_tol=1e-9)
+
+
+def test_w20_gives_every_bar_with_a_full_window(spark):
+    from tidemark.plans import engine
+    from tidemark.plans.domain import domain
+
+    d = "/root/testdata/sf0.001"
+    bars = domain(spark, d, "bars").groupBy("symbol").count().collect()
+    assert engine.w20_rolling_spearman_168(spark, d).count() == sum(max(0, b["count"] - 167) for b in bars) > 0

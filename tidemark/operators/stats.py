@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.operators.windows import average_rank
 
@@ -26,6 +29,37 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 30) ->
     return out.withColumn("ic", F.when(ok, F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy")))).drop("_c", "_vx", "_vy")
 
 
+def rolling_spearman(df: DataFrame, x: str, y: str, keys: list[str], time: str, rows: int, name: str) -> DataFrame:
+    """keys, time and the rank correlation over the last ``rows`` rows, at every row that has so many; null under three pairs or where a side is constant."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    pairs = df.select(*keys, time, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.row_number().over(w).alias("_i"))
+    frame = w.rowsBetween(1 - rows, 0)
+    # A missing side leaves the pair out: both become NaN, so that both lists have a place for each row.
+    whole = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    side = lambda c: F.collect_list(F.when(whole, F.col(c)).otherwise(F.lit(float("nan")))).over(frame)
+    frames = pairs.select(*keys, time, "_i", side("_x").alias("_x"), side("_y").alias("_y")).where(F.col("_i") >= rows).drop("_i")
+    head = df.select(*keys, time).schema
+
+    def ranks(v, ok):
+        less = ((v[:, None, :] < v[:, :, None]) & ok[:, None, :]).sum(2)
+        return less + (((v[:, None, :] == v[:, :, None]) & ok[:, None, :]).sum(2) + 1) / 2
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                a, b = (np.array(part.column(c).to_pylist(), float) for c in ("_x", "_y"))
+                ok = ~(np.isnan(a) | np.isnan(b))
+                n = np.maximum(ok.sum(1), 1)
+                da, db = (np.where(ok, r - (np.where(ok, r, 0).sum(1) / n)[:, None], 0) for r in (ranks(a, ok), ranks(b, ok)))
+                va, vb = (da * da).sum(1), (db * db).sum(1)
+                on = (n >= 3) & (va > 0) & (vb > 0)
+                rho = np.where(on, (da * db).sum(1) / np.sqrt(np.where(on, va * vb, 1)), 0)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(head)], pa.array(rho, mask=~on)], [*head.names, name])
+
+    return frames.mapInArrow(run, StructType([*head.fields, StructField(name, DoubleType())]))
+
+
 def residual(df: DataFrame, y: str, controls: list[str], name: str) -> DataFrame:
     """df with y's residual on one or two controls, from normal equations over one aggregate row."""
     means = df.select(*(F.avg(c).alias(f"_m_{c}") for c in (y, *controls)), *(F.covar_pop(a, b).alias(f"_c_{a}_{b}") for i, a in enumerate((y, *controls)) for b in (y, *controls)[i:]))

@@ -77,6 +77,12 @@ def w20_rolling_spearman(spark, d):
     return stats.spearman(each, "close", "volume", ["symbol", "ts_ms"], 3).select("symbol", "ts_ms", r("ic").alias("rho"))
 
 
+@query(None)
+def w20_rolling_spearman_168(spark, d):
+    """W20 whole: close and volume at every bar with a full window of 168 rows."""
+    return stats.rolling_spearman(domain(spark, d, "bars"), "close", "volume", ["symbol"], "ts_ms", 168, "rho").select("symbol", "ts_ms", r("rho").alias("rho"))
+
+
 @query(None)
 def w30_random_rank(spark, d):
     """A control rank by hash of seed, hour and symbol: the same on any cluster."""
