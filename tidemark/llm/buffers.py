@@ -7,36 +7,22 @@ and not once for a word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
+from tidemark.llm.xxh import xxh64
+
 #: Bytes of text worked on at once; bounds the scratch arrays, which take some 100 bytes for each.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 
-# An odd multiplier for polynomial hashes modulo 2**64 and its inverse.
-_R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 1 << 64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-
-_powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-
-
-def _geometric(r: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(r))
-    out[:1] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers = (_geometric(_R, size), _geometric(_R_INV, size))
-    return _powers[0][:n], _powers[1][:n]
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(8)], np.uint64)
+#: Seed of the hashes of spans; spans of more bytes are hashed one by one.
+_SEED, _LONG = 7, 64
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +47,66 @@ def blocks(raw: np.ndarray, offsets: np.ndarray, most: int = BLOCK_BYTES) -> Ite
         first = last
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: a polynomial by prefix sums, mixed with the length.
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as numbers; zeros follow the end."""
+    padded = np.append(raw, np.zeros(16, np.uint8))
+    return np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+
 
-    Equal spans have equal hashes wherever they stand; of n different spans, two are
-    expected to collide with a chance of n * n / 2**65.
+def span_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span of bytes: up to seven bytes the span itself, beyond that a hash with the top bit set.
+
+    Equal spans have equal keys wherever they stand.  Different spans of up to seven bytes
+    have different keys; of n longer ones two collide with a chance of n * n / 2**64, which
+    ``distinct_spans`` sees and mends and whoever compares keys of different blocks must bear.
     """
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start]
-        return mixed(h + (end - start).astype(np.uint64) * np.uint64(_R))
+    length = end - start
+    out = _eights(raw)[start] & _LOW[np.minimum(length, 7)] | np.minimum(length, 7).astype(np.uint64) << np.uint64(56)
+    some = np.flatnonzero(length > 7)
+    if len(some):
+        h = np.zeros(len(some), np.uint64)
+        short = length[some] <= _LONG
+        h[short] = xxh64(raw, start[some[short]], length[some[short]], _SEED)
+        for i in np.flatnonzero(~short):
+            h[i] = int.from_bytes(hashlib.blake2b(raw[start[some[i]] : end[some[i]]], digest_size=8).digest(), "little")
+        out[some] = h | np.uint64(1 << 63)
+    return out
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each span of a, of at least eight bytes, has the bytes of that of b."""
+    same = np.ones(len(length), bool)
+    x, y = _eights(a), _eights(b)
+    on, k = np.flatnonzero(length <= 8 * _LONG), 0
+    while len(on):
+        at = np.minimum(8 * k, length[on] - 8)
+        same[on] &= x[a_start[on] + at] == y[b_start[on] + at]
+        k += 1
+        on = on[length[on] > 8 * k]
+    for i in np.flatnonzero(length > 8 * _LONG):
+        same[i] = np.array_equal(a[a_start[i] : a_start[i] + length[i]], b[b_start[i] : b_start[i] + length[i]])
+    return same
+
+
+def distinct_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the different spans each one's key and first place; and which of them every span is.  Bytes decide, not keys."""
+    length = end - start
+    key, one, which = np.unique(span_keys(raw, start, end), return_index=True, return_inverse=True)
+    check = np.flatnonzero((length > 7) & (one[which] != np.arange(len(which))))
+    first = one[which[check]]
+    fits = length[check] == length[first]
+    fits[fits] = same_spans(raw, start[check[fits]], raw, start[first[fits]], length[check[fits]])
+    if not fits.all():
+        others: dict[tuple[int, bytes], int] = {}
+        more = []
+        for i in check[~fits].tolist():
+            name = int(which[i]), raw[start[i] : end[i]].tobytes()
+            if name not in others:
+                others[name] = len(one) + len(more)
+                more.append(i)
+            which[i] = others[name]
+        key, one = np.append(key, key[[k for k, _ in others]]), np.append(one, more)
+    return key, one, which
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tidemark.llm.buffers import BLOCK_BYTES, blocks, ragged, span_hashes
+from tidemark.llm.buffers import BLOCK_BYTES, blocks, distinct_spans, ragged, same_spans
 
 # Characters with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -329,41 +329,55 @@ class Merges:
         start, end, by_text = slices(raw, offsets, self.spaced)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        key, one, which = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        key, one, which = distinct_spans(raw, start, end)
         flat, begin, count = self._cached(key, raw, start[one], (end - start)[one])
         ids, at = ragged(flat, begin[which], count[which])
         return ids, at[by_text]
 
     #: Merged slices kept from block to block; beyond so many all are forgotten, which costs time only.
-    CACHED = 500_000
+    CACHED = 300_000
 
     def _cached(self, key, raw, start, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the slices whose sorted hashes are key, merging only what no earlier block had."""
+        """Ids of different slices, merging only what no earlier block had; a slice's bytes must be the kept ones."""
         runs = self.__dict__.setdefault("_runs", [])
         begin, count = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
         flats, base = [], 0
-        for keys, starts, counts, flat in runs:
+        for r in runs:
             open_ = np.flatnonzero(begin < 0)
-            at = np.minimum(np.searchsorted(keys, key[open_]), len(keys) - 1)
-            hit = keys[at] == key[open_]
-            begin[open_[hit]], count[open_[hit]] = starts[at[hit]] + base, counts[at[hit]]
-            flats.append(flat)
-            base += len(flat)
+            at = np.minimum(np.searchsorted(r["key"], key[open_]), len(r["key"]) - 1)
+            hit = (r["key"][at] == key[open_]) & (r["length"][at] == length[open_])
+            long = np.flatnonzero(hit & (length[open_] > 7))
+            hit[long] = same_spans(raw, start[open_[long]], r["bytes"], r["place"][at[long]], length[open_[long]])
+            begin[open_[hit]], count[open_[hit]] = r["begin"][at[hit]] + base, r["count"][at[hit]]
+            flats.append(r["flat"])
+            base += len(r["flat"])
         miss = np.flatnonzero(begin < 0)
         if len(miss):
             flat, starts, counts = self.merged(raw, start[miss], length[miss])
             begin[miss], count[miss] = starts + base, counts
             flats.append(flat)
-            runs.append((key[miss], starts, counts, flat))
+            kept, place = ragged(raw, start[miss], length[miss])
+            runs.append(_sorted({"key": key[miss], "begin": starts, "count": counts, "length": length[miss], "place": place[:-1], "flat": flat, "bytes": kept}))
         if len(runs) > 6:
-            keys, counts = np.concatenate([r[0] for r in runs]), np.concatenate([r[2] for r in runs])
-            shift = np.cumsum([0, *(len(r[3]) for r in runs[:-1])])
-            starts = np.concatenate([r[1] + s for r, s in zip(runs, shift)])
-            order = np.argsort(keys)
-            self._runs = [(keys[order], starts[order], counts[order], np.concatenate([r[3] for r in runs]))] if len(keys) <= self.CACHED else []
+            few = sum(len(r["key"]) for r in runs) <= self.CACHED
+            self._runs = [_joined(runs)] if few else []
         return np.concatenate(flats), begin, count
 
 
+def _sorted(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A run of kept slices in order of their keys; flat ids and bytes stay."""
+    order = np.argsort(run["key"], kind="stable")
+    return {k: v if k in ("flat", "bytes") else v[order] for k, v in run.items()}
+
+
+def _joined(runs: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    out = {k: np.concatenate([r[k] for r in runs]) for k in runs[0]}
+    n = [len(r["key"]) for r in runs]
+    out["begin"] += np.repeat(np.cumsum([0, *(len(r["flat"]) for r in runs[:-1])]), n)
+    out["place"] += np.repeat(np.cumsum([0, *(len(r["bytes"]) for r in runs[:-1])]), n)
+    return _sorted(out)
+
+
 def _pieces(strings: dict[bytes, int]) -> list[tuple[int, int, int, int]]:
     """Every way to make a string of two: as the ranks say, joined at that rank."""
     return [(strings[s[:i]], strings[s[i:]], r, r) for s, r in strings.items() for i in range(1, len(s)) if s[:i] in strings and s[i:] in strings]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.buffers import ascii_lower, blocks, mixed, packed, run_sums, span_hashes, text_buffer, unpacked, word_spans
+from tidemark.llm.buffers import ascii_lower, blocks, mixed, packed, run_sums, span_keys, text_buffer, unpacked, word_spans
 from tidemark.llm.shared import map_arrow, written
 
 P_MIN, DEPTH, DISCOUNT, GAIN = 5e-7, 3, 0.75, 2.0
@@ -64,7 +64,7 @@ def chunks(df: DataFrame) -> DataFrame:
                 keys = np.full(len(start) + b - a, END)
                 keep = np.ones(len(keys), bool)
                 keep[by_text[1:] + more[:-1]] = False
-                keys[keep] = span_hashes(low, start, end)
+                keys[keep] = span_keys(low, start, end)
                 vocab, codes = np.unique(keys, return_inverse=True)
                 counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(vocab))
                 yield pa.RecordBatch.from_arrays(

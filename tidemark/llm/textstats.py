@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidemark.llm.buffers import mixed, run_sums, span_hashes, word_spans
+from tidemark.llm.buffers import distinct_spans, mixed, run_sums, word_spans
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -14,9 +14,22 @@ _symbol = np.zeros(256, bool)
 _symbol[list(SYMBOLS)] = True
 
 
-def _keyed(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+def _windows(words: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each run of WINDOW words within its text, the runs beginning at ``at``, and how often each number occurs."""
+    h = mixed(text[at].astype(np.uint64) + np.uint64(1))
     with np.errstate(over="ignore"):
-        return mixed(h + mixed(text.astype(np.uint64) + np.uint64(1)))
+        for k in range(WINDOW):
+            h = mixed(h + mixed(words[at + k].astype(np.uint64) + np.uint64(k)))
+    _, one, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times[which] >= 2)
+    first = at[one[which[often]]]
+    if all((words[at[often] + k] == words[first + k]).all() for k in range(WINDOW)) and (text[at[often]] == text[first]).all():
+        return which, times
+    # Different runs of one hash: told apart word by word.
+    which = text[at]
+    for k in range(WINDOW):
+        _, which = np.unique(which * (len(words) + 1) + words[at + k], return_inverse=True)
+    return which, np.bincount(which)
 
 
 def counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -41,18 +54,14 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(start, stop) > np.searchsorted(start, begin)
     begin, stop = begin[worded], stop[worded]
     text = np.searchsorted(offsets, begin, side="right") - 1
-    _, one = np.unique(_keyed(span_hashes(raw, begin, stop), text), return_index=True)
+    _, one = np.unique(text * (len(begin) + 1) + distinct_spans(raw, begin, stop)[2], return_index=True)
     out["n_dup_lines"] = np.bincount(text, minlength=n) - np.bincount(text[one], minlength=n)
     if len(start) >= WINDOW:
-        words = span_hashes(raw, start, end)
+        words = distinct_spans(raw, start, end)[2]
         text = np.repeat(np.arange(n), n_words)
         m = len(words) - WINDOW + 1
         inside = np.flatnonzero(text[:m] == text[WINDOW - 1 :])
-        h = np.zeros(len(inside), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(WINDOW):
-                h = mixed(h + words[inside + k])
-        _, which, times = np.unique(_keyed(h, text[inside]), return_inverse=True, return_counts=True)
+        which, times = _windows(words, text, inside)
         again = inside[times[which] >= 2]
         cover = np.zeros(len(words) + 1, np.int64)
         np.add.at(cover, again, 1)

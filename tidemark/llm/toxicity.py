@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.buffers import ascii_lower, blocks, span_hashes, text_buffer
+from tidemark.llm.buffers import ascii_lower, blocks, span_keys, text_buffer
 from tidemark.llm.shared import crc32_mod, map_arrow, map_batches
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 3_000
@@ -75,10 +75,10 @@ def instances(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sentence = np.cumsum(np.append(False, mark[1:] != mark[:-1])) if len(mark) else np.zeros(0, np.int64)
     begin = edge[mark[first] - 1]
     text = np.searchsorted(offsets, start[first], side="right") - 1
-    features, at = [span_hashes(low, start, end)], [sentence]
+    features, at = [span_keys(low, start, end)], [sentence]
     for i, n in enumerate(STEMS):
         longer = end - start > n
-        features.append(span_hashes(low, start[longer], start[longer] + n) ^ np.uint64(i + 1))
+        features.append(span_keys(low, start[longer], start[longer] + n) ^ np.uint64(i + 1))
         at.append(sentence[longer])
     return np.concatenate(features), np.concatenate(at), text, begin, edge[mark[first]] if len(first) else begin
 
