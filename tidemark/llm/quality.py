@@ -4,15 +4,17 @@ Each text's counts become a vector of transformed statistics.  For each language
 source, concentration steps look for the three quarters of the texts whose covariance has
 the least determinant: distances under the last mean and covariance, the bin of distance
 that holds the wanted share (exact counts by bin, summed before any shuffle), then mean
-and covariance of the texts up to there.  The start is each coordinate's median and
-spread.  A text whose Mahalanobis distance under the last estimate passes CUTOFF is
-rejected.
+and covariance of the texts up to there.  There are three starts: the coordinates' spreads
+alone, correlations of squashed coordinates, and of directions from the median.  After
+TRIAL steps of each, a group goes on with the start of the least determinant until no
+determinant changes (at most MOST_STEPS steps).  A text whose Mahalanobis distance under
+the last estimate passes CUTOFF is rejected.
 
 Every variance has a floor, so that a statistic that is constant in most texts neither
 makes the matrix singular nor rejects the first text that differs a little.  Groups of
-less than LEAST_ROWS texts are judged together by language, and those of languages that
-are still as small all together; with less than twice as many texts as statistics, no
-text is rejected by the method.
+less than LEAST_ROWS texts, five for each statistic, are judged together by language, and
+those of languages that are still as small all together; with less than twice as many
+texts as statistics, no text is rejected by the method.
 
 Defined results: a null text counts as empty and fails the base rule; null languages and
 sources are groups of their own; repeated rows are counted and judged each; an empty table
@@ -43,7 +45,7 @@ STATISTICS = {
     "10 * n_dup_lines / (n_words + 50)": 0.1,
     "n_repeat_words / (n_words + 20)": 0.06,
 }
-SHARE, STEPS, LEAST_ROWS, CUTOFF = 0.75, 4, 100, 36.0
+SHARE, TRIAL, MOST_STEPS, LEAST_ROWS, CUTOFF = 0.75, 2, 30, 25, 36.0
 #: Distances are told apart by bins of a sixteenth of a power of two; groups whose estimates may be broadcast (some 400 bytes each).
 BINS, BROADCAST_GROUPS = 16, 20_000
 
@@ -91,48 +93,103 @@ def _distance(k: int) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def _moments(x: list[Column], mark: str) -> list[Column]:
+    """Sums of the columns, then of their products."""
+    k = len(x)
+    return [*(F.sum(x[i]).alias(f"{mark}{i}") for i in range(k)), *(F.sum(x[i] * x[j]).alias(f"{mark}{i}_{j}") for i in range(k) for j in range(i, k))]
+
+
+def _covariances(n: np.ndarray, moments: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances from rows of sums and of sums of products."""
+    mean = moments[:, :k] / n[:, None]
+    cov = np.zeros((len(n), k, k))
+    i, j = np.triu_indices(k)
+    cov[:, i, j] = cov[:, j, i] = moments[:, k:] / n[:, None] - mean[:, i] * mean[:, j]
+    return mean, cov
+
+
+def _solver(df: DataFrame, make, schema: str) -> DataFrame:
+    """mapInArrow over rows of a group name and numbers: make gets names and a matrix."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.list_(pa.float64()) if "array" in part else pa.string() if "string" in part else pa.int64() if "long" in part else pa.float64() for part in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for columns in make(batch.column(0).to_pylist(), np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]], 1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    return df.mapInArrow(run, schema)
+
+
+_ESTIMATE = "g string, start long, mean array<double>, inverse array<double>, determinant double"
+
+
+def _starts(moments: DataFrame, k: int) -> DataFrame:
+    """Estimates of every start: the median, and three shapes of covariance, from n, medians, spreads and moments of z squashed and of z's direction."""
+
+    def make(g, m):
+        n, middle, spread = m[:, 0], m[:, 1 : k + 1], m[:, k + 1 : 2 * k + 1]
+        width = k + k * (k + 1) // 2
+        shapes = [np.tile(np.eye(k), (len(g), 1, 1))]
+        for part in (m[:, 2 * k + 1 : 2 * k + 1 + width], m[:, 2 * k + 1 + width :]):
+            cov = _covariances(n, part, k)[1] + 1e-3 * np.eye(k)
+            size = np.sqrt(cov[:, range(k), range(k)])
+            shapes.append(cov / size[:, :, None] / size[:, None, :])
+        for start, shape in enumerate(shapes):
+            cov = shape * spread[:, :, None] * spread[:, None, :]
+            yield g, [start] * len(g), middle.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), [np.inf] * len(g)
+
+    return _solver(moments, make, _ESTIMATE)
+
+
 def _solved(moments: DataFrame, floors: list[float], share: float) -> DataFrame:
-    """g, n, mean and inverse covariance from n and the sums of x and of products."""
+    """Estimates from the start, n and the moments of x of the nearest texts; the determinant is a logarithm."""
     k = len(floors)
     factor = consistency(k, share)
 
-    def make(batch):
-        m = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
-        n = m[:, 0]
-        mean = m[:, 1 : k + 1] / n[:, None]
-        cov = np.zeros((len(n), k, k))
-        at = k + 1
-        for i in range(k):
-            for j in range(i, k):
-                cov[:, i, j] = cov[:, j, i] = m[:, at] / n - mean[:, i] * mean[:, j]
-                at += 1
+    def make(g, m):
+        mean, cov = _covariances(m[:, 1], m[:, 2:], k)
         cov = factor * cov + np.diag(np.square(floors))
-        yield {"g": batch.column(0), "mean": mean.tolist(), "inverse": np.linalg.inv(cov).reshape(len(n), -1).tolist()}
+        yield g, m[:, 0].astype(int).tolist(), mean.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), np.linalg.slogdet(cov)[1].tolist()
 
-    return moments.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(y["g"]), pa.array(y["mean"], pa.list_(pa.float64())), pa.array(y["inverse"], pa.list_(pa.float64()))], ["g", "mean", "inverse"]) for b in batches if b.num_rows for y in make(b)), "g string, mean array<double>, inverse array<double>")
+    return _solver(moments, make, _ESTIMATE)
 
 
-def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """g, mean, inverse and n of every group of rows (a table of g and x0, x1, ...)."""
+def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
+    """g, mean, inverse, determinant and n of every group of rows (a table of g and x0, x1, ...)."""
     k = len(floors)
     names = [f"x{i}" for i in range(k)]
     middle = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(x) for x in names]
     start = rows.groupBy("g").agg(F.count("*").alias("n"), *middle)
     spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in zip(names, floors)]
-    inverse = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(k) for j in range(k)]
-    first = written(start.select("g", "n", F.array(*(F.col(x)[1] for x in names)).alias("mean"), F.array(*inverse).alias("inverse")), "start")
-    groups, estimate = first.count(), first.select("g", "mean", "inverse")
-    for step in range(steps):
-        scored = _attached(rows, estimate, groups).select("g", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
-        per_bin = scored.groupBy("g", "bin").agg(F.count("*").alias("n"))
-        by_group = Window.partitionBy("g")
-        reached = per_bin.select("g", "bin", F.sum("n").over(by_group.orderBy("bin")).alias("so_far"), F.sum("n").over(by_group).alias("all"))
-        limit = reached.where(F.col("so_far") >= F.ceil(F.col("all") * share)).groupBy("g").agg(F.min("bin").alias("limit"))
-        near = _attached(scored, limit, groups).where("bin <= limit")
-        products = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
-        moments = near.groupBy("g").agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(x) for x in names), *products)
-        estimate = written(_solved(moments, floors, share), f"estimate{step}")
-    return estimate.join(first.select("g", "n"), "g")
+    first = written(start.select("g", "n", *(F.col(x)[1].alias(f"m{i}") for i, x in enumerate(names)), *(c.alias(f"s{i}") for i, c in enumerate(spread))), "start")
+    groups = first.count()
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(names)]
+    far = F.sqrt(sum((c * c for c in z[1:]), z[0] * z[0]))
+    ways = _attached(rows, first.drop("n"), groups).select("g", *(F.tanh(c).alias(f"t{i}") for i, c in enumerate(z)), *(F.when(far > 0, c / far).otherwise(0.0).alias(f"d{i}") for i, c in enumerate(z)))
+    ways = ways.groupBy("g").agg(*_moments([F.col(f"t{i}") for i in range(k)], "t"), *_moments([F.col(f"d{i}") for i in range(k)], "d"))
+    order = [c for c in first.columns if c != "g"] + [c for c in ways.columns if c != "g"]
+    estimate = written(_starts(_attached(ways, first, groups).select("g", *order), k), "estimates")
+    by_start = Window.partitionBy("g", "start")
+    for step in range(most_steps):
+        scored = _attached(rows, estimate.drop("determinant"), groups * (3 if step < TRIAL else 1)).select("g", "start", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
+        per_bin = scored.groupBy("g", "start", "bin").agg(F.count("*").alias("rows"), *_moments([F.col(x) for x in names], "p"))
+        below = F.coalesce(F.sum("rows").over(by_start.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = per_bin.withColumn("near", below < F.ceil(F.sum("rows").over(by_start) * share)).where("near")
+        sums = [c for c in per_bin.columns if c[0] == "p"]
+        moments = near.groupBy("g", "start").agg(F.sum("rows").alias("rows"), *(F.sum(c).alias(c) for c in sums))
+        new = _solved(moments, floors, share)
+        if step == TRIAL - 1:
+            new = new.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("determinant", "start"))).where("place = 1").drop("place")
+        new = written(new, "estimates")
+        if step >= TRIAL:
+            change = new.select("g", F.col("determinant").alias("new")).join(estimate.select("g", "determinant"), "g").agg(F.max(F.abs(F.col("new") - F.col("determinant")))).first()[0]
+            if change is None or change < 1e-9:
+                estimate = new
+                break
+        estimate = new
+    return estimate.drop("start").join(first.select("g", "n"), "g")
 
 
 @dataclass
@@ -153,7 +210,7 @@ class Rule:
             joined = joined.withColumn(f"x{i}", F.expr(s).cast("double"))
         d2 = F.when(~F.col("base_failed"), _distance(k))
         kept = ~F.col("base_failed") & F.coalesce((F.col("n") < 2 * k) | (F.col("d2") <= self.cutoff), F.lit(True))
-        return joined.withColumn("d2", d2).withColumn("kept", kept).drop("mean", "inverse", "n", *(f"x{i}" for i in range(k)))
+        return joined.withColumn("d2", d2).withColumn("kept", kept).drop("mean", "inverse", "determinant", "n", *(f"x{i}" for i in range(k)))
 
 
 def own_group(lang: Column, source: Column) -> tuple[Column, Column]:
@@ -185,11 +242,12 @@ def judged(df: DataFrame) -> DataFrame:
 
 def kept_rows(df: DataFrame) -> DataFrame:
     """The rows of df, with all their columns, that the rules keep."""
-    rule = fitted(written(text_counts(df), "counts"))
     schema = ", ".join(f"{c} long" for c in COUNTS)
     held, back = apart(df)
-    seen = with_columns_from_text(df.select(*held, own_group(F.col("lang"), F.col("source"))[0].alias("own")), textstats.counts, schema)
-    return rule.applied(seen).where("kept").select(*back)
+    lang, source = F.col("lang").alias("own_lang"), F.col("source").alias("own_source")
+    seen = written(with_columns_from_text(df.select(*held, lang, source), textstats.counts, schema), "counted")
+    rule = fitted(seen.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), *COUNTS))
+    return rule.applied(seen.withColumn("own", own_group(F.col("own_lang"), F.col("own_source"))[0])).where("kept").select(*back)
 
 
 def op2_robust_quality(spark, sf_dir: str) -> DataFrame:
