@@ -19,23 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset and all runs on this machine (tests)."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Tables that this session wrote and nobody has dropped.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs no more than its tasks."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make gives, written; tables written on the way there are deleted once it stands."""
+    before = len(_tables)
+    out = written(make(), name)
+    context = spark.sparkContext
+    for path in _tables[before:-1]:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    del _tables[before:-1]
+    return out
+
+
 def apart(df: DataFrame, text: str = "text") -> tuple[list[Column], list[Column]]:
     """Columns that hold a row of any column names beside new ones: ``row`` without the text, and the text; and what gives the row back."""
     rest = [F.col(f"`{c}`") for c in df.columns if c != text]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.buffers import ascii_lower, blocks, ragged, text_buffer, word_spans
-from tidemark.llm.shared import map_arrow, written
+from tidemark.llm.shared import finished, map_arrow, written
 from tidemark.llm.xxh import xxh64
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
@@ -161,18 +161,35 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+#: Parts that a node's links are dealt into.
+SALTS = 64
+
+
+def _with_least(links_: DataFrame) -> DataFrame:
+    """Links (a, b) with m, the least b of each a; a hub's links are never in one task: minima go by part, then by node, and come back by part."""
+    salted = links_.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("a", "part").agg(F.min("b").alias("m"))
+    low = parts.join(parts.groupBy("a").agg(F.min("m").alias("least")), "a").select("a", "part", F.col("least").alias("m"))
+    return salted.join(low, ["a", "part"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node of its component."""
+    """(node, root) for every node of the links (a, b): root is the smallest node of its component.
+
+    Large and small stars in turn, until a round changes nothing; each round is a table.
+    """
+    spark, before = edges.sparkSession, None
     edges = written(edges.select("a", "b"), "links")
-    before = None
     while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "star")
+
+        def rounds(edges=edges):
+            both = _with_least(edges.union(edges.select("b", "a"))).withColumn("m", F.least("m", "a"))
+            large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+            down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            small = _with_least(down)
+            return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(small.select("a", F.col("m").alias("b"))).distinct()
+
+        edges = finished(spark, rounds, "star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
