@@ -5,12 +5,12 @@ A log holds events (conv_id, seq, kind, message, role, text):
 * ``message`` opens a message with a role and a text, which may be empty;
 * ``delta`` adds text to the end of a message;
 * ``edit`` replaces a message's text;
-* ``regenerate`` clears a message's text, and removes all messages after it that were opened before.
+* ``regenerate`` clears a message's text, and removes all messages opened after it and before this event.
 
 Folding goes in two steps.  Events of a message are folded by (conversation, message),
 sorted by sequence, which spreads a long conversation over many tasks; then messages are
-put in order and rendered.  A message opens at its first ``message`` event; deltas and edits
-before that, or after none, are of no effect.
+put in the order in which they opened and rendered.  A message opens at its first ``message``
+event; deltas and edits before that, or after none, are of no effect.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each message.  Inside roles and
 texts, the first character of every control string of CONTROLS becomes ESCAPE and a letter
@@ -25,7 +25,7 @@ besides those named are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings of common chat templates, none of which may stand in a text.
@@ -66,8 +66,6 @@ def unescape(text: Column) -> Column:
 def folded(events: DataFrame) -> DataFrame:
     """conv_id, message, opened (its place), role and text of every message that is left."""
     event = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # A regeneration's reach over other messages is a row for each regeneration, not for each event.
-    cuts = events.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_list(F.struct("message", "seq")).alias("cuts"))
     state = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, e: Column) -> Column:
@@ -79,19 +77,20 @@ def folded(events: DataFrame) -> DataFrame:
         return F.when(e["kind"] == "message", fresh).when(is_open & (e["kind"] == "delta"), added).when(is_open & (e["kind"] == "edit"), new).when(is_open & (e["kind"] == "regenerate"), none).otherwise(s)
 
     events = events.where("kind IS NOT NULL")
-    each = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    last = each.select("conv_id", "message", F.aggregate("log", state, step).alias("m")).where("m.opened IS NOT NULL")
-    last = last.select("conv_id", "message", F.col("m.opened").alias("opened"), F.col("m.role").alias("role"), F.array_join("m.parts", "").alias("text"))
-    kept = last.join(cuts.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    gone = F.coalesce(F.exists("cuts", lambda c: (c["message"] < F.col("message")) & (c["seq"] > F.col("opened"))), F.lit(False))
-    return kept.where(~gone).drop("c", "cuts")
+    cut = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    each = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"), cut.alias("cut"))
+    last = each.select("conv_id", "message", F.aggregate("log", state, step).alias("m"), "cut").where("m.opened IS NOT NULL")
+    last = last.select("conv_id", "message", F.col("m.opened").alias("opened"), F.col("m.role").alias("role"), F.array_join("m.parts", "").alias("text"), "cut")
+    # The latest regeneration of a message that opened before decides; a row for each message, not for each event.
+    before = Window.partitionBy("conv_id").orderBy("opened").rangeBetween(Window.unboundedPreceding, -1)
+    return last.withColumn("reach", F.max("cut").over(before)).where(F.coalesce(F.col("reach") <= F.col("opened"), F.lit(True))).drop("cut", "reach")
 
 
 def rendered(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, and loss_spans: begin and length, in code points, of each assistant text in it."""
     body = F.concat(F.lit(OPEN), escape(F.col("role"), True), F.lit("\n"))
     text = escape(F.col("text"))
-    piece = F.struct("message", "opened", body.alias("head"), text.alias("body"), F.lit(CLOSE + "\n").alias("tail"), (F.col("role") == "assistant").alias("loss"))
+    piece = F.struct("opened", "message", body.alias("head"), text.alias("body"), F.lit(CLOSE + "\n").alias("tail"), (F.col("role") == "assistant").alias("loss"))
     each = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], t["tail"])), "")
     # Begins of the texts, by a running sum that keeps one number and the spans so far.
@@ -116,11 +115,19 @@ def parsed(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", F.transform(parts, turn).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Events of a row of log_of().
+EVENTS = 8
+
+
 def log_of(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log: each opens an empty message, and a delta brings its text."""
-    row = lambda kind, k, text: F.struct((F.coalesce(F.col("turn"), F.lit(-1)) * 2 + k).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    both = F.explode(F.array(row("message", 0, F.lit("")), row("delta", 1, F.coalesce("text", F.lit("")))))
-    return conversations.select(F.col("conv_id").cast("long"), F.col("message"), F.coalesce("role", F.lit("")).alias("role"), both.alias("e")).select("conv_id", "message", "role", "e.*")
+    """Rows (conv_id, turn, message, role, text) as a streamed log: a first answer in a delta is regenerated, the next one's begin is edited, and three deltas bring the text."""
+    text = F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(text) / 3).cast("int")
+    part = lambda k: F.substr(text, third * k + 1, third) if k < 2 else F.substr(text, third * 2 + 1, F.length(text))
+    steps = [("message", F.lit("")), ("delta", part(2)), ("regenerate", F.lit("")), ("delta", part(1)), ("edit", part(0)), ("delta", part(1)), ("delta", part(2))]
+    row = lambda k, kind, text: F.struct((F.coalesce(F.col("turn"), F.lit(-1)) * EVENTS + k).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    events = F.explode(F.array(*(row(k, kind, text) for k, (kind, text) in enumerate(steps))))
+    return conversations.select(F.col("conv_id").cast("long"), F.col("message"), F.coalesce("role", F.lit("")).alias("role"), events.alias("e")).select("conv_id", "message", "role", "e.*")
 
 
 def op4_event_chat(spark, sf_dir: str) -> DataFrame:
