@@ -10,10 +10,12 @@ known by 64-bit hashes; sentences end at ``.``, ``!``, ``?`` or a line's end.  A
 enters the model if toxic documents have it more often by a likelihood-ratio test.  The
 classifier is fitted on at most MOST_TOXIC and MOST_CLEAN labelled documents, those first
 in an order by hash, weighted to all labelled ones' shares; everything else reads all
-documents, whole.
+documents, whole.  Texts stay on the executors: what the driver fits are numbers of chosen
+features by sentence, each different sentence of a document once with its count.
 
 Defined results: a null or empty text has no sentence and score 0; repeated rows are
-scored each; a document with several labels is toxic if one says so, null labels do not
+scored each, and of rows with one doc_id the first text in order is learnt from; a document
+with several labels is toxic if one says so, null labels do not
 count; with only one kind of label, or none, every score is that share (0 if none);
 columns besides id, text and label are not read.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.buffers import ascii_lower, blocks, span_keys, text_buffer
-from tidemark.llm.shared import crc32_mod, map_arrow, map_batches
+from tidemark.llm.shared import crc32_mod, map_arrow, map_batches, written
 
 MOST_TOXIC, MOST_CLEAN = 3_000, 3_000
 STEPS, RATE, RIDGE, FIRST_BIAS = 300, 0.1, 0.05, -6.0
@@ -95,64 +97,91 @@ def _ratios(toxic: np.ndarray, docs: np.ndarray, n_toxic: int, n: int) -> np.nda
     return np.where(toxic * n > docs * n_toxic, 2 * total, 0.0)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray) -> Model:
-    """A model from whole labelled texts (labels 0 or 1)."""
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), FIRST_BIAS, float(labels.mean()) if len(labels) else 0.0)
-    raw, offsets = text_buffer(texts)
-    n = len(labels)
-    # First the features: each text's once, block by block, with its label.
-    once, marks = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for a, _, part, at in blocks(raw, offsets):
-        h, s, t, _, _ = instances(part, at)
-        order = np.lexsort((t[s], h))
-        h, t = h[order], t[s][order]
-        new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
-        once.append(h[new])
-        marks.append(labels[a + t[new]] == 1)
-    words, which = np.unique(np.concatenate(once), return_inverse=True)
-    docs, toxic = np.bincount(which), np.bincount(which, np.concatenate(marks))
-    words = words[(docs >= LEAST_DOCS) & (_ratios(toxic, docs, int(labels.sum()), n) >= LEAST_RATIO)] if len(words) else words
-    del once, marks, which
-    # Then where they stand.
-    index, place, text, m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for a, _, part, at in blocks(raw, offsets):
-        h, s, t, _, _ = instances(part, at)
-        if len(words):
-            spot = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            known = words[spot] == h
-            index.append(spot[known])
-            place.append(s[known] + m)
-        text.append(t + a)
-        m += len(t)
-    index, place, text = map(np.concatenate, (index, place, text))
-    k = len(words)
+def fit(y: np.ndarray, weights: np.ndarray, words: np.ndarray, text: np.ndarray, times: np.ndarray, place: np.ndarray, index: np.ndarray) -> Model:
+    """A model from documents' labels (0 or 1) and weights, sentences' documents and counts, and features' sentences and numbers among words."""
+    n, k, m = len(y), len(words), len(text)
     theta = np.zeros(k + 1)
     theta[-1] = FIRST_BIAS
     mean, square = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
         z = theta[-1] + np.bincount(place, theta[index], m)
-        total = np.bincount(text, np.logaddexp(0, z), n)
-        slope = weights * np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
-        g_z = slope[text] / (1 + np.exp(-np.clip(z, -500, 500)))
+        total = np.bincount(text, times * np.logaddexp(0, z), n)
+        slope = weights * np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
+        g_z = times * slope[text] / (1 + np.exp(-np.clip(z, -500, 500)))
         grad = np.append(np.bincount(index, g_z[place], k) + RIDGE * theta[:-1], g_z.sum())
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return Model(words, theta[:-1], float(theta[-1]))
 
 
+def _chosen(sample: DataFrame, n_toxic: int, n: int) -> np.ndarray:
+    """Sorted hashes of the features that the sample's toxic documents have more often."""
+
+    def once(batch):
+        toxic = batch.column(1).to_numpy()
+        raw, offsets = text_buffer(batch.column(2))
+        for a, _, part, at in blocks(raw, offsets):
+            h, s, t, _, _ = instances(part, at)
+            order = np.lexsort((t[s], h))
+            h, t = h[order], t[s][order]
+            new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
+            words, which = np.unique(h[new], return_inverse=True)
+            yield {"h": words.view(np.int64), "docs": np.bincount(which, minlength=len(words)), "toxic": np.bincount(which, toxic[a + t[new]], len(words)).astype(np.int64)}
+
+    def telling(batch):
+        docs, toxic = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        yield {"h": batch.column(0).filter(pa.array(_ratios(toxic, docs, n_toxic, n) >= LEAST_RATIO))}
+
+    seen = map_arrow(sample, once, "h long, docs long, toxic long").groupBy("h").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")).where(F.col("docs") >= LEAST_DOCS)
+    return np.sort(np.array([r[0] for r in map_arrow(seen, telling, "h long").collect()], np.int64).view(np.uint64))
+
+
+def _known(sample: DataFrame, words: np.ndarray) -> pa.Table:
+    """toxic, times and features of every different sentence of the sample: the numbers of its words, joined; by document."""
+
+    def make(batch):
+        ids, labels = batch.column(0), batch.column(1)
+        raw, offsets = text_buffer(batch.column(2))
+        for a, b, part, at in blocks(raw, offsets):
+            h, s, t, _, _ = instances(part, at)
+            spot = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+            hit = np.flatnonzero(words[spot] == h) if len(words) else np.zeros(0, np.int64)
+            hit = hit[np.lexsort((spot[hit], s[hit]))]
+            cut = np.searchsorted(s[hit], np.arange(len(t) + 1))
+            spots = spot[hit].astype("<i4").tobytes()
+            docs = t.tolist()
+            found: dict[tuple[int, bytes], int] = {(d, b""): 0 for d in range(b - a)}  # a document without a sentence stands too
+            for i, (p, q) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
+                key = docs[i], spots[4 * p : 4 * q]
+                found[key] = found.get(key, 0) + 1
+            row = pa.array([d + a for d, _ in found])
+            yield {"doc_id": ids.take(row), "toxic": labels.take(row), "times": list(found.values()), "features": [f for _, f in found]}
+
+    return map_arrow(sample, make, "doc_id long, toxic long, times long, features binary").toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from (doc_id, text) and (doc_id, toxic), fitted by the driver on a bounded sample."""
+    """A model from (doc_id, text) and (doc_id, toxic), fitted by the driver on numbers of a bounded sample's features."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    if len(totals) < 2:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), FIRST_BIAS, float(next(iter(totals), 0)))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     some = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
     # At most MOST_TOXIC + MOST_CLEAN rows of two numbers: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
-    y = rows["toxic"].to_numpy().astype(np.int64)
-    taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    return fit(rows["text"], y, np.where(y == 1, totals.get(1, 0) / taken[1], totals.get(0, 0) / taken[0]) * len(y) / max(1, sum(totals.values())))
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = written(sample.select("doc_id", F.col("toxic").cast("long"), "text"), "sample")
+    taken = {c: min(totals[c], most) for c, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))}
+    n = sum(taken.values())
+    words = _chosen(sample, taken[1], n)
+    rows = _known(sample, words)
+    ids, sizes = rows["doc_id"].to_numpy(), np.array([len(x) // 4 for x in rows["features"].to_pylist()], np.int64)
+    first = np.append(True, ids[1:] != ids[:-1])
+    y = rows["toxic"].to_numpy()[first]
+    weights = np.where(y == 1, totals[1] / taken[1], totals[0] / taken[0]) * n / sum(totals.values())
+    index = np.frombuffer(b"".join(rows["features"].to_pylist()), "<i4").astype(np.int64)
+    return fit(y, weights, words, np.cumsum(first) - 1, rows["times"].to_numpy(), np.repeat(np.arange(len(ids)), sizes), index)
 
 
 def _scored(model: Model, raw: np.ndarray, offsets: np.ndarray):
