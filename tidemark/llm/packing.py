@@ -3,7 +3,7 @@
 Level 0: each task packs windows of its pieces by best fit in decreasing order.  Bins
 with at most ``slack`` free places are emitted.  The others rise as items of their fill,
 are dealt to fewer tasks and packed by best fit again, until one task has them all or a
-level no longer saves any.  Only (bin, fill) pairs of underfull bins move; a piece learns
+level saves none.  Only (bin, fill) pairs of underfull bins move; a piece learns
 its place at last by one join.
 
 Every level is written to the shared folder before the next reads it, so that a lost
@@ -140,7 +140,7 @@ def pack(items: DataFrame, keep: str, capacity: int = CAPACITY, slack: int = SLA
             whole = whole.join(over, "top", "left").select("low", F.coalesce("over", "top").alias("top"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
         underfull = up.where((F.col("at") == 0) & (F.col("fill") < capacity - slack)).select(F.col("bin").alias("low"), F.col("fill").alias("size"))
         left = underfull.count()
-        if tasks == 1 or left > 0.98 * count:
+        if tasks == 1 or left == count:
             break
         count, level = left, level + 1
     if whole is None:
