@@ -13,7 +13,7 @@ of its own and only the tasks that Spark counts enter the manifest, so that a ta
 ran twice leaves no second copy in it.
 
 Defined results: a null or empty text is the end id alone; repeated doc_ids keep all
-their rows, in no set order among equals; null doc_ids come first; an empty table gives no
+their rows, in the order of their ids' bytes; null doc_ids come first; an empty table gives no
 files and no rows; columns besides id and text are not read.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import public_tokenizers
@@ -34,52 +35,45 @@ from tidemark.llm.buffers import text_buffer
 from tidemark.llm.sequences import added_tokens, with_end
 from tidemark.llm.shared import map_arrow, shared_folder, written
 
-#: Ranges up to which their bounds are an expression.
-MOST_CUTS = 1_000
 #: Ids of a sequence; sequences of a record batch; documents of a file, about.
 LENGTH, BATCH, FILE_DOCS = 2048, 256, 8_192
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
 
-def encoded(df: DataFrame, path: str, end: int = END_ID) -> DataFrame:
-    """doc_id and ids, as the bytes of unsigned integers of 2 (or 4) bytes."""
+def encoded(df: DataFrame, path: str, end: int = END_ID, cuts: Sequence[int] = ()) -> DataFrame:
+    """doc_id, ids, as the bytes of unsigned integers of 2 (or 4) bytes, and file_no: how many of the sorted cuts are less than doc_id (0 for null)."""
     merges = load(path)
     kind = id_type(merges)
-    shared, added = df.sparkSession.sparkContext.broadcast(merges), added_tokens(path)
+    shared, added, bounds = df.sparkSession.sparkContext.broadcast(merges), added_tokens(path), np.array(cuts, np.int64)
 
     def make(batch):
         raw, offsets = text_buffer(batch.column(1))
+        file_no = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy())
         for a, b, ids, at in with_end(shared.value, raw, offsets, end, added):
             data = ids.astype(kind).tobytes()
             p = at * np.dtype(kind).itemsize
-            yield {"doc_id": batch.column(0).slice(a, b - a), "ids": [data[x:y] for x, y in zip(p, p[1:])]}
+            yield {"doc_id": batch.column(0).slice(a, b - a), "ids": [data[x:y] for x, y in zip(p, p[1:])], "file_no": file_no[a:b]}
 
-    return map_arrow(df, make, "doc_id long, ids binary")
+    return map_arrow(df, make, "doc_id long, ids binary, file_no int")
+
+
+def ranges(keys: DataFrame, file_docs: int = FILE_DOCS) -> list[int]:
+    """Bounds that cut the column doc_id into files of about file_docs rows: a number for each file."""
+    n = max(1, -(-keys.count() // file_docs))
+    found = [] if n == 1 else keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
+    return sorted(set(found))
 
 
 def id_type(merges) -> str:
     return "<u2" if max(merges.strings) < 1 << 16 else "<u4"
 
 
-def write(df: DataFrame, keys: DataFrame, kind: str, length: int = LENGTH, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Writes (doc_id, ids) as files in the shared folder.  Returns the manifest: file, first_doc, docs, tokens, start.
-
-    keys: the column doc_id of all documents, read from their source.  Bounds of the
-    ranges come from it, so that the ids are made once.
-    """
-    folder = f"{shared_folder(df.sparkSession)}/ids-{uuid.uuid4().hex}"
+def write(rows: DataFrame, files: int, kind: str, length: int = LENGTH) -> DataFrame:
+    """Writes (doc_id, ids, file_no) as files in the shared folder.  Returns the manifest: file, first_doc, docs, tokens."""
+    folder = f"{shared_folder(rows.sparkSession)}/ids-{uuid.uuid4().hex}"
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root)
-    n = max(1, -(-keys.count() // file_docs))
-    if n <= MOST_CUTS:
-        cuts = [] if n == 1 else keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-        cuts = sorted(set(cuts))
-        which = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))").cast("int") if cuts else F.lit(0)
-        dealt = df.withColumn("file_no", F.when(F.col("doc_id").isNull(), 0).otherwise(which)).repartitionById(len(cuts) + 1, F.col("file_no")).drop("file_no")
-    else:
-        # Too many bounds for an expression: Spark's own ranges, which read the rows twice, so the ids are written first.
-        dealt = written(df, "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionById(files, F.col("file_no")).drop("file_no").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         out = _File(folder, kind, length)
@@ -197,4 +191,5 @@ def op10_arrow_ids(spark, sf_dir: str) -> DataFrame:
     """All documents as files of ids, read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
     path = public_tokenizers.path(VOCABULARY)
-    return read_documents(write(encoded(docs, path), docs.select("doc_id"), id_type(load(path))))
+    cuts = ranges(docs.select("doc_id"))
+    return read_documents(write(encoded(docs, path, cuts=cuts), len(cuts) + 1, id_type(load(path))))
