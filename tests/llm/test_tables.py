@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -18,19 +19,8 @@ def rows(df):
 
 
 # ---- exact top-k
-def brute(vectors, queries, k):
-    out = {}
-    for q in queries:
-        best = []
-        for i, v in vectors.items():
-            if i != q:
-                best.append((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(vectors[q], v)))), i))
-        out[q] = [(i, -p) for p, i in sorted(best)[:k]]
-    return out
-
-
 @pytest.mark.parametrize("kind", ["alike", "spread", "ties", "huge"])
-def test_top_products_equal_brute_force(spark, kind):
+def test_top_products_equal_brute_force(spark, kind, monkeypatch):
     rng = random.Random(7)
     data = []
     for i in range(300):
@@ -39,12 +29,17 @@ def test_top_products_equal_brute_force(spark, kind):
         data.append((i, v))
     odd = [(900, None), (901, [1.0, None]), (902, [float("nan")]), (903, [float("inf")]), (904, []), (None, [1.0])]
     df = spark.createDataFrame(data + odd + data[:5], "vec_id long, embedding array<float>")
-    got = collections.defaultdict(dict)
-    for r in rows(topk.top_products(topk.whole(df), F.col("vec_id") % 20 == 0, 7)):
-        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
-    vectors = {i: [int(np.floor(64 * float(x))) for x in v] for i, v in data} | {904: []}
-    want = brute(vectors, [i for i in vectors if i % 20 == 0], 7)
-    assert {q: [x for _, x in sorted(m.items())] for q, m in got.items()} == want
+    monkeypatch.setattr(topk, "TASK_QUERIES", 7)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_products(topk.whole(df), F.col("vec_id") % 20 == 0, 7))]
+    # Rows are candidates of each other even where they share an id.
+    vectors = dict(enumerate([int(np.floor(64 * float(x))) for x in v] for v in [*(v for _, v in data + data[:5]), []]))
+    ids = [i for i, _ in data + data[:5]] + [904]
+    want = []
+    for q, v in vectors.items():
+        if ids[q] % 20 == 0:
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), ids[j]) for j, w in vectors.items() if j != q)[:7]
+            want += [(ids[q], k + 1, i, -p) for k, (p, i) in enumerate(best)]
+    assert sorted(got) == sorted(want)
 
 
 def test_few_or_no_vectors(spark):
@@ -58,7 +53,7 @@ def test_coordinates_prune_without_loss():
     base = np.floor(rng.normal(size=(20, 16)) * 64)
     v = np.concatenate([base + np.floor(rng.normal(size=base.shape) * k) for k in range(1, 60)])
     ids = np.arange(len(v))
-    row, who, product = topk.Shard(ids, v).best(ids[:20], v[:20], 5)
+    row, who, product = topk.Shard(ids, ids, v).best(ids[:20], v[:20], 5)
     for i in range(20):
         want = sorted((-int(v[i] @ v[j]), j) for j in range(len(v)) if j != i)[:5]
         assert sorted((-p, w) for p, w in zip(product[row == i].tolist(), who[row == i].tolist())) == want
@@ -138,6 +133,32 @@ def test_model_fits_its_table_and_scores_are_sums_of_weights(spark):
     assert all(abs(r["score"] - intercept - sum(weights[i] for i in r["at"])) < 1e-9 for r in got)
 
 
+def test_places_equal_plain_hashes_of_grams(spark):
+    urls_ = ["https://a.b/c", "http://h", "x://Größe.test/ü/日本", None, "https://www.long-host-name.example/some/path.html?q#f"]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {r["page_id"]: set(r["at"]) for r in rows(df.select("page_id", urls.places(*urls.host_and_path(F.col("url"))).alias("at")))}
+    for i, u in enumerate(urls_):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        want = set()
+        for mark, text in zip("hp", (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")):
+            text = f"^{text}$"
+            for n in urls.GRAMS:
+                for k in range(max(1, len(text) - n + 1)):
+                    h = xxhash.xxh64((mark + text[k : k + n]).encode(), seed=42).intdigest()
+                    want.add((h - 2**64 * (h >> 63)) % urls.DIMENSIONS)
+        assert got[i] == want
+
+
+def test_labelled_hosts_are_in_no_table_and_unseen_hosts_are_judged(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    got = rows(urls.judged(pages, urls.train(urls.labelled_table(spark)), ()))
+    own = lambda h: re.sub(r"^(www|m|blog)\.", "", h).split(".")[0]
+    assert not {own(r["host"]) for r in got} & {own(h) for h in (*urls.BAD_HOSTS, *urls.GOOD_HOSTS)}
+    bad = re.compile("casino|bets|pills|adult|ads-|spam")
+    blocked = {kind: [r["verdict"] == "block" for r in got if bool(bad.search(r["host"])) == kind] for kind in (True, False)}
+    assert np.mean(blocked[True]) > 0.6 and np.mean(blocked[False]) < 0.05
+
+
 def test_native_operators_run_no_python(spark):
     d = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{d}/pages.parquet")
@@ -162,3 +183,26 @@ def test_pipeline_stages_pass_whole_rows_and_end_in_packed_sequences(spark):
     for r in got:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 2048 and len(fill) <= 1.05 * sum(fill.values()) / 2048 + 1
+
+
+def test_pipeline_runs_over_odd_rows(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["an", "be", "cor", "du", "el", "fa"]) for _ in range(rng.randint(1, 3)))
+    texts = {i: " ".join(word() for _ in range(60)) for i in range(120)}
+    texts |= {100 + i: texts[100 + i].replace(" ", ". ", 3) + " zorgle" for i in range(20)}
+    data = [(i, t, "en", "s0", "x", "y") for i, t in texts.items()]
+    data += [(200 + i, texts[i], "en", "s0", "x", "y") for i in range(10)] + data[:5]  # copies, repeated rows
+    data += [(300, None, None, None, None, None), (301, "", "en", "s0", "x", "y"), (None, "no id " + texts[0], None, "s0", "x", "y"), (None, " ".join(word() for _ in range(70)), None, "s0", "x", "y"), (302, "short", "en", "s0", "x", "y"), (303, " ".join(word() for _ in range(5_000)), "de", None, "x", "y")]
+    schema = "doc_id long, text string, lang string, source string, fp string, row string"
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 100)) for i in range(120)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    ids = {r["doc_id"] for r in got}
+    assert set(range(100)) <= ids and None in ids and not ids & {300, 301, 302, *range(200, 210), *range(100, 120)}
+    fill = collections.Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048 and len([r for r in got if r["piece"] == 0]) == len(ids)  # one of the two without an id is a near copy
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/void/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/void/labels.parquet")
+    assert not rows(corpus_pipeline.run(spark, f"{tmp_path}/void"))

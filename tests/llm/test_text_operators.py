@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_codec, bytebpe, id_files, packing, quality, sequences, simhash, simhash_wide, suffix_tree, textstats, toxicity
+from tidemark.llm import buffers
 from tidemark.llm.buffers import packed, text_buffer, unpacked, word_spans
 from tidemark.llm.xxh import xxh64
 
@@ -48,6 +49,48 @@ def rows(df):
     return [r.asDict() for r in df.collect()]
 
 
+def twins(n=2048):
+    """Two words over a and b that hashes by polynomials modulo a power of two don't tell apart."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("keys", ["ours", "one"])
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abé", min_size=1, max_size=12), min_size=1, max_size=12))
+def test_spans_are_told_apart_by_their_bytes(keys, words):
+    words = [*words, *twins(), "x" * 3000, "x" * 2999 + "y", *twins(64)]
+    raw, offsets = text_buffer(pa.array(words + words))
+    with pytest.MonkeyPatch.context() as patch:
+        if keys == "one":  # all longer spans have one key
+            patch.setattr(buffers, "xxh64", lambda raw, start, length, seed: np.zeros(len(start), np.uint64))
+            patch.setattr(buffers, "_LONG", 10_000)
+        _, one, which = buffers.distinct_spans(raw, offsets[:-1], offsets[1:])
+    data = [w.encode() for w in words + words]
+    assert len(one) == len(set(data)) and all(data[one[w]] == d for w, d in zip(which, data))
+
+
+def test_twins_have_their_own_counts_and_ids():
+    texts = [x for n in (1024, 2048, 4096) for x in twins(n)]
+    lines = "\n".join(texts)
+    raw, offsets = text_buffer(pa.array([lines, lines + "\n" + texts[1], " ".join(texts * 2)]))
+    got = textstats.counts(raw, offsets)
+    assert got["n_dup_lines"].tolist() == [0, 1, 0] and got["n_repeat_words"].tolist() == [0, 0, 12]
+    path = public_tokenizers.path(bpe_codec.RANKS)
+    merges = bytebpe.from_ranks(path)
+    strings = bytebpe.ByteTable(merges.strings)
+    for t in texts:  # the cache is kept from text to text
+        raw, offsets = text_buffer(pa.array([t]))
+        ids, at = merges.encode(raw, offsets)
+        assert strings.join(ids, at)[0].tobytes().decode() == t
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        merges, library = bytebpe.from_json(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        for t in texts:
+            assert merges.encode(*text_buffer(pa.array([t])))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 # ---- buffers
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n\r\x0b\x0c\xa0é日'", max_size=30), max_size=8))
@@ -196,14 +239,15 @@ def test_packing_covers_every_id_once(docs, empty):
 
 
 # ---- files of ids
-@pytest.mark.parametrize("most_cuts", [1_000, 1])
-def test_id_files_give_documents_back(docs, empty, monkeypatch, most_cuts):
-    monkeypatch.setattr(id_files, "MOST_CUTS", most_cuts)
+@pytest.mark.parametrize("file_docs", [1_000, 20])
+def test_id_files_give_documents_back(docs, empty, file_docs):
     path = public_tokenizers.path(id_files.VOCABULARY)
     kind = id_files.id_type(bytebpe.from_json(path))
     library = Tokenizer.from_file(path)
     part = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    manifest = id_files.write(id_files.encoded(part.select("doc_id", "text"), path), part.select("doc_id"), kind, length=16, file_docs=20)
+    cuts = id_files.ranges(part.select("doc_id"), file_docs)
+    manifest = id_files.write(id_files.encoded(part.select("doc_id", "text"), path, cuts=cuts), len(cuts) + 1, kind, length=16)
+    assert (manifest.count() > 1) == (file_docs == 20)
     got = {r["doc_id"]: r for r in rows(id_files.read_documents(manifest))}
     start = 0
     for i, t, lang, *_ in sorted((r for r in corpus() if r[0] is not None and r[2]), key=lambda r: r[0]):
@@ -214,7 +258,14 @@ def test_id_files_give_documents_back(docs, empty, monkeypatch, most_cuts):
         batch = id_files.opened(m["file"]).get_batch(0)
         assert batch.column(0).type.list_size == 16 and len(batch.column(0)[0]) == len(batch.column(1)[0]) == 16
     void = empty.select("doc_id", "text")
-    assert not rows(id_files.read_documents(id_files.write(id_files.encoded(void, path), void.select("doc_id"), kind)))
+    assert not rows(id_files.read_documents(id_files.write(id_files.encoded(void, path, cuts=id_files.ranges(void.select("doc_id"))), 1, kind)))
+
+
+def test_repeated_ids_stand_in_the_order_of_their_tokens(spark):
+    path = public_tokenizers.path(id_files.VOCABULARY)
+    df = spark.createDataFrame([(1, "b c"), (1, "a"), (1, "a"), (0, "z"), (None, "n")], "doc_id long, text string")
+    runs = [[(r["doc_id"], r["start"], r["ids_crc32"]) for r in sorted(rows(id_files.read_documents(id_files.write(id_files.encoded(part, path), 1, "<u2"))), key=lambda r: r["start"])] for part in (df, df.repartition(3))]
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == [None, 0, 1, 1, 1]
 
 
 # ---- statistics and quality
@@ -247,6 +298,38 @@ def test_outliers_go_and_the_rest_stays(spark, empty):
     assert not rows(quality.judged(empty))
 
 
+def test_least_determinant_and_verdicts_equal_many_random_starts(spark):
+    rng = np.random.default_rng(4)
+    floors = [0.05, 0.05, 0.05]
+    groups = {}
+    for g in range(4):
+        mix = rng.normal(size=(3, 3)) + 2 * np.eye(3)
+        x = rng.normal(size=(60 + 20 * g, 3)) @ mix
+        far = rng.normal(size=(6 + g, 3)) * 0.1 + 40
+        groups[f"g{g}"] = np.concatenate([x, far])
+    df = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "g string, x0 double, x1 double, x2 double")
+    got = {r["g"]: r for r in rows(quality.robust_estimates(df, floors))}
+    factor = quality.consistency(3, quality.SHARE)
+
+    def estimate(x):
+        return x.mean(0), factor * np.cov(x.T, bias=True) + np.diag(np.square(floors))
+
+    for g, x in groups.items():
+        h, best = int(np.ceil(quality.SHARE * len(x))), np.inf
+        for _ in range(200):
+            mean, cov = estimate(x[rng.choice(len(x), 4, replace=False)])
+            for _ in range(30):
+                d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                mean, cov = estimate(x[np.argsort(d, kind="stable")[:h]])
+            if np.linalg.slogdet(cov)[1] < best:
+                best, found = np.linalg.slogdet(cov)[1], (mean, cov)
+        assert got[g]["n"] == len(x) and got[g]["determinant"] < best + 0.35  # bins of distance hold some more rows than h
+        ours = np.einsum("ij,jk,ik->i", x - got[g]["mean"], np.array(got[g]["inverse"]).reshape(3, 3), x - got[g]["mean"])
+        theirs = np.einsum("ij,jk,ik->i", x - found[0], np.linalg.inv(found[1]), x - found[0])
+        clear = (theirs < 25) | (theirs > 50)
+        assert ((ours > 36) == (theirs > 36))[clear].all() and (ours[-6:] > 36).all()
+
+
 def test_consistency_factor():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200_000, 3))
@@ -400,26 +483,47 @@ def test_wide_stage_keeps_one_of_each_group(spark, empty):
     assert not rows(simhash_wide.deduplicated(empty))
 
 
-def test_close_fingerprints_are_all_found():
-    rng = random.Random(8)
+def wide_keys(rng, distances):
     keys = []
     for _ in range(60):
         base = rng.getrandbits(253)
-        for bits in (0, *range(30, 52), 60):
+        for bits in (0, *distances):
             x = base ^ sum(1 << b for b in rng.sample(range(253), bits))
             keys.append([*((x >> 64 * k) & (2**64 - 1) for k in range(4)), rng.getrandbits(64), 0, rng.randint(80, 130)])
-    keys = np.array(sorted(keys, key=lambda k: k[-1]), np.uint64)
-    rest = np.bitwise_count(keys[:, None, :4] ^ keys[None, :, :4]).sum(2)
-    size = keys[:, -1].astype(int)
-    want = (rest <= simhash_wide.MOST_BITS) & (10 * np.minimum.outer(size, size) >= 8 * np.maximum.outer(size, size))
-    assert {(i, j) for p, q, _ in simhash_wide.close_pairs(keys, keys, True) for i, j in zip(p, q)} == set(zip(*np.nonzero(np.triu(want, 1))))
-    a, b = keys[::2], keys[1::2]
-    assert {(i, j) for p, q, _ in simhash_wide.close_pairs(a, b, False) for i, j in zip(p, q)} == set(zip(*np.nonzero(want[::2, 1::2])))
+    return np.array(keys, np.uint64)
+
+
+def test_compared_fingerprints_are_those_within_bits_and_sizes():
+    keys = wide_keys(random.Random(8), (*range(30, 57), 60))
+    b = keys[1::2][np.argsort(keys[1::2][:, -1], kind="stable")]
+    a = keys[::2]
+    rest = np.bitwise_count(a[:, None, :4] ^ b[None, :, :4]).sum(2)
+    x, y = a[:, None, -1].astype(int), b[None, :, -1].astype(int)
+    want = (rest <= simhash_wide.MOST_BITS) & (10 * np.minimum(x, y) >= 8 * np.maximum(x, y))
+    assert {(i, j) for p, q, _ in simhash_wide._near(a, b) for i, j in zip(p, q)} == set(zip(*np.nonzero(want)))
+
+
+def test_anchors_bring_close_fingerprints_together():
+    distances = (*range(0, 22), *[38] * 40)
+    keys = wide_keys(random.Random(11), distances)
+    homes = [set() for _ in keys]
+    reach = [set() for _ in keys]
+    for out, excess in ((homes, None), (reach, simhash_wide.EXCESS)):
+        for r, slot in zip(*simhash_wide.slots(keys, excess)):
+            out[r].add(int(slot))
+    assert all(len(h) == simhash_wide.BLOCKS and h <= r for h, r in zip(homes, reach))
+    step, met = len(distances) + 1, {True: [], False: []}
+    for base in range(0, len(keys), step):
+        for k, bits in enumerate(distances):
+            other = base + 1 + k
+            met[bits <= 21].append(bool(homes[base] & reach[other] or homes[other] & reach[base]))
+    assert all(met[True]) and np.mean(met[False]) > 0.99
 
 
 def test_wide_stage_keeps_texts_below_the_similarity(spark, monkeypatch):
     rng = random.Random(9)
-    monkeypatch.setattr(simhash_wide, "LEAST_UNIT", 40)
+    for name, size in (("PART_ROWS", 7), ("TASK_ROWS", 50), ("MANY", 2)):  # anchors are split, and components skipped
+        monkeypatch.setattr(simhash_wide, name, size)
     texts = []
     for _ in range(30):
         words = prose(rng, 200).split()
@@ -432,12 +536,12 @@ def test_wide_stage_keeps_texts_below_the_similarity(spark, monkeypatch):
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
     fps = [np.frombuffer(simhash_wide.wide_fingerprints(*text_buffer(pa.array([t])))["fp"][0], "<u8") for t in texts]
     root = list(range(len(texts)))
-    linked = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and np.bitwise_count(fps[i][:4] ^ fps[j][:4]).sum() <= 51]
+    linked = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and np.bitwise_count(fps[i][:4] ^ fps[j][:4]).sum() <= simhash_wide.MOST_BITS]
     for _ in texts:
         for i, j in linked:
             root[i] = root[j] = min(root[i], root[j])
     want = [i for i in range(len(texts)) if root[i] == i]
-    loose = sum(np.bitwise_count(fps[i][:4] ^ fps[j][:4]).sum() <= 51 for j in range(len(texts)) for i in range(j))
+    loose = sum(np.bitwise_count(fps[i][:4] ^ fps[j][:4]).sum() <= simhash_wide.MOST_BITS for j in range(len(texts)) for i in range(j))
     assert loose > len(linked) > 30
     df = spark.createDataFrame([(i, t, "en", "s", 0, "", "", "") for i, t in enumerate(texts)], DOCS)
     assert sorted(r["doc_id"] for r in rows(simhash_wide.deduplicated(df))) == want
