@@ -500,7 +500,7 @@ def test_compared_fingerprints_are_those_within_bits_and_sizes():
     rest = np.bitwise_count(a[:, None, :4] ^ b[None, :, :4]).sum(2)
     x, y = a[:, None, -1].astype(int), b[None, :, -1].astype(int)
     want = (rest <= simhash_wide.MOST_BITS) & (10 * np.minimum(x, y) >= 8 * np.maximum(x, y))
-    assert {(i, j) for p, q, _ in simhash_wide._near(a, b) for i, j in zip(p, q)} == set(zip(*np.nonzero(want)))
+    assert {(i, j) for p, q, _ in simhash_wide._near(np.ascontiguousarray(a[:, :4]), a[:, -1], np.ascontiguousarray(b[:, :4]), b[:, -1]) for i, j in zip(p, q)} == set(zip(*np.nonzero(want)))
 
 
 def test_anchors_bring_close_fingerprints_together():
@@ -522,7 +522,7 @@ def test_anchors_bring_close_fingerprints_together():
 
 def test_wide_stage_keeps_texts_below_the_similarity(spark, monkeypatch):
     rng = random.Random(9)
-    for name, size in (("PART_ROWS", 7), ("TASK_ROWS", 50), ("MANY", 2)):  # anchors are split, and components skipped
+    for name, size in (("PART_ROWS", 7), ("TASK_ROWS", 50), ("MANY", 2), ("TURNS", (1, 2)), ("CLUSTER_ROWS", 4)):  # anchors and clusters are split, components skipped
         monkeypatch.setattr(simhash_wide, name, size)
     texts = []
     for _ in range(30):
