@@ -223,12 +223,12 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(data, "symbol string, ts timestamp, event_id long, value double")
     df.union(df.limit(5)).repartition(2).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    assert streams.to_end(streams.deduplicated(stream()), "dedupe").count() == 60
-    got = rows(streams.to_end(streams.bars(stream(), late="1 day"), "bars", "complete"), "start")
+    assert streams.to_end(streams.deduplicated(stream()), str(tmp_path / "o1")).count() == 60
+    got = rows(streams.to_end(streams.bars(stream(), late="1 day"), str(tmp_path / "o2"), "complete"), "start")
     assert len(got) == 7 and sum(r["trades"] for r in got) == 65
     ban = spark.createDataFrame([("x", 0, "ban", 100), ("x", 10, "ban", 50), ("x", 60, "ok", 0), ("x", 120, "fail", 0), ("y", 0, "ban", 5), ("y", 9, "ok", 0)], "domain string, at_ms long, kind string, until_ms long")
     ban.write.parquet(str(tmp_path / "ban"))
-    end = streams.to_end(streams.pauses(spark.readStream.schema(ban.schema).parquet(str(tmp_path / "ban")), 1000), "pauses", "update")
+    end = streams.to_end(streams.pauses(spark.readStream.schema(ban.schema).parquet(str(tmp_path / "ban")), 1000), str(tmp_path / "o3"), "update")
     assert {r["domain"]: (r["until_ms"], r["state"]) for r in rows(end)} == {"x": (1120, "paused"), "y": (0, "open")}
 
 
@@ -266,3 +266,42 @@ def test_w20_gives_every_bar_with_a_full_window(spark):
     d = "/root/testdata/sf0.001"
     bars = domain(spark, d, "bars").groupBy("symbol").count().collect()
     assert engine.w20_rolling_spearman_168(spark, d).count() == sum(max(0, b["count"] - 167) for b in bars) > 0
+
+
+def test_observations_of_one_time_have_a_set_order(spark):
+    obs = spark.createDataFrame([("a", 5, 2.0), ("a", 5, 3.0), ("a", 5, None), ("a", 9, 1.0)], "symbol string, ts_ms long, value double")
+    points = spark.createDataFrame([("a", 7), ("a", 5), ("a", 1), ("b", 7)], "symbol string, ts_ms long")
+    for parts in (1, 3):
+        got = {(r["symbol"], r["ts_ms"]): r["value"] for r in rows(asof.backward(points, obs.repartition(parts), ["value"]))}
+        assert got == {("a", 7): 3.0, ("a", 5): 3.0, ("a", 1): None, ("b", 7): None}
+        got = {(r["symbol"], r["ts_ms"]): r["value"] for r in rows(asof.forward(points, obs.repartition(parts), ["value"]))}
+        assert got == {("a", 7): 1.0, ("a", 5): 3.0, ("a", 1): 3.0, ("b", 7): None}
+
+
+def test_damaged_archives_give_no_lines(spark):
+    files = spark.createDataFrame([("x/AUSDT-1h-2024-01.zip", ",".join("1" * 12))], "path string, body string")
+    good = readers.zipped(files)
+    body = good.first()["content"]
+    odd = spark.createDataFrame([("bad.zip", bytearray(b"no archive")), ("short.zip", bytearray(body[:-30])), ("void.zip", None), ("flipped.zip", bytearray(body[:40] + bytes([body[40] ^ 255]) + body[41:]))], "path string, content binary")
+    assert [r["path"] for r in rows(readers.archive_lines(good.union(odd)))] == ["x/AUSDT-1h-2024-01.zip"]
+
+
+def test_metrics_are_read_with_and_without_a_header(spark, tmp_path):
+    names = readers.METRICS.fieldNames()
+    line = lambda t: ",".join({"create_time": t, "symbol": "A"}.get(n, "1.5") for n in names)
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + line("2024-01-01 00:00:00") + "\n")
+    (tmp_path / "b.csv").write_text(line("2024-01-01 00:05:00") + "\n" + line("2024-01-01 00:10:00") + "\n")
+    assert readers.metrics(spark, str(tmp_path)).count() == 3
+
+
+def test_pumps_need_a_trough_before_the_peak_and_an_ignition(spark):
+    def daily(symbol, close, low=None):
+        start = datetime.date(2024, 1, 1)
+        return [(symbol, start + datetime.timedelta(i), c, c, (low or {}).get(i, c)) for i, c in enumerate(close)]
+
+    calm = [1.0] * 100
+    pump = calm[:75] + [1.2, 1.6, 2.4] + [1.0] * 22
+    data = daily("plain", pump) + daily("own", pump, {77: 0.5})  # the second one's trough is its peak's own row
+    df = spark.createDataFrame(data, "symbol string, day date, close double, high double, low double")
+    got = [(r["symbol"], r["i"], str(r["ignite"])) for r in rows(events.greedy_pumps(df))]
+    assert got == [("plain", 77, "2024-03-16")]

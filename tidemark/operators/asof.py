@@ -13,11 +13,15 @@ HOUR_MS = 3_600_000
 
 
 def backward(decisions: DataFrame, observations: DataFrame, values: list[str], key: str = "symbol", at: str = "ts_ms", lag_ms: int = 0) -> DataFrame:
-    """decisions (key, at, ...) with the values of the last observation at or before at - lag_ms, and its time ``obs_ms``."""
+    """decisions (key, at, ...) with the values of the last observation at or before at - lag_ms, and its time ``obs_ms``.
+
+    Of observations of one time the greatest in the order of values counts; a null time is
+    before all others, decisions without an observation get nulls, and repeated decisions a row each.
+    """
     others = [c for c in decisions.columns if c not in (key, at)]
     left = decisions.select(F.col(key), F.col(at), (F.col(at) - lag_ms).alias("_cut"), F.lit(1).alias("_kind"), F.struct(*others).alias("_row") if others else F.struct(F.lit(0).alias("_")).alias("_row"), F.lit(None).cast(_struct(observations, values, at)).alias("_obs"))
     right = observations.select(F.col(key), F.lit(None).cast("long").alias(at), F.col(at).alias("_cut"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(F.col(at).alias("obs_ms"), *values).alias("_obs"))
-    w = Window.partitionBy(key).orderBy("_cut", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("_cut", "_kind", "_obs").rowsBetween(Window.unboundedPreceding, 0)
     merged = left.unionByName(right).withColumn("_obs", F.last("_obs", ignorenulls=True).over(w)).where("_kind = 1")
     return merged.select(key, at, *(F.col(f"_row.{c}").alias(c) for c in others), *(F.col(f"_obs.{c}").alias(c) for c in ("obs_ms", *values)))
 

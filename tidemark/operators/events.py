@@ -34,7 +34,7 @@ def waves(bars: DataFrame, hours: int, gain: float, merge_hours: int = 48, tiers
 
 
 def greedy_pumps(daily: DataFrame, skip: int = 20, least_rows: int = 90, back: int = 60, window: int = 30, around: int = 10, gain: float = 1.0, ignite: float = 1.15, key: str = "symbol") -> DataFrame:
-    """Daily pumps, without overlap: after a hit, ``skip`` rows are passed over.
+    """Daily pumps, without overlap: after a hit, ``skip`` rows are passed over.  A pump needs a trough before its peak's row and an ignition after the trough; others aren't hits and pass nothing over.
 
     Window functions find the candidates (few); only those, sorted, go through the greedy
     pass of their symbol.
@@ -47,7 +47,7 @@ def greedy_pumps(daily: DataFrame, skip: int = 20, least_rows: int = 90, back: i
     low = F.min(F.struct(F.col("low"), F.col("i").alias("at"), F.col("day").alias("on"), F.col("close").alias("c"))).over(w.rowsBetween(-back, 0))
     rows = rows.withColumn("t", low).withColumn("recent", F.collect_list(F.struct("i", "day", "close")).over(w.rowsBetween(-back, 0)))
     lit = F.try_element_at(F.filter("recent", lambda x: (x["i"] > F.col("t.at")) & (x["close"] >= ignite * F.col("t.c"))), F.lit(1))
-    found = rows.where((F.col("n") >= least_rows) & (F.col("i") >= back) & (F.col("i") <= F.col("n") - 2) & (F.col("ret") >= 1) & (F.col("ret") == F.col("top")) & (F.col("high") / F.col("t.low") - 1 >= gain))
+    found = rows.where((F.col("n") >= least_rows) & (F.col("i") >= back) & (F.col("i") <= F.col("n") - 2) & (F.col("ret") >= 1) & (F.col("ret") == F.col("top")) & (F.col("high") / F.col("t.low") - 1 >= gain) & (F.col("t.at") < F.col("i")) & lit.isNotNull())
     found = found.select(key, F.col("i").cast("long").alias("i"), "day", F.col("t.on").alias("trough"), lit["day"].alias("ignite"), (F.col("high") / F.col("t.low") - 1).alias("gain"))
 
     def greedy(rows_: Iterator[pd.DataFrame]) -> pd.DataFrame:

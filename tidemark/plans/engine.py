@@ -33,7 +33,7 @@ def r(c: str | Column, places: int = 5) -> Column:
 
 _INTEREST = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'"
 _RATIOS = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value / 50 AS ratio FROM events WHERE event_type = 'signup'"
-_DECISIONS = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, event_id FROM events WHERE event_type = 'error' AND event_id % 3 = 0"
+_DECISIONS = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, event_id FROM events WHERE event_type = 'error'"
 _EMA = "list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 238 PRECEDING AND CURRENT ROW), lambda a, x: a + (x - a) * CAST(2.0 / 51 AS DOUBLE))"
 _BOX = f"""x AS (SELECT symbol, ts_ms, close, count(*) OVER u AS n, CASE WHEN count(high) OVER b = 24 THEN max(high) OVER b END AS box_high, CASE WHEN count(low) OVER b = 24 THEN min(low) OVER b END AS box_low,
  CASE WHEN count(volume) OVER w24 = 24 THEN sum(volume) OVER w24 END AS v24, CASE WHEN count(volume) OVER p24 = 24 THEN sum(volume) OVER p24 END AS prev24, {_EMA} AS ema FROM bars
@@ -67,12 +67,12 @@ def w13_box_age(spark, d):
     return windows.with_run_length(rows, F.col("ok"), "box_age").select("symbol", "ts_ms", F.col("box_age").cast("long").alias("box_age"))
 
 
-@query("WITH b AS (SELECT symbol, ts_ms, rank() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i, close, volume FROM bars), p AS (SELECT a.symbol, a.ts_ms, x.close, x.volume FROM b a JOIN b x ON x.symbol = a.symbol AND x.i BETWEEN a.i - 23 AND a.i WHERE a.i >= 24 AND a.i % 10 = 0), k AS (SELECT symbol, ts_ms, rank() OVER (PARTITION BY symbol, ts_ms ORDER BY close) + (count(*) OVER (PARTITION BY symbol, ts_ms, close) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol, ts_ms ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, ts_ms, volume) - 1) / 2.0 AS b FROM p) SELECT symbol, ts_ms, $r(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE))) AS rho FROM k GROUP BY 1, 2")
+@query("WITH b AS (SELECT symbol, ts_ms, rank() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i, close, volume FROM bars), p AS (SELECT a.symbol, a.ts_ms, x.close, x.volume FROM b a JOIN b x ON x.symbol = a.symbol AND x.i BETWEEN a.i - 23 AND a.i WHERE a.i >= 24), k AS (SELECT symbol, ts_ms, rank() OVER (PARTITION BY symbol, ts_ms ORDER BY close) + (count(*) OVER (PARTITION BY symbol, ts_ms, close) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol, ts_ms ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, ts_ms, volume) - 1) / 2.0 AS b FROM p) SELECT symbol, ts_ms, $r(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE))) AS rho FROM k GROUP BY 1, 2")
 def w20_rolling_spearman(spark, d):
-    """Rank correlation of close and volume over 24 rows, at every tenth bar: frames become arrays, ranks are counted inside them."""
+    """Rank correlation of close and volume over 24 rows, at every bar: frames become arrays, ranks are counted inside them."""
     w = windows.by_symbol()
     frame = F.collect_list(F.struct("close", "volume")).over(windows.frame(24))
-    rows = domain(spark, d, "bars").withColumn("i", F.row_number().over(w)).withColumn("f", frame).where("i >= 24 AND i % 10 = 0")
+    rows = domain(spark, d, "bars").withColumn("i", F.row_number().over(w)).withColumn("f", frame).where("i >= 24")
     each = rows.select("symbol", "ts_ms", F.explode("f").alias("v")).select("symbol", "ts_ms", "v.*")
     return stats.spearman(each, "close", "volume", ["symbol", "ts_ms"], 3).select("symbol", "ts_ms", r("ic").alias("rho"))
 
@@ -158,7 +158,7 @@ def d01_greedy_pumps(spark, d):
     return out.select("symbol", F.col("day").cast("string").alias("day"), F.col("trough").cast("string").alias("trough"), F.col("ignite").cast("string").alias("ignite"), r("gain").alias("gain"))
 
 
-_FWD = """q AS (SELECT symbol, ts_ms - 1800000 AS ts_ms FROM bars WHERE trades % 3 = 0), a AS (SELECT q.symbol, q.ts_ms, b.ts_ms AS ref_ms, b.open AS ref_price FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts_ms >= q.ts_ms),
+_FWD = """q AS (SELECT symbol, ts_ms - 1800000 AS ts_ms FROM bars), a AS (SELECT q.symbol, q.ts_ms, b.ts_ms AS ref_ms, b.open AS ref_price FROM q ASOF LEFT JOIN bars b ON b.symbol = q.symbol AND b.ts_ms >= q.ts_ms),
  e AS (SELECT symbol, max(ts_ms) AS data_end FROM bars GROUP BY 1), p AS (SELECT a.symbol, a.ts_ms, a.ref_ms, a.ref_price, max(b.high) AS hi, min(b.low) AS lo, count(b.ts_ms) AS n, arg_max(b.ts_ms, (b.high, -b.ts_ms)) AS peak_ms FROM a LEFT JOIN bars b ON b.symbol = a.symbol AND b.ts_ms >= a.ref_ms AND b.ts_ms < a.ref_ms + 48 * 3600000 GROUP BY 1, 2, 3, 4),
  z AS (SELECT p.*, CASE WHEN ref_ms IS NULL THEN 'no_reference' WHEN NOT (ref_ms + 47 * 3600000 <= data_end) THEN 'partial_tail' WHEN n < 48 THEN 'gap' ELSE 'complete' END AS state FROM p LEFT JOIN e ON e.symbol = p.symbol)"""
 
@@ -167,7 +167,7 @@ _FWD = """q AS (SELECT symbol, ts_ms - 1800000 AS ts_ms FROM bars WHERE trades %
 def e01_forward_outcomes(spark, d):
     """Reference at the first bar's open, touch, worst, first peak and verdict over 48 hours."""
     bars = domain(spark, d, "bars")
-    decisions = bars.where("trades % 3 = 0").select("symbol", (F.col("ts_ms") - 1_800_000).alias("ts_ms"))
+    decisions = bars.select("symbol", (F.col("ts_ms") - 1_800_000).alias("ts_ms"))
     return outcomes.forward(decisions, bars, 48, 5.0).select("symbol", "ts_ms", "ref_ms", r("touch", 8).alias("touch"), r("worst", 8).alias("worst"), "peak_ms", "state", "verdict")
 
 
@@ -259,11 +259,11 @@ def j15_control_days(spark, d):
     return rows.groupBy("symbol").agg(F.count("*").alias("candidates"), F.min("day").cast("string").alias("first_day"))
 
 
-@query("WITH s AS (SELECT user_id, $ms(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 86400000 THEN 0 ELSE 1 END AS nw FROM s), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t) AS session FROM n), z AS (SELECT user_id, session, min(t) AS lo, max(t) AS hi, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT user_id, $ms(ts) + 7200000 AS t, event_id FROM events WHERE event_type = 'view' AND event_id % 5 = 0) SELECT p.event_id, $int(min(z.session)) AS session FROM p LEFT JOIN z ON z.user_id = p.user_id AND p.t BETWEEN z.lo AND z.hi GROUP BY 1")
+@query("WITH s AS (SELECT user_id, $ms(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 86400000 THEN 0 ELSE 1 END AS nw FROM s), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t) AS session FROM n), z AS (SELECT user_id, session, min(t) AS lo, max(t) AS hi, count(*) AS n FROM g GROUP BY 1, 2), p AS (SELECT user_id, $ms(ts) + 7200000 AS t, event_id FROM events WHERE event_type = 'view') SELECT p.event_id, $int(min(z.session)) AS session FROM p LEFT JOIN z ON z.user_id = p.user_id AND p.t BETWEEN z.lo AND z.hi GROUP BY 1")
 def j20_point_in_interval(spark, d):
     """The session that contains a point: the last one that begins before it, if it hasn't ended."""
     s = sql(spark, d, "SELECT user_id AS symbol, $ms(ts) AS ts_ms FROM events")
     z = windows.sessions(s, "ts_ms", 86_400_000, ["symbol"]).groupBy("symbol", "session").agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
-    points = sql(spark, d, "SELECT user_id AS symbol, $ms(ts) + 7200000 AS ts_ms, event_id FROM events WHERE event_type = 'view' AND event_id % 5 = 0")
+    points = sql(spark, d, "SELECT user_id AS symbol, $ms(ts) + 7200000 AS ts_ms, event_id FROM events WHERE event_type = 'view'")
     got = asof.backward(points, z.select("symbol", F.col("lo").alias("ts_ms"), "session", "hi"), ["session", "hi"])
     return got.select("event_id", F.when(F.col("ts_ms") <= F.col("hi"), F.col("session")).alias("session"))

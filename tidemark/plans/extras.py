@@ -18,7 +18,11 @@ from tidemark.streaming import streams
 
 def scratch(spark: SparkSession) -> str:
     """A folder for a query's own files: in the shared one where the cluster names it."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -297,7 +301,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ended(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    return streams.to_end(stream, "t" + uuid.uuid4().hex, mode, scratch(spark))
+    return streams.to_end(stream, scratch(spark), mode)
 
 
 @query("SELECT symbol, ts_ms, $r(close) AS close, $r(high) AS high, trades FROM bars")

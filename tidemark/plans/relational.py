@@ -56,7 +56,7 @@ SQL["j04_lookup_first"] = """WITH first_part AS (SELECT p_brand, $min_by(p_name;
 SQL["j05_semi"] = """SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)"""
 SQL["j06_anti_covered"] = """WITH monthly AS (SELECT symbol, $ym(day) AS ym FROM daily GROUP BY 1, 2 HAVING count(*) >= 16)
 SELECT d.symbol, $ymd(d.day) AS day FROM daily d WHERE NOT EXISTS (SELECT 1 FROM monthly m WHERE m.symbol = d.symbol AND m.ym = $ym(d.day))"""
-SQL["j10_exact_offsets"] = """SELECT a.symbol, $ymd(a.day) AS day, $r(a.close / nullif(b.close, 0) - 1) AS chg1, $r(a.close / nullif(c.close, 0) - 1) AS chg3, $r(a.close / nullif(e.close, 0) - 1) AS chg7 FROM daily a LEFT JOIN daily b ON b.symbol = a.symbol AND b.day = $plus_days(a.day, -1) LEFT JOIN daily c ON c.symbol = a.symbol AND c.day = $plus_days(a.day, -3) LEFT JOIN daily e ON e.symbol = a.symbol AND e.day = $plus_days(a.day, -7)"""
+SQL["j10_exact_offsets"] = """WITH x AS (SELECT symbol, day, close, $days(day; DATE '2000-01-01') AS n FROM daily) SELECT symbol, $ymd(day) AS day, $r(close / nullif(max(close) OVER (PARTITION BY symbol ORDER BY n RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) - 1) AS chg1, $r(close / nullif(max(close) OVER (PARTITION BY symbol ORDER BY n RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING), 0) - 1) AS chg3, $r(close / nullif(max(close) OVER (PARTITION BY symbol ORDER BY n RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING), 0) - 1) AS chg7 FROM x"""
 SQL["j14_grid"] = """WITH span AS (SELECT symbol, min(ts_ms) AS lo, max(ts_ms) AS hi FROM user_bars GROUP BY 1), grid AS (SELECT symbol, $explode_range($div(lo; 3600000), $div(hi; 3600000)) AS hour_idx FROM span)
 SELECT g.symbol, g.hour_idx, b.ts_ms IS NOT NULL AS present FROM grid g LEFT JOIN user_bars b ON b.symbol = g.symbol AND b.ts_ms = g.hour_idx * 3600000"""
 SQL["j16_full_diff"] = """WITH a AS (SELECT symbol, ts_ms, trades FROM user_bars WHERE trades > 1), b AS (SELECT symbol, ts_ms, CASE WHEN ts_ms % 7200000 = 0 THEN trades ELSE trades + 1 END AS trades FROM user_bars WHERE volume > 60)

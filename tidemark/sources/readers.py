@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,31 +43,40 @@ def zipped(files: DataFrame) -> DataFrame:
     return files.select("path", "body").mapInPandas(run, "path string, content binary")
 
 
+def _member_lines(content: bytes | None) -> Iterator[tuple[int, str]]:
+    """Numbered lines of the first .csv member; none of an archive that is no archive or is damaged before it can be read through."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            member = next((m for m in z.namelist() if m.endswith(".csv")), None)
+            if member is None or z.testzip() is not None:
+                return
+            with z.open(member) as f:
+                yield from enumerate(io.TextIOWrapper(f, "utf-8-sig", errors="replace"))
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+        return
+
+
 def archive_lines(files: DataFrame) -> DataFrame:
     """path, line_no, fields of every line of the first .csv member of each archive (path, content); a file is read by one task, in batches.
 
-    Lines of less than eleven fields are dropped, and a first line that doesn't begin with a digit.
+    Lines of less than eleven fields are dropped, and a first line that doesn't begin with a
+    digit.  A damaged archive gives no lines and doesn't end the job.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    member = next((m for m in z.namelist() if m.endswith(".csv")), None)
-                    if member is None:
+                rows: list[tuple] = []
+                for i, raw in _member_lines(content):
+                    fields = raw.rstrip("\r\n").split(",")
+                    if len(fields) < _LEAST_FIELDS or (i == 0 and not fields[0][:1].isdigit()):
                         continue
-                    rows: list[tuple] = []
-                    with z.open(member) as f:
-                        for i, raw in enumerate(io.TextIOWrapper(f, "utf-8-sig", errors="replace")):
-                            fields = raw.rstrip("\r\n").split(",")
-                            if len(fields) < _LEAST_FIELDS or (i == 0 and not fields[0][:1].isdigit()):
-                                continue
-                            rows.append((name, i, fields))
-                            if len(rows) >= _BATCH:
-                                yield pd.DataFrame(rows, columns=["path", "line_no", "fields"])
-                                rows = []
-                    if rows:
+                    rows.append((name, i, fields))
+                    if len(rows) >= _BATCH:
                         yield pd.DataFrame(rows, columns=["path", "line_no", "fields"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "line_no", "fields"])
 
     return files.mapInPandas(run, "path string, line_no long, fields array<string>")
 
@@ -84,8 +94,8 @@ def klines(lines: DataFrame, dedupe: bool = True) -> DataFrame:
 
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Five-minute metrics from CSV, times in milliseconds; of a time's rows the last stays."""
-    raw = spark.read.schema(METRICS).option("header", "true").option("mode", "DROPMALFORMED").csv(path).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    """Five-minute metrics from CSV with or without a header, which has no time and so falls out; times in milliseconds; of a time's rows the last stays."""
+    raw = spark.read.schema(METRICS).csv(path).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
     out = raw.withColumn("ts_ms", normalize_epoch("create_time")).where("ts_ms IS NOT NULL")
     w = Window.partitionBy("symbol", "ts_ms").orderBy(F.col("_file").desc(), F.col("_at").desc())
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at", "_file", "create_time")

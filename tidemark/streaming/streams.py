@@ -72,10 +72,17 @@ def replayed(journal: DataFrame) -> DataFrame:
     return good.groupBy("record").agg(F.max_by("value", "seq").alias("value"), F.max("until_ms").alias("until_ms"))
 
 
-def to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns its result: for tests and ``--once`` rounds."""
+def to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns its result, written below folder: for tests and ``--once`` rounds.
+
+    A batch that runs twice writes its own place again.  Of complete results the last stays.
+    """
     spark: SparkSession = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/begin")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'begin' if mode == 'complete' else number}")
+
+    query: StreamingQuery = stream.writeStream.foreachBatch(save).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
