@@ -46,6 +46,8 @@ STATISTICS = {
     "n_repeat_words / (n_words + 20)": 0.06,
 }
 SHARE, TRIAL, MOST_STEPS, LEAST_ROWS, CUTOFF = 0.75, 2, 30, 25, 36.0
+#: Change of a determinant's logarithm that counts as none.
+SETTLED = 0.001
 #: Distances are told apart by bins of a sixteenth of a power of two; groups whose estimates may be broadcast (some 400 bytes each).
 BINS, BROADCAST_GROUPS = 16, 20_000
 
@@ -185,7 +187,7 @@ def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE,
         new = written(new, "estimates")
         if step >= TRIAL:
             change = new.select("g", F.col("determinant").alias("new")).join(estimate.select("g", "determinant"), "g").agg(F.max(F.abs(F.col("new") - F.col("determinant")))).first()[0]
-            if change is None or change < 1e-9:
+            if change is None or change < SETTLED:
                 estimate = new
                 break
         estimate = new
