@@ -522,7 +522,7 @@ def test_anchors_bring_close_fingerprints_together():
 
 def test_wide_stage_keeps_texts_below_the_similarity(spark, monkeypatch):
     rng = random.Random(9)
-    for name, size in (("PART_ROWS", 7), ("TASK_ROWS", 50), ("MANY", 2), ("TURNS", (1, 2)), ("CLUSTER_ROWS", 4)):  # anchors and clusters are split, components skipped
+    for name, size in (("PART_ROWS", 7), ("TASK_ROWS", 50), ("MANY", 2), ("PARTNERS", 2), ("CLUSTER_ROWS", 4)):  # anchors and clusters are split, components skipped
         monkeypatch.setattr(simhash_wide, name, size)
     texts = []
     for _ in range(30):
