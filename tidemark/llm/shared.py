@@ -47,12 +47,23 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> D
     """What make gives, written; tables written on the way there are deleted once it stands."""
     before = len(_tables)
     out = written(make(), name)
+    _delete(spark, _tables[before:-1])
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+        _delete(df.sparkSession, [path for path in _tables if any(folder.endswith(path.rsplit("/", 1)[1]) for folder in folders)])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     context = spark.sparkContext
-    for path in _tables[before:-1]:
+    for path in paths:
         place = context._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-    del _tables[before:-1]
-    return out
+        _tables.remove(path)
 
 
 def apart(df: DataFrame, text: str = "text") -> tuple[list[Column], list[Column]]:
@@ -86,7 +97,7 @@ def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[dict[str,
     return map_batches(df, run, schema)
 
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<binary>": pa.list_(pa.binary())}
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

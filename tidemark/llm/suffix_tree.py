@@ -1,21 +1,23 @@
 """A probabilistic suffix tree over words: training over all texts, scores for all texts.
 
-Symbols are lower-cased words, an end symbol, and a begin symbol that is only context.
-The tree's candidates are chosen level by level as in Ron, Singer and Tishby's learner:
-a sequence of symbols stays only if its share of the training tokens is at least
-``P_MIN`` (and it stands there twice), so that no level has more than 1 / P_MIN entries
-whatever the corpus holds, while every count is taken over the whole corpus.  A context is
+Symbols are lower-cased words, an end symbol, and a begin symbol that is only context.  A
+context of up to ``DEPTH`` symbols lists the next symbols that follow it ``LEAST`` times or
+more in the training texts, a fixed number, so that the tree grows with the corpus.  It is
 retained as a state if its next-symbol distribution diverges from that of its longest
 retained suffix: count times divergence must exceed ``GAIN`` for each next symbol that it
 lists.  Listed next symbols get (c - DISCOUNT) / n; what is left goes to all others in the
 suffix's proportions, down to the root, the add-one distribution of single words.  A
 token is scored by the longest retained suffix of what precedes it in its text.
 
-Tables, not tokens, move.  Texts become chunks of local word numbers, written once.  Each
-chunk asks for its distinct words' counts (one shuffle, by ranges of the words' hashes)
-and gets them back; sequences of frequent words are summed within a task before they are
-shuffled; the tree, at most DEPTH / P_MIN entries, is broadcast; chunks meet their counts
-once, for scoring.  Words are told apart by 64-bit hashes.
+The tree is never in one place.  Texts become chunks of local word numbers, written once.
+Each chunk asks for its distinct words' counts and numbers (one shuffle, by ranges of the
+words' keys).  Then it sends its distinct windows (a symbol and the DEPTH before it) with
+their training counts to the tasks of their last context word: all contexts that end with
+a word, their next symbols and the suffixes that they are compared with meet there, so a
+task fits its branches of the tree by itself and answers each window with what its state
+adds to the base score.  Words
+are told apart by 64-bit keys; an answer is a multiple of ``STEP``, so a token's is within
+2e-8 of its logarithm.
 
 Defined results: a null or empty text is the end symbol alone; a null doc_id counts as
 training text; repeated rows are counted and scored each; with no training text every
@@ -25,7 +27,6 @@ token has the base probability one; columns besides id and text are not read.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.buffers import ascii_lower, blocks, mixed, packed, run_sums, span_keys, text_buffer, unpacked, word_spans
-from tidemark.llm.shared import map_arrow, written
+from tidemark.llm.shared import dropped, map_arrow, written
 
-P_MIN, DEPTH, DISCOUNT, GAIN = 5e-7, 3, 0.75, 2.0
+LEAST, DEPTH, DISCOUNT, GAIN = 2, 3, 0.75, 2.0
 HELD_MOD, HELD_REST = 7, 2
-#: Hash of the end symbol; no word has it but by chance.
+#: Key of the end symbol; no word has it but by chance.
 END = np.uint64(0xE0D)
+#: Numbers of no symbol (or one that stands less than LEAST times) and of the begin symbol; words have others.
+NONE, BEGIN = 0, 1
 #: Bytes of text of a chunk.
-CHUNK_BYTES = 2_000_000
-#: Distinct words of one range of hashes, about; sequences summed in a task before they are let go.
-RANGE_WORDS, HOLD = 1_000_000, 1_000_000
+CHUNK_BYTES = 4_000_000
+#: Distinct words of one range of keys, windows of one task's group, about.
+RANGE_WORDS, RANGE_WINDOWS = 1_000_000, 1_000_000
+#: Of the logarithms that come back, which stay within 13 above and 36 below zero.
+STEP = 2.0**-25
 
 
 def chunks(df: DataFrame) -> DataFrame:
@@ -68,20 +73,19 @@ def chunks(df: DataFrame) -> DataFrame:
                 vocab, codes = np.unique(keys, return_inverse=True)
                 counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(vocab))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + n]), pa.array([docs.to_pylist()], pa.list_(pa.int64())), pa.array([held.tobytes()]), pa.array([sizes.astype("<i4").tobytes()]), pa.array([packed(codes.astype("<u4"))]), pa.array([packed(vocab)]), pa.array([packed(counts.astype("<i4"))]), pa.array([int(sizes[~held].sum())]), pa.array([int((~held).sum())]), pa.array([len(vocab)])],
-                    names=["chunk", "docs", "held", "sizes", "codes", "vocab", "counts", "train_tokens", "train_docs", "words"],
+                    [pa.array([(task << 32) + n]), pa.array([docs.to_pylist()], pa.list_(pa.int64())), pa.array([held.tobytes()]), pa.array([sizes.astype("<i4").tobytes()]), pa.array([packed(codes.astype("<u4"))]), pa.array([packed(vocab)]), pa.array([packed(counts.astype("<i4"))]), pa.array([int(sizes[~held].sum())]), pa.array([len(keys)]), pa.array([len(vocab)])],
+                    names=["chunk", "docs", "held", "sizes", "codes", "vocab", "counts", "train_tokens", "tokens", "words"],
                 )
                 n += 1
 
-    return df.mapInArrow(run, "chunk long, docs array<long>, held binary, sizes binary, codes binary, vocab binary, counts binary, train_tokens long, train_docs long, words long")
+    return df.mapInArrow(run, "chunk long, docs array<long>, held binary, sizes binary, codes binary, vocab binary, counts binary, train_tokens long, tokens long, words long")
 
 
 def word_counts(parts: DataFrame, least: int) -> DataFrame:
-    """For each chunk and range of hashes, its words' corpus counts and numbers, in order.
+    """For each chunk and range of keys, its words' corpus counts and numbers, in order; with chunk -1 the number of the range's words.
 
-    A word's number is its place among the words of its range that are counted ``least``
-    times, -1 if it isn't one of them; with chunk -1 come those words' hashes and counts,
-    and the number of the range's words.
+    Numbers follow frequency, range by range, so that common words have small ones; words
+    that are counted less than ``least`` times have none.
     """
     words = parts.agg(F.sum("words")).first()[0] or 0
     bits = max(4, int(words / RANGE_WORDS).bit_length())
@@ -89,7 +93,8 @@ def word_counts(parts: DataFrame, least: int) -> DataFrame:
     def ask(batch):
         for chunk, vocab, counts in zip(*(c.to_pylist() for c in batch.columns)):
             keys, counts = unpacked(vocab, "<u8"), unpacked(counts, "<i4")
-            n = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+            n = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            n = np.append(n, len(keys))
             full = np.flatnonzero(np.diff(n))
             yield {"span": full, "chunk": np.full(len(full), chunk), "keys": [packed(keys[n[i] : n[i + 1]]) for i in full], "counts": [packed(counts[n[i] : n[i + 1]]) for i in full]}
 
@@ -98,14 +103,16 @@ def word_counts(parts: DataFrame, least: int) -> DataFrame:
         at = np.append(0, np.cumsum([len(x) for x in asked]))
         distinct, which = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(which, np.concatenate([unpacked(x, "<i4") for x in rows["counts"].to_pylist()]), len(distinct)).astype("<i8")
-        often = total >= least
-        number = np.where(often, np.cumsum(often) - 1, -1).astype("<i4")[which]
+        span = rows["span"][0].as_py()
+        rank = np.empty(len(distinct), "<i8")
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
+        number = np.where(total >= least, 2 + (rank << bits) + span, NONE)[which]
         back = total[which]
         return pa.table({
             "chunk": [*rows["chunk"].to_pylist(), -1],
-            "span": pa.array([rows["span"][0].as_py()] * (len(rows) + 1), pa.int32()),
-            "counts": [*(packed(back[p:q]) for p, q in zip(at, at[1:])), packed(total[often])],
-            "numbers": pa.array([*(packed(number[p:q]) for p, q in zip(at, at[1:])), packed(distinct[often])], pa.binary()),
+            "span": pa.array([span] * (len(rows) + 1), pa.int32()),
+            "counts": pa.array([*(packed(back[p:q]) for p, q in zip(at, at[1:])), None], pa.binary()),
+            "numbers": pa.array([*(packed(number[p:q]) for p, q in zip(at, at[1:])), None], pa.binary()),
             "types": [0] * len(rows) + [int((total > 0).sum())],
         })
 
@@ -113,190 +120,178 @@ def word_counts(parts: DataFrame, least: int) -> DataFrame:
     return written(asked.groupBy("span").applyInArrow(answer, "chunk long, span int, counts binary, numbers binary, types long"), "counts")
 
 
-@dataclass
-class Level:
-    """Entries (context, symbol) of one context length, by key context * (symbols + 1) + symbol; later its states."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    log_prob: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    log_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    state: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-
-
-@dataclass
-class Tree:
-    words: np.ndarray  # sorted hashes of the frequent words; number len(words) is the begin symbol
-    word_counts: np.ndarray
-    tokens: int
-    types: int
-    docs: int
-    levels: list[Level] = field(default_factory=list)
-    first: dict[int, int] = field(default_factory=dict)  # of each range of hashes, its first word's number
-
-    def numbered(self, vocab: np.ndarray) -> np.ndarray:
-        """The number among the frequent words of each hash, or -1."""
-        if not len(self.words):
-            return np.full(len(vocab), -1)
-        at = np.minimum(np.searchsorted(self.words, vocab), len(self.words) - 1)
-        return np.where(self.words[at] == vocab, at, -1)
-
-    def trace(self, symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Each token's context of one more symbol than the levels have, and for each level its (context, entry); -1 where there is none."""
-        first = np.zeros(len(symbol), bool)
-        first[(np.cumsum(sizes) - sizes)] = True
-        context = np.append(-1, symbol[:-1])
-        context[first] = len(self.words)
-        found = []
-        for level in self.levels:
-            entry = np.full(len(symbol), -1)
-            ask = np.flatnonzero((context >= 0) & (symbol >= 0))
-            key = context[ask] * (len(self.words) + 1) + symbol[ask]
-            if len(level.keys):
-                spot = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-                entry[ask] = np.where(level.keys[spot] == key, spot, -1)
-            found.append((context, entry))
-            context = np.append(-1, entry[:-1])
-            context[first] = -1
-        return context, found
-
-    def fit(self) -> None:
-        """States, probabilities and what each state leaves to its suffix, from short contexts to long."""
-        m = len(self.words) + 1
-        lower = (self.word_counts + 1) / (self.tokens + self.types + 1)  # of each entry of the level below, by its own state
-        times = np.append(self.word_counts, self.docs)  # of each context
-        suffix = np.arange(len(self.words))  # entry of the level below that an entry ends with
-        for depth, level in enumerate(self.levels):
-            context, symbol = level.keys // m, level.keys % m
-            if depth == 0:
-                below = symbol
-            else:
-                below_keys = suffix[context] * m + symbol
-                below = np.searchsorted(self.levels[depth - 1].keys, below_keys) if depth else symbol
-            p_low = lower[below]
-            p = (level.counts - DISCOUNT) / times[context]
-            listed = np.bincount(context, minlength=len(times))
-            gain = np.bincount(context, level.counts * np.log(p / p_low), len(times))
-            left, left_low = 1 - np.bincount(context, p, len(times)), 1 - np.bincount(context, p_low, len(times))
-            level.state = (listed > 0) & (gain > GAIN * listed) & (left > 1e-12) & (left_low > 1e-12)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                level.log_rest = np.where(level.state, np.log10(np.where(level.state, left, 1) / np.where(level.state, left_low, 1)), 0)
-            level.log_prob = np.log10(p)
-            lower = np.where(level.state[context], p, p_low)
-            times, suffix = level.counts, below
-
-    def log_probs(self, root: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        out = root.copy()
-        for level, (context, entry) in zip(self.levels, found):
-            on = np.flatnonzero(context >= 0)
-            on = on[level.state[context[on]]]
-            c, e = context[on], entry[on]
-            out[on] = np.where(e >= 0, level.log_prob[e] if len(level.log_prob) else 0, level.log_rest[c] + out[on])
-        return out
-
-
-def _next_level(parts: DataFrame, tree: Tree, least: int) -> Level:
-    """Counts, over all training texts, of sequences that extend the tree's last level by a symbol."""
-    shared = parts.sparkSession.sparkContext.broadcast(tree)
-    bits = max(6, int(tree.tokens / RANGE_WORDS).bit_length())
+def by_chunk(answers: DataFrame, *columns: str) -> DataFrame:
+    """A chunk's answers in the order of their ranges: arrays of the columns."""
+    lists = F.array_sort(F.collect_list(F.struct("span", *columns)))
+    return answers.groupBy("chunk").agg(lists.alias("found")).select("chunk", *(F.col("found")[c].alias(c) for c in columns))
 
-    def run(batches):
-        held_keys, held_counts, size = [], [], 0
-
-        def summed():
-            keys, counts = np.concatenate(held_keys), np.concatenate(held_counts)
-            distinct, which = np.unique(keys, return_inverse=True)
-            return distinct, np.bincount(which, counts, len(distinct)).astype(np.int64)
-
-        def blobs(keys, counts):
-            # a range of scrambled keys each, so that blobs of a range are alike in size
-            span = (mixed(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(span, kind="stable")
-            keys, counts, span = keys[order], counts[order], span[order]
-            edge = np.flatnonzero(np.append(True, span[1:] != span[:-1]))
-            last = np.append(edge[1:], len(span))
-            return pa.RecordBatch.from_arrays([pa.array(span[edge]), pa.array([packed(keys[p:q]) for p, q in zip(edge, last)], pa.binary()), pa.array([packed(counts[p:q]) for p, q in zip(edge, last)], pa.binary())], names=["span", "keys", "counts"])
 
-        for batch in batches:
-            t = shared.value
-            for held, sizes, codes, vocab in zip(*(c.to_pylist() for c in batch.columns)):
-                held, sizes = np.frombuffer(held, bool), np.frombuffer(sizes, "<i4")
-                symbol = t.numbered(unpacked(vocab, "<u8"))[unpacked(codes, "<u4")]
-                context, _ = t.trace(symbol, sizes)
-                use = (symbol >= 0) & (context >= 0) & np.repeat(~held, sizes)
-                keys, counts = np.unique(context[use] * (len(t.words) + 1) + symbol[use], return_counts=True)
-                held_keys.append(keys)
-                held_counts.append(counts)
-                size += len(keys)
-            if size > HOLD:
-                keys, counts = summed()
-                held_keys, held_counts, size = [keys], [counts], len(keys)
-                if size > HOLD // 2:
-                    yield blobs(keys, counts)
-                    held_keys, held_counts, size = [], [], 0
-        if size:
-            yield blobs(*summed())
-
-    def total(rows: pa.Table) -> pa.Table:
-        keys, counts = (np.concatenate([unpacked(x, "<i8") for x in rows[c].to_pylist()]) for c in ("keys", "counts"))
-        distinct, which = np.unique(keys, return_inverse=True)
-        counts = np.bincount(which, counts, len(distinct)).astype(np.int64)
-        often = counts >= least
-        return pa.table({"keys": pa.array([distinct[often].tobytes()], pa.binary()), "counts": pa.array([counts[often].tobytes()], pa.binary())})
-
-    blobs = parts.select("held", "sizes", "codes", "vocab").mapInArrow(run, "span int, keys binary, counts binary")
-    # At most 1 / P_MIN entries come back.
-    rows = blobs.groupBy("span").applyInArrow(total, "keys binary, counts binary").collect()
-    keys, counts = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r[i], np.int64) for r in rows)]) for i in (0, 1))
-    order = np.argsort(keys)
-    return Level(keys[order], counts[order])
-
-
-def train(parts: DataFrame, p_min: float = P_MIN, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree, and the words' counts for each chunk."""
-    tokens, docs = parts.agg(F.sum("train_tokens"), F.sum("train_docs")).first()
-    tokens, docs = tokens or 0, docs or 0
-    least = max(2, int(np.ceil(p_min * tokens)))
-    counts = word_counts(parts, least)
-    rows = sorted(counts.where("chunk = -1").select("span", "numbers", "counts", "types").collect())  # at most 1 / P_MIN words
-    words = np.concatenate([np.zeros(0, np.uint64), *(unpacked(r[1], "<u8") for r in rows)])
-    times = np.concatenate([np.zeros(0, np.int64), *(unpacked(r[2], "<i8") for r in rows)])
-    tree = Tree(words, times, tokens, sum(r[3] for r in rows), docs)
-    tree.first = dict(zip([r[0] for r in rows], np.cumsum([0, *(len(unpacked(r[1], "<u8")) for r in rows)]).tolist()))
-    for _ in range(depth):
-        level = _next_level(parts, tree, least)
-        if not len(level.keys):
-            break
-        tree.levels.append(level)
-    tree.fit()
-    return tree, counts
-
-
-def score(df: DataFrame, p_min: float = P_MIN, depth: int = DEPTH) -> DataFrame:
+def numbered(parts: DataFrame, counts: DataFrame, tokens: int, types: int) -> DataFrame:
+    """Chunks with their words' numbers (one code for all that have none) and training counts, known tokens and base scores."""
+    joined = parts.select("chunk", "docs", "held", "sizes", "codes").join(by_chunk(counts.where("chunk >= 0"), "counts", "numbers"), "chunk")
+
+    def make(batch):
+        for chunk, docs, held, sizes, codes, counts, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+            codes, at = unpacked(codes, "<u4"), np.append(0, np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64))
+            c = np.concatenate([unpacked(x, "<i8") for x in counts])
+            symbols, which = np.unique(np.concatenate([unpacked(x, "<i8") for x in numbers]), return_inverse=True)
+            times = np.zeros(len(symbols), "<i8")
+            times[which] = c
+            times[symbols == NONE] = 0
+            yield {
+                "chunk": [chunk],
+                "docs": [docs],
+                "held": [held],
+                "sizes": [sizes],
+                "codes": [packed(which[codes].astype("<u4"))],
+                "numbers": [packed(symbols)],
+                "times": [packed(times)],
+                "known": [run_sums((c > 0)[codes].astype(np.int64), at).tobytes()],
+                "base": [_sums(np.log10((c + 1) / (tokens + types + 1))[codes], at).tobytes()],
+            }
+
+    return written(map_arrow(joined, make, "chunk long, docs array<long>, held binary, sizes binary, codes binary, numbers binary, times binary, known binary, base binary"), "numbered")
+
+
+def paired(g: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (g, x) the first place and which one of the sorted ones it is; both are at least zero."""
+    if len(g) and int(g.max() + 1) * int(x.max() + 1) >= 2**63:
+        x = np.unique(x, return_inverse=True)[1]
+        g = np.unique(g, return_inverse=True)[1]
+    return np.unique(g * (int(x.max(initial=0)) + 1) + x, return_index=True, return_inverse=True)[1:]
+
+
+class Windows:
+    """A chunk's distinct windows: ``columns`` are the numbers of the DEPTH symbols before, nearest first, and the symbol's."""
+
+    def __init__(self, sizes: bytes, held: bytes, codes: bytes, numbers: bytes, times: bytes, depth: int):
+        sizes, held, codes, numbers = np.frombuffer(sizes, "<i4"), np.frombuffer(held, bool), unpacked(codes, "<u4"), unpacked(numbers, "<i8")
+        symbol = numbers[codes]
+        place = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        before, there = [], np.ones(len(symbol), bool)
+        for k in range(1, depth + 1):
+            x = np.append(np.zeros(min(k, len(symbol)), np.int64), symbol[:-k])
+            x = np.where(place >= k, x, np.where(place == k - 1, BEGIN, NONE))
+            there &= x != NONE
+            before.append(np.where(there, x, NONE))
+        #: Tokens that have a context, and each one's window.
+        self.tokens = np.flatnonzero(before[0] != NONE)
+        g = before[0][self.tokens]
+        for x in [*before[1:], symbol]:
+            first, g = paired(g, x[self.tokens])
+        self.which = g
+        first = self.tokens[first]
+        self.columns = [x[first] for x in (*before, symbol)]
+        self.counts = np.bincount(g, np.repeat(~held, sizes)[self.tokens], len(first)).astype("<i4")
+        self.numbers, self.times = numbers, unpacked(times, "<i8")
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        """Training counts of words by their numbers in this chunk."""
+        return self.times[np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)]
+
+
+def extended(p: np.ndarray, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, on: np.ndarray, least: int) -> np.ndarray:
+    """Probabilities of windows by contexts of one more symbol, given those by their suffixes; ``on``: windows that have such a context."""
+    if not len(on):
+        return p
+    g, s = context[on], symbol[on]
+    first, entry = paired(g, s)
+    times, total = np.bincount(g, counts[on]), np.bincount(entry, counts[on])
+    of = g[first]
+    listed = np.flatnonzero((total >= least) & (s[first] != NONE))
+    c, own, low = total[listed], of[listed], p[on[first[listed]]]
+    mine = np.zeros(len(first))
+    mine[listed] = (c - DISCOUNT) / times[own]
+    state, rest = states(*(np.bincount(own, x, len(times)) for x in (np.ones(len(c)), c * np.log(mine[listed] / low), mine[listed], low)))
+    out = p.copy()
+    at = state[g]
+    out[on[at]] = np.where(mine[entry[at]] > 0, mine[entry[at]], p[on[at]] * rest[g[at]])
+    return out
+
+
+def states(listed: np.ndarray, gain: np.ndarray, given: np.ndarray, given_low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are retained, and the factor of what they leave to their suffixes."""
+    left, left_low = 1 - given, 1 - given_low
+    state = (listed > 0) & (gain > GAIN * listed) & (left > 1e-12) & (left_low > 1e-12)
+    return state, np.where(state, left, 1) / np.where(state, left_low, 1)
+
+
+def asked(chunks: DataFrame, bits: int, depth: int) -> DataFrame:
+    """Blobs of windows, by chunk and group of last context words."""
+
+    def make(batch):
+        for chunk, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            w = Windows(*row, depth)
+            for span, at in _groups(w, bits):
+                symbols, s = np.unique(w.columns[-1][at], return_inverse=True)
+                columns = [*(packed(x[at]) for x in w.columns[:-1]), packed(symbols), packed(w.of(symbols)), packed(s.astype("<u4"))]
+                yield {"span": [span], "chunk": [chunk], "windows": pa.array([columns], pa.list_(pa.binary())), "counts": [packed(w.counts[at])]}
+
+    return map_arrow(chunks.select("chunk", "sizes", "held", "codes", "numbers", "times"), make, "span int, chunk long, windows array<binary>, counts binary")
+
+
+def _groups(w: Windows, bits: int):
+    """(group, places of its windows) of a chunk, in order."""
+    group = (mixed(w.columns[0].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.diff(group[order], prepend=-1))
+    for p, q in zip(edge, np.append(edge[1:], len(order))):
+        yield int(group[order[p]]), order[p:q]
+
+
+def fitted(asks: DataFrame, size: int, depth: int, least: int) -> DataFrame:
+    """What the states of each window's contexts add to its base score, by chunk and group; ``size``: the root's denominator."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        parts = rows["windows"].to_pylist()
+        at = np.append(0, np.cumsum([len(unpacked(x, "<i4")) for x in rows["counts"].to_pylist()]))
+        counts = np.concatenate([unpacked(x, "<i4") for x in rows["counts"].to_pylist()]).astype(np.int64)
+        before = [np.concatenate([unpacked(x[k], "<i8") for x in parts]) for k in range(depth)]
+        picks = [unpacked(x[-1], "<u4") for x in parts]
+        symbol = np.concatenate([unpacked(x[-3], "<i8")[i] for x, i in zip(parts, picks)])
+        times = np.concatenate([unpacked(x[-2], "<i8")[i] for x, i in zip(parts, picks)])
+        # a symbol without a number gets a factor of whatever its base probability is
+        root = np.where(symbol == NONE, 1.0, (times + 1) / size)
+        p, context = root, np.zeros(len(symbol), np.int64)
+        for x in before:
+            context = paired(context, x)[1]
+            p = extended(p, context, symbol, counts, np.flatnonzero(x != NONE), least)
+        adds = np.rint(np.log10(p / root) / STEP).astype("<i4")
+        return pa.table({"chunk": rows["chunk"], "span": rows["span"], "adds": pa.array([packed(adds[a:b]) for a, b in zip(at, at[1:])], pa.binary())})
+
+    return asks.groupBy("span").applyInArrow(answer, "chunk long, span int, adds binary")
+
+
+def score(df: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of (doc_id, text)."""
     parts = written(chunks(df), "chunks")
-    tree, counts = train(parts, p_min, depth)
-    shared = df.sparkSession.sparkContext.broadcast(tree)
-    back = counts.where("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("span", "counts", "numbers"))).alias("found"))
-    joined = parts.select("chunk", "docs", "held", "sizes", "codes").join(back, "chunk").select("docs", "held", "sizes", "codes", "found.span", "found.counts", "found.numbers")
+    tokens, every = parts.agg(F.sum("train_tokens"), F.sum("tokens")).first()
+    tokens, every = tokens or 0, every or 0
+    counts = word_counts(parts, least)
+    types = counts.where("chunk = -1").agg(F.sum("types")).first()[0] or 0
+    known = numbered(parts, counts, tokens, types)
+    dropped(parts, counts)
+    bits = max(4, int(every / RANGE_WINDOWS).bit_length())
+    answers = fitted(asked(known, bits, depth), tokens + types + 1, depth, least)
+    joined = known.join(by_chunk(answers, "adds"), "chunk", "left").select("docs", "known", "base", "sizes", "held", "codes", "numbers", "times", "adds")
 
     def make(batch):
-        t = shared.value
-        for docs, held, sizes, codes, span, counts, numbers in zip(*(c.to_pylist() for c in batch.columns)):
-            held, sizes, codes = np.frombuffer(held, bool), np.frombuffer(sizes, "<i4"), unpacked(codes, "<u4")
-            c = np.concatenate([unpacked(x, "<i8") for x in counts])
-            number = [unpacked(x, "<i4").astype(np.int64) for x in numbers]
-            symbol = np.concatenate([np.where(x >= 0, x + t.first[s], -1) for s, x in zip(span, number)])[codes]
-            root = np.log10((c + 1) / (t.tokens + t.types + 1))[codes]
-            at = np.append(0, np.cumsum(sizes))
+        for docs, n_known, base, *row, adds in zip(*(c.to_pylist() for c in batch.columns)):
+            w = Windows(*row, depth)
+            sizes, held, base = np.frombuffer(row[0], "<i4"), np.frombuffer(row[1], bool), np.frombuffer(base, "<f8")
+            value = np.zeros(len(w.counts))
+            for (_, at), x in zip(_groups(w, bits), adds or []):
+                value[at] = unpacked(x, "<i4") * STEP
+            by_token = np.zeros(int(sizes.sum()))
+            by_token[w.tokens] = value[w.which]
             yield {
                 "doc_id": docs,
                 "held_out": held,
                 "n_tokens": sizes.astype(np.int64),
-                "n_known": run_sums((c > 0)[codes].astype(np.int64), at),
-                "train_tokens": np.full(len(sizes), t.tokens),
-                "base_score": _sums(root, at),
-                "score": _sums(t.log_probs(root, t.trace(symbol, sizes)[1]), at),
+                "n_known": np.frombuffer(n_known, np.int64),
+                "train_tokens": np.full(len(sizes), tokens),
+                "base_score": base,
+                "score": base + _sums(by_token, np.append(0, np.cumsum(sizes, dtype=np.int64))),
             }
 
     return map_arrow(joined, make, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
