@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,6 +191,32 @@ class Windows:
         return self.times[np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)]
 
 
+    def blob(self, at: np.ndarray) -> tuple[bytes, int]:
+        """Some windows in their order, compressed at once, and how many different symbols they have; ``_opened`` undoes it."""
+        near, *far, symbol = (x[at] for x in self.columns)
+        symbols, s = np.unique(symbol, return_inverse=True)
+        if far:  # sorted for each nearest symbol
+            far[0] = np.where(np.diff(near, prepend=-1) != 0, far[0], np.diff(far[0], prepend=0))
+        columns = [np.diff(near, prepend=0), *far, np.diff(symbols, prepend=0), self.of(symbols), s.astype("<u4"), self.counts[at]]
+        data = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in columns)
+        return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(data), len(symbols)
+
+
+def _opened(blob: bytes, rows: int, symbols: int, depth: int) -> list[np.ndarray]:
+    """Columns of a blob's windows: the symbols before, the symbol, its training count, the window's."""
+    data, at, columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    for n, kind in [(rows, "<i8")] * depth + [(symbols, "<i8")] * 2 + [(rows, "<u4"), (rows, "<i4")]:
+        width = np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    *before, names, times, s, counts = columns
+    before[0] = np.cumsum(before[0])
+    if depth > 1:
+        sums, opens = np.cumsum(before[1]), np.diff(before[0], prepend=-1) != 0
+        before[1] = sums - (sums - before[1])[opens][np.cumsum(opens) - 1]
+    return [*before, np.cumsum(names)[s], times[s], counts.astype(np.int64)]
+
+
 def extended(p: np.ndarray, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, on: np.ndarray, least: int) -> np.ndarray:
     """Probabilities of windows by contexts of one more symbol, given those by their suffixes; ``on``: windows that have such a context."""
     if not len(on):
@@ -223,11 +250,10 @@ def asked(chunks: DataFrame, bits: int, depth: int) -> DataFrame:
         for chunk, *row in zip(*(c.to_pylist() for c in batch.columns)):
             w = Windows(*row, depth)
             for span, at in _groups(w, bits):
-                symbols, s = np.unique(w.columns[-1][at], return_inverse=True)
-                columns = [*(packed(x[at]) for x in w.columns[:-1]), packed(symbols), packed(w.of(symbols)), packed(s.astype("<u4"))]
-                yield {"span": [span], "chunk": [chunk], "windows": pa.array([columns], pa.list_(pa.binary())), "counts": [packed(w.counts[at])]}
+                blob, symbols = w.blob(at)
+                yield {"span": [span], "chunk": [chunk], "windows": [blob], "rows": [len(at)], "symbols": [symbols]}
 
-    return map_arrow(chunks.select("chunk", "sizes", "held", "codes", "numbers", "times"), make, "span int, chunk long, windows array<binary>, counts binary")
+    return map_arrow(chunks.select("chunk", "sizes", "held", "codes", "numbers", "times"), make, "span int, chunk long, windows binary, rows int, symbols int")
 
 
 def _groups(w: Windows, bits: int):
@@ -243,13 +269,10 @@ def fitted(asks: DataFrame, size: int, depth: int, least: int) -> DataFrame:
     """What the states of each window's contexts add to its base score, by chunk and group; ``size``: the root's denominator."""
 
     def answer(rows: pa.Table) -> pa.Table:
-        parts = rows["windows"].to_pylist()
-        at = np.append(0, np.cumsum([len(unpacked(x, "<i4")) for x in rows["counts"].to_pylist()]))
-        counts = np.concatenate([unpacked(x, "<i4") for x in rows["counts"].to_pylist()]).astype(np.int64)
-        before = [np.concatenate([unpacked(x[k], "<i8") for x in parts]) for k in range(depth)]
-        picks = [unpacked(x[-1], "<u4") for x in parts]
-        symbol = np.concatenate([unpacked(x[-3], "<i8")[i] for x, i in zip(parts, picks)])
-        times = np.concatenate([unpacked(x[-2], "<i8")[i] for x, i in zip(parts, picks)])
+        parts = [_opened(*x, depth) for x in zip(*(rows[c].to_pylist() for c in ("windows", "rows", "symbols")))]
+        at = np.append(0, np.cumsum(rows["rows"].to_numpy()))
+        *before, symbol, times, counts = (np.concatenate(x) for x in zip(*parts))
+        del parts
         # a symbol without a number gets a factor of whatever its base probability is
         root = np.where(symbol == NONE, 1.0, (times + 1) / size)
         p, context = root, np.zeros(len(symbol), np.int64)
@@ -257,9 +280,15 @@ def fitted(asks: DataFrame, size: int, depth: int, least: int) -> DataFrame:
             context = paired(context, x)[1]
             p = extended(p, context, symbol, counts, np.flatnonzero(x != NONE), least)
         adds = np.rint(np.log10(p / root) / STEP).astype("<i4")
-        return pa.table({"chunk": rows["chunk"], "span": rows["span"], "adds": pa.array([packed(adds[a:b]) for a, b in zip(at, at[1:])], pa.binary())})
+        return pa.table({"chunk": rows["chunk"], "span": rows["span"], **_tallied([adds[a:b] for a, b in zip(at, at[1:])])})
+
+    return asks.groupBy("span").applyInArrow(answer, "chunk long, span int, adds binary, which binary")
+
 
-    return asks.groupBy("span").applyInArrow(answer, "chunk long, span int, adds binary")
+def _tallied(answers: list[np.ndarray]) -> dict[str, pa.Array]:
+    """The different values of each, and which of them every place has: windows of a context share what it leaves to its suffix."""
+    pairs = [np.unique(x, return_inverse=True) for x in answers]
+    return {"adds": pa.array([packed(u) for u, _ in pairs], pa.binary()), "which": pa.array([packed(i.astype("<u4")) for _, i in pairs], pa.binary())}
 
 
 def score(df: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
@@ -272,16 +301,16 @@ def score(df: DataFrame, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
     known = numbered(parts, counts, tokens, types)
     dropped(parts, counts)
     bits = max(4, int(every / RANGE_WINDOWS).bit_length())
-    answers = fitted(asked(known, bits, depth), tokens + types + 1, depth, least)
-    joined = known.join(by_chunk(answers, "adds"), "chunk", "left").select("docs", "known", "base", "sizes", "held", "codes", "numbers", "times", "adds")
+    answers = written(fitted(asked(known, bits, depth), tokens + types + 1, depth, least), "answers")
+    joined = known.join(by_chunk(answers, "adds", "which"), "chunk", "left").select("docs", "known", "base", "sizes", "held", "codes", "numbers", "times", "adds", "which")
 
     def make(batch):
-        for docs, n_known, base, *row, adds in zip(*(c.to_pylist() for c in batch.columns)):
+        for docs, n_known, base, *row, adds, which in zip(*(c.to_pylist() for c in batch.columns)):
             w = Windows(*row, depth)
             sizes, held, base = np.frombuffer(row[0], "<i4"), np.frombuffer(row[1], bool), np.frombuffer(base, "<f8")
             value = np.zeros(len(w.counts))
-            for (_, at), x in zip(_groups(w, bits), adds or []):
-                value[at] = unpacked(x, "<i4") * STEP
+            for (_, at), x, i in zip(_groups(w, bits), adds or [], which or []):
+                value[at] = unpacked(x, "<i4")[unpacked(i, "<u4")] * STEP
             by_token = np.zeros(int(sizes.sum()))
             by_token[w.tokens] = value[w.which]
             yield {
