@@ -50,6 +50,8 @@ SHARE, TRIAL, MOST_STEPS, LEAST_ROWS, CUTOFF = 0.75, 2, 30, 25, 36.0
 SETTLED = 0.001
 #: Distances are told apart by bins of a sixteenth of a power of two; groups whose estimates may be broadcast (some 400 bytes each).
 BINS, BROADCAST_GROUPS = 16, 20_000
+#: Groups whose estimates one task solves.
+SOLVED_GROUPS = 500
 
 
 def text_counts(df: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def _solver(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-_ESTIMATE = "g string, start long, mean array<double>, inverse array<double>, determinant double"
+_ESTIMATE = "g string, start long, mean array<double>, inverse array<double>, determinant double, change double"
 
 
 def _starts(moments: DataFrame, k: int) -> DataFrame:
@@ -140,20 +142,21 @@ def _starts(moments: DataFrame, k: int) -> DataFrame:
             shapes.append(cov / size[:, :, None] / size[:, None, :])
         for start, shape in enumerate(shapes):
             cov = shape * spread[:, :, None] * spread[:, None, :]
-            yield g, [start] * len(g), middle.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), [np.inf] * len(g)
+            yield g, [start] * len(g), middle.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), [np.inf] * len(g), [np.inf] * len(g)
 
     return _solver(moments, make, _ESTIMATE)
 
 
 def _solved(moments: DataFrame, floors: list[float], share: float) -> DataFrame:
-    """Estimates from the start, n and the moments of x of the nearest texts; the determinant is a logarithm."""
+    """Estimates from the start, the last determinant, n and the moments of x of the nearest texts; a determinant is a logarithm, its change the distance from the last."""
     k = len(floors)
     factor = consistency(k, share)
 
     def make(g, m):
-        mean, cov = _covariances(m[:, 1], m[:, 2:], k)
+        mean, cov = _covariances(m[:, 2], m[:, 3:], k)
         cov = factor * cov + np.diag(np.square(floors))
-        yield g, m[:, 0].astype(int).tolist(), mean.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), np.linalg.slogdet(cov)[1].tolist()
+        size = np.linalg.slogdet(cov)[1]
+        yield g, m[:, 0].astype(int).tolist(), mean.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), size.tolist(), np.abs(size - m[:, 1]).tolist()
 
     return _solver(moments, make, _ESTIMATE)
 
@@ -175,23 +178,23 @@ def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE,
     estimate = written(_starts(_attached(ways, first, groups).select("g", *order), k), "estimates")
     by_start = Window.partitionBy("g", "start")
     for step in range(most_steps):
-        scored = _attached(rows, estimate.drop("determinant"), groups * (3 if step < TRIAL else 1)).select("g", "start", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
-        per_bin = scored.groupBy("g", "start", "bin").agg(F.count("*").alias("rows"), *_moments([F.col(x) for x in names], "p"))
+        scored = _attached(rows, estimate.drop("change"), groups * (3 if step < TRIAL else 1)).select("g", "start", "determinant", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
+        per_bin = scored.groupBy("g", "start", "bin").agg(F.max("determinant").alias("last"), F.count("*").alias("rows"), *_moments([F.col(x) for x in names], "p"))
         below = F.coalesce(F.sum("rows").over(by_start.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         near = per_bin.withColumn("near", below < F.ceil(F.sum("rows").over(by_start) * share)).where("near")
         sums = [c for c in per_bin.columns if c[0] == "p"]
-        moments = near.groupBy("g", "start").agg(F.sum("rows").alias("rows"), *(F.sum(c).alias(c) for c in sums))
-        new = _solved(moments, floors, share)
+        moments = near.groupBy("g", "start").agg(F.max("last").alias("last"), F.sum("rows").alias("rows"), *(F.sum(c).alias(c) for c in sums))
+        # A group has a few hundred bins, however many texts: a task takes many groups, as Python starts for each task.
+        new = _solved(moments.coalesce(max(1, groups // SOLVED_GROUPS)), floors, share)
         if step == TRIAL - 1:
             new = new.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("determinant", "start"))).where("place = 1").drop("place")
         new = written(new, "estimates")
+        estimate = new
         if step >= TRIAL:
-            change = new.select("g", F.col("determinant").alias("new")).join(estimate.select("g", "determinant"), "g").agg(F.max(F.abs(F.col("new") - F.col("determinant")))).first()[0]
+            change = new.agg(F.max("change")).first()[0]
             if change is None or change < SETTLED:
-                estimate = new
                 break
-        estimate = new
-    return estimate.drop("start").join(first.select("g", "n"), "g")
+    return estimate.drop("start", "change").join(first.select("g", "n"), "g")
 
 
 @dataclass
