@@ -163,8 +163,6 @@ def test_statistics_equal_plain_python(spark):
     pdf = pd.DataFrame(data, columns=list("iszy"))
     assert math.isclose(rows(stats.spearman(df, "s", "z", ["g"]))[0]["ic"], pdf["s"].rank().corr(pdf["z"].rank()))
     assert rows(stats.spearman(df.withColumn("c", F.lit(1.0)), "s", "c", ["g"]))[0]["ic"] is None
-    null = [r["auc"] for r in rows(stats.permutations(df, "s", "y", 60))]
-    assert abs(sum(null) / 60 - 0.5) < 0.05 and len(set(null)) > 20
     left = rows(stats.residual(df, "z", ["s"], "res").agg(F.corr("res", "s").alias("c")))[0]["c"]
     assert abs(left) < 1e-9
 

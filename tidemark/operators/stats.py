@@ -8,23 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.operators.windows import average_rank
+from tidemark.operators import ranks
 
 
 def auc(df: DataFrame, score: str, label: str, keys: list[str], least: int = 30, least_each: int = 1) -> DataFrame:
-    """Area under the curve by ranks, null with too few rows of a kind.  One shuffle by keys for the ranks."""
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_r", average_rank(score, keys))
-    n1, n = F.sum(F.col(label).cast("long")), F.count("*")
-    out = rows.groupBy(*keys).agg(n.alias("n"), n1.alias("n1"), F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("_s"))
+    """Area under the curve by ranks, null with too few rows of a kind; from counts of each score, so rows are neither ranked nor gathered."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    values = ranks.counted(rows, score, tuple(keys), _ones=F.sum(F.when(F.col(label) == 1, 1).otherwise(0)))
+    n1, n = F.sum("_ones"), F.sum("n")
+    out = values.groupBy(*keys).agg(n.alias("n"), n1.alias("n1"), F.sum(F.col("_ones") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_s"))
     n0 = F.col("n") - F.col("n1")
     ok = (F.col("n") >= least) & (F.col("n1") >= least_each) & (n0 >= least_each)
     return out.withColumn("auc", F.when(ok, (F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * n0))).drop("_s")
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 30) -> DataFrame:
-    """Rank correlation, null under ``least`` pairs or where a side is constant."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("_x", "_y").alias("_c"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    """Rank correlation, null under ``least`` pairs or where a side is constant; from counts of pairs of values."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m"))
+    ranked = pairs
+    for side in ("_x", "_y"):
+        values = pairs.groupBy(*keys, side).agg(F.sum("_m").alias("_m"))
+        placed = ranks.placed(values, side, "_m", tuple(keys)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(side).alias("_v"), (F.col("before") + (F.col("_m") + 1) / 2).alias(f"_r{side}"))
+        same = [F.col(side) == F.col("_v"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))]
+        ranked = ranked.join(placed, same).select(*ranked.columns, f"_r{side}")
+    # Of average ranks the mean is known, (n + 1) / 2: sums of what differs from it lose no digits.
+    total = pairs.groupBy(*keys).agg(F.sum("_m").alias("_n")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n")
+    whole = ranked.join(total, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) if keys else ranked.join(F.broadcast(total))  # one row
+    dx, dy = F.col("_r_x") - (F.col("_n") + 1) / 2, F.col("_r_y") - (F.col("_n") + 1) / 2
+    out = whole.groupBy(*keys).agg(F.sum("_m").alias("n"), F.sum(F.col("_m") * dx * dy).alias("_c"), F.sum(F.col("_m") * dx * dx).alias("_vx"), F.sum(F.col("_m") * dy * dy).alias("_vy"))
     ok = (F.col("n") >= least) & (F.col("_vx") > 0) & (F.col("_vy") > 0)
     return out.withColumn("ic", F.when(ok, F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy")))).drop("_c", "_vx", "_vy")
 
@@ -78,17 +89,6 @@ def residual(df: DataFrame, y: str, controls: list[str], name: str) -> DataFrame
     return row.withColumn(name, F.col(y) - fit).select(*df.columns, name)
 
 
-def permutations(df: DataFrame, score: str, label: str, n: int, seed: int = 42) -> DataFrame:
-    """Area under the curve for n reorderings of the labels by hash: perm, auc."""
-    base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_at", F.row_number().over(Window.orderBy(score, F.xxhash64(*df.columns)))).withColumn("_rank", average_rank(score, []))
-    each = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "_at"), "_at")
-    mixed = each.withColumn("_to", F.row_number().over(order)).select("perm", F.col("_to").alias("_at"), F.col(label).alias("_y"))
-    joined = each.select("perm", "_at", "_rank").join(mixed, ["perm", "_at"])
-    n1 = F.sum("_y")
-    return joined.groupBy("perm").agg(((F.sum(F.when(F.col("_y") == 1, F.col("_rank"))) - n1 * (n1 + 1) / 2) / (n1 * (F.count("*") - n1))).alias("auc"))
-
-
 def precision_at(ranked: DataFrame, label: str, sizes: list[int], hour: str = "hour_idx") -> DataFrame:
     """P@N: hits among the first N of every hour, over the sum of min(N, scoreable)."""
     each = ranked.where("rk IS NOT NULL").withColumn("top_n", F.explode(F.array(*map(F.lit, sizes))))

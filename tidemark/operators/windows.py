@@ -99,13 +99,6 @@ def sessions(df: DataFrame, at: str, gap: int, keys: list[str]) -> DataFrame:
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def average_rank(column: str, keys: list[str]) -> Column:
-    """Rank with ties averaged, from 1."""
-    base = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ties = (Window.partitionBy(*keys, column) if keys else Window.partitionBy(column))
-    return F.rank().over(base.orderBy(column)) + (F.count("*").over(ties) - 1) / 2.0
-
-
 def equal_count_bin(column: str, q: int, keys: list[str], tie: str) -> Column:
     """Bin 0 to q - 1 by position, as quantile edges on first-come ranks give it."""
     base = Window.partitionBy(*keys)

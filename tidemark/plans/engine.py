@@ -96,13 +96,6 @@ def w35_future_extreme(spark, d):
     return domain(spark, d, "bars").select("symbol", "ts_ms", r(high).alias("top"), at.alias("top_ms"))
 
 
-@query("WITH x AS (SELECT doc_id, label, row_number() OVER (ORDER BY score, doc_id) AS rn, count(*) OVER () AS n, score FROM samples) SELECT $int(greatest(ceil((rn - 1) * 5 / CAST(greatest(n - 1, 1) AS DOUBLE)) - 1, 0)) AS bin, count(*) AS n, $r(avg(label)) AS rate, $r(avg(score)) AS mean_score FROM x GROUP BY 1")
-def g08_equal_count_bins(spark, d):
-    rows = domain(spark, d, "samples").withColumn("all_", F.lit(1))
-    binned = rows.withColumn("bin", windows.equal_count_bin("score", 5, ["all_"], "doc_id").cast("long"))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), r(F.avg("label")).alias("rate"), r(F.avg("score")).alias("mean_score"))
-
-
 @query(f"WITH o AS ({_INTEREST}), q AS ({_DECISIONS}) SELECT q.symbol, q.ts_ms, q.event_id, o.ts_ms AS obs_ms, $r(o.value) AS value FROM q ASOF LEFT JOIN (SELECT symbol, ts_ms, value FROM o) o ON o.symbol = q.symbol AND o.ts_ms <= q.ts_ms")
 def j07_asof_backward(spark, d):
     return asof.backward(sql(spark, d, _DECISIONS), sql(spark, d, _INTEREST), ["value"]).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
@@ -187,32 +180,6 @@ def f02_spearman(spark, d):
     return stats.spearman(domain(spark, d, "samples"), "score", "x1", ["lang"]).select("lang", "n", r("ic").alias("ic"))
 
 
-@query("WITH m AS (SELECT regr_slope(score, x2) AS s1, regr_intercept(score, x2) AS i1, regr_slope(x1, x2) AS s2, regr_intercept(x1, x2) AS i2 FROM samples), e AS (SELECT round(score - s1 * x2 - i1, 6) AS a, round(x1 - s2 * x2 - i2, 9) AS b FROM samples CROSS JOIN m), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS b FROM e) SELECT count(*) AS n, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 4) AS partial_ic FROM k")
-def f03_partial_spearman(spark, d):
-    rows = domain(spark, d, "samples")
-    both = stats.residual(stats.residual(rows, "score", ["x2"], "ra"), "x1", ["x2"], "rb").select(F.round("ra", 6).alias("ra"), F.round("rb", 9).alias("rb"), F.lit(1).alias("all_"))
-    return stats.spearman(both, "ra", "rb", ["all_"], 60).select("n", F.round("ic", 4).alias("partial_ic"))
-
-
-@query(None)
-def f05_permutation_band(spark, d):
-    """Quantiles and spread of the area under 100 label permutations; the same everywhere, as the order comes from hashes."""
-    p = stats.permutations(domain(spark, d, "samples").select("doc_id", "score", "label"), "score", "label", 100)
-    return p.agg(r(F.percentile("auc", F.lit(0.05))).alias("p5"), r(F.percentile("auc", F.lit(0.5))).alias("p50"), r(F.percentile("auc", F.lit(0.95))).alias("p95"), r(F.stddev_samp("auc")).alias("null_sd"))
-
-
-@query(None)
-def f06_bootstrap_auc(spark, d):
-    """Bootstrap interval of the area: replicates weight rows by Poisson counts from hashes."""
-    rows = domain(spark, d, "samples").select("doc_id", "score", "label").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    u = (F.pmod(F.xxhash64(F.lit(11), "rep", "doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
-    each = rows.withColumn("w", weight).where("w > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("w"))))
-    a = stats.auc(each, "score", "label", ["rep"], 2)
-    return a.agg(r(F.percentile("auc", F.lit(0.025))).alias("lo"), r(F.percentile("auc", F.lit(0.975))).alias("hi"))
-
-
 _P_AT_N = "k AS (SELECT $div(ts_ms; 3600000) AS hour_idx, symbol, CASE WHEN close > open THEN 1 ELSE 0 END AS y, row_number() OVER (PARTITION BY ts_ms ORDER BY volume DESC, symbol) AS rk FROM bars WHERE trades > 1)"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,17 +12,13 @@ from tidemark.operators import asof, features, models, scoring, windows
 from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
 from tidemark.sources import readers, sinks
+from tidemark.sources.shared import shared_folder
 from tidemark.streaming import streams
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a query's own files: in the shared one where the cluster names it."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A folder for a query's own files, in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 _CELLS = "CASE event_id % 8 WHEN 0 THEN CAST($ms(ts) AS STRING) WHEN 1 THEN CAST($div($ms(ts); 1000) AS STRING) WHEN 2 THEN CAST($ms(ts) * 1000 AS STRING) WHEN 3 THEN $ymd(ts) WHEN 4 THEN 'abc' WHEN 5 THEN '0' WHEN 6 THEN CAST($ms(ts) * 1000000 AS STRING) END"
@@ -258,17 +253,6 @@ def r14_row_fingerprints(spark, d):
     return x.select("user_id", F.sha2(F.concat_ws(":", F.col("e").cast("string"), F.col("n").cast("string")), 256).alias("fingerprint"))
 
 
-@query(None)
-def f13_random_key_null(spark, d):
-    """How often a key of hashes ranks no worse than the pool in all folds: the null for fold counts."""
-    rows = domain(spark, d, "samples").withColumn("fold", F.col("doc_id") % 4).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    order = Window.partitionBy("rep", "fold").orderBy(F.xxhash64(F.lit(7), "rep", "doc_id"))
-    cut = rows.withColumn("top", F.row_number().over(order) <= F.count("*").over(Window.partitionBy("rep", "fold")) / 5)
-    per = cut.groupBy("rep", "fold").agg(F.avg(F.when(F.col("top"), F.col("label"))).alias("a"), F.avg("label").alias("b"))
-    wins = per.groupBy("rep").agg(F.sum(F.when(F.col("a") >= F.col("b") - 1e-9, 1).otherwise(0)).alias("folds"))
-    return wins.groupBy("folds").agg(F.count("*").alias("n"))
-
-
 @query("WITH x AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'running' END AS s FROM events) SELECT user_id, arg_max(s, event_id) FILTER (WHERE s IS NOT NULL) AS state, max(CASE WHEN s = 'success' THEN event_id END) AS last_success FROM x GROUP BY 1")
 def r11_scan_states(spark, d):
     """A task's state is its last step's; a failure never hides the last success."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemark.plans import dialect, domain, engine, evaluation, extras, relational, windowed  # noqa: F401  extras registers its queries
+from tidemark.plans import dialect, domain, engine, evaluation, extras, ranked, relational, windowed  # noqa: F401  extras and ranked register their queries
 
 TEXTS = relational.SQL | windowed.SQL | evaluation.SQL
 
