@@ -45,22 +45,24 @@ def bounded_changes(observations: DataFrame, value: str, rows: int = 200, least:
     observations are newer than the adopted one.  All null (but n_valid, stale) under
     ``least`` valid observations.
     """
-    ok = (F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0)) if valid is None else valid
+    ok = F.coalesce((F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0)) if valid is None else valid, F.lit(False))
     w = Window.partitionBy(key).orderBy(at)
-    bound = w.rowsBetween(-(rows - 1), 0)
-    seen = observations.withColumn("_seen", F.collect_list(F.when(ok, F.struct(F.col(at).alias("t"), F.col(value).alias("v")))).over(bound)).withColumn("_stale", F.row_number().over(w))
-    last = F.try_element_at("_seen", F.lit(-1))
-    seen = seen.withColumn("_last_at", F.last(F.when(ok, F.col("_stale")), ignorenulls=True).over(w))
-    gate = F.size("_seen") >= least
-
-    def change(hours: int) -> Column:
-        cut = last["t"] - hours * HOUR_MS
-        base = F.try_element_at(F.filter("_seen", lambda x: x["t"] <= cut), F.lit(-1))["v"]
-        return F.when(gate & (base != 0), last["v"] / base - 1)
-
-    return seen.select(
-        key, at, value, F.size("_seen").alias("n_valid"), F.when(gate, last["t"]).alias("adopted_ms"), F.when(gate, last["v"]).alias("adopted"),
-        *(change(h).alias(f"chg_{h}") for h in offsets_h), (F.col("_stale") - F.coalesce("_last_at", F.lit(0))).alias("stale"),
+    # Of observations of one time the greater value is the later.
+    placed = observations.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(at, value)))
+    placed = placed.withColumn("_seen", F.when(ok, F.struct(F.col(at).alias("t"), F.col("_i").alias("i"), F.col(value).alias("v"))))
+    # Running facts only: a base is the last valid value so long before a valid row, and what a row adopts brings its bases along.
+    bases = {h: F.max("_seen").over(w.rangeBetween(Window.unboundedPreceding, -h * HOUR_MS)).alias(f"_b{h}") for h in offsets_h}
+    placed = placed.select("*", *bases.values())
+    order = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.last(F.when(ok, F.struct("_seen", *(f"_b{h}" for h in offsets_h))), ignorenulls=True).over(order)
+    placed = placed.withColumn("_last", carried).withColumn("_n", F.count("_seen").over(order))
+    placed = placed.withColumn("_n", F.col("_n") - F.coalesce(F.lag("_n", rows).over(Window.partitionBy(key).orderBy("_i")), F.lit(0)))
+    within = lambda c: F.col(f"{c}.i") > F.col("_i") - rows
+    gate = (F.col("_n") >= least) & within("_last._seen")
+    change = lambda h: F.when(gate & within(f"_last._b{h}") & (F.col(f"_last._b{h}.v") != 0), F.col("_last._seen.v") / F.col(f"_last._b{h}.v") - 1)
+    return placed.select(
+        key, at, value, F.col("_n").cast("int").alias("n_valid"), F.when(gate, F.col("_last._seen.t")).alias("adopted_ms"), F.when(gate, F.col("_last._seen.v")).alias("adopted"),
+        *(change(h).alias(f"chg_{h}") for h in offsets_h), (F.col("_i") - F.coalesce("_last._seen.i", F.lit(0))).alias("stale"),
     )
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import HOUR_MS, future_extreme, islands, sessions
+from tidemark.operators.windows import HOUR_MS, islands, sessions, with_future_extreme
 
 #: Gains that name a wave's tier, from the top.
 TIERS = (10.0, 5.0, 3.0, 2.5, 2.0)
@@ -20,9 +20,8 @@ def waves(bars: DataFrame, hours: int, gain: float, merge_hours: int = 48, tiers
     Returns key, session, start_ms, end_ms, n_bars, segments (runs before merging, by index
     and by time), best gain with its bar, and tier.
     """
-    high, high_ms = future_extreme("high", hours, key)
-    w = Window.partitionBy(key).orderBy("ts_ms")
-    marked = bars.select(key, "ts_ms", "close", F.row_number().over(w).alias("i"), (high / F.col("close")).alias("m"), high_ms.alias("peak_ms")).where(F.col("m") >= gain)
+    ahead = with_future_extreme(bars.select(key, "ts_ms", "close", "high"), "high", hours, key=key)
+    marked = ahead.select(key, "ts_ms", "close", (F.col("top") / F.col("close")).alias("m"), F.col("top_ms").alias("peak_ms")).where(F.col("m") >= gain)
     runs = islands(marked.withColumn("h", F.expr(f"ts_ms div {HOUR_MS}")), "h", [key])
     merged = sessions(runs, "ts_ms", merge_hours * HOUR_MS, [key])
     best = F.max(F.struct("m", (-F.col("ts_ms")).alias("t"), "peak_ms"))

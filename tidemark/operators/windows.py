@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators import extremes, halo
+
 HOUR_MS = 3_600_000
 
 
-def by_symbol(order: str = "ts_ms", key: str = "symbol") -> WindowSpec:
+def by_symbol(order: str = "ts_ms", key: str | list[str] = "symbol") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
-def frame(n: int, end: int = 0, order: str = "ts_ms", key: str = "symbol") -> WindowSpec:
+def frame(n: int, end: int = 0, order: str = "ts_ms", key: str | list[str] = "symbol") -> WindowSpec:
     """The n rows that end ``end`` rows before the current one."""
     return by_symbol(order, key).rowsBetween(-(n - 1) - end, -end)
 
@@ -26,7 +28,7 @@ def full(value: Column, over: WindowSpec, n: int, seen: Column) -> Column:
     return F.when(F.count(seen).over(over) == n, value.over(over))
 
 
-def rolling(fn, column: str, n: int, end: int = 0, order: str = "ts_ms", key: str = "symbol") -> Column:
+def rolling(fn, column: str, n: int, end: int = 0, order: str = "ts_ms", key: str | list[str] = "symbol") -> Column:
     """fn (an aggregate) of a column over a full frame of n rows, ``end`` rows back."""
     return full(fn(column), frame(n, end, order, key), n, F.col(column))
 
@@ -38,41 +40,29 @@ def true_range(high: str = "high", low: str = "low", close: str = "close", over:
 
 
 def indicators(bars: DataFrame, atr: int = 14, box: int = 24, ema: int = 50) -> DataFrame:
-    """bars with tr, atr, ema, box_high, box_low, avg_volume, v24 and prev24.
+    """bars with tr, atr, ema, box_high, box_low, avg_volume, v24, prev24 and n_bars.
 
     The box and the average volume leave the current bar out; the exponential average is
     taken over the last ``5 * ema - 11`` bars, as a live reader with so many bars sees it.
+    A symbol's history is split into overlapping parts.
     """
-    w = by_symbol()
-    with_tr = bars.withColumn("tr", true_range())
-    return with_tr.select(
-        "*",
-        rolling(F.avg, "tr", atr).alias("atr"),
-        framed_ema("close", ema, 5 * ema - 11).alias("ema"),
-        rolling(F.max, "high", box, 1).alias("box_high"),
-        rolling(F.min, "low", box, 1).alias("box_low"),
-        rolling(F.avg, "volume", box, 1).alias("avg_volume"),
-        rolling(F.sum, "volume", 24).alias("v24"),
-        rolling(F.sum, "volume", 24, 24).alias("prev24"),
-        F.row_number().over(w).alias("n_bars"),
-    )
-
-
-def framed_ema(column: str, span: int, n: int, order: str = "ts_ms", key: str = "symbol") -> Column:
-    """Recursive exponential average, seeded with the first value of the last n rows.
-
-    The recursion folds an ordered frame of at most n values, so its cost and memory do
-    not grow with the history.
-    """
-    alpha = 2.0 / (span + 1)
-    values = F.collect_list(column).over(by_symbol(order, key).rowsBetween(-(n - 1), 0))
-    return F.aggregate(F.slice(values, 2, n), F.element_at(values, 1).cast("double"), lambda acc, x: acc + (x - acc) * alpha)
-
-
-def cusum(column: Column, target: float, n: int, order: str = "ts_ms", key: str = "symbol") -> Column:
-    """max(0, previous + value - target), from 0, over the last n rows."""
-    values = F.collect_list(column).over(by_symbol(order, key).rowsBetween(-(n - 1), 0))
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: F.greatest(F.lit(0.0), acc + x - target))
+    n = 5 * ema - 11
+    overlap = max(n - 1, 48, box, atr)
+    parts = halo.framed_ema(halo.split(bars, overlap, part_rows=halo.rows_for(ema, overlap)), "close", ema, n, "ema")
+    of = {"order": "_i", "key": ["symbol", "_part"]}
+    with_tr = parts.withColumn("tr", true_range(over=halo.of_part()))
+    out = with_tr.select(
+        *bars.columns, "_i", "_part", "_own", "tr",
+        rolling(F.avg, "tr", atr, **of).alias("atr"),
+        "ema",
+        rolling(F.max, "high", box, 1, **of).alias("box_high"),
+        rolling(F.min, "low", box, 1, **of).alias("box_low"),
+        rolling(F.avg, "volume", box, 1, **of).alias("avg_volume"),
+        rolling(F.sum, "volume", 24, **of).alias("v24"),
+        rolling(F.sum, "volume", 24, 24, **of).alias("prev24"),
+        (F.col("_i") + 1).cast("int").alias("n_bars"),
+    )
+    return halo.joined(out)
 
 
 def _last_failure(condition: Column, w: WindowSpec) -> Column:
@@ -133,7 +123,8 @@ def calendar_rolling(df: DataFrame, fn, column: str, hours: int, at: str = "hour
     return F.when(F.count(column).over(over) == hours, fn(column).over(over))
 
 
-def future_extreme(high: str, hours: int, key: str = "symbol", at: str = "ts_ms") -> tuple[Column, Column]:
-    """Highest value of the next ``hours`` hours, from the next bar on, and its time; of equal ones the latest."""
-    over = Window.partitionBy(key).orderBy(at).rangeBetween(HOUR_MS, hours * HOUR_MS)
-    return F.max(high).over(over), F.max(F.struct(high, at)).over(over)[at]
+def with_future_extreme(df: DataFrame, high: str, hours: int, top: str = "top", top_at: str = "top_ms", key: str = "symbol", at: str = "ts_ms") -> DataFrame:
+    """df with the highest value of the next ``hours`` hours, from the next bar on, and its time; of equal ones the latest."""
+    best = F.struct(F.col(high).alias("v"), F.col(at).alias("t"))
+    out = extremes.over_range(df, HOUR_MS, hours * HOUR_MS, {"_best": (F.max, F.when(F.col(high).isNotNull(), best))}, key, at)
+    return out.select(*df.columns, F.col("_best.v").alias(top), F.col("_best.t").alias(top_at))

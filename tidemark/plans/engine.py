@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, events, outcomes, scoring, stats, windows
-from tidemark.plans import dialect
+from tidemark.operators import asof, events, halo, intervals, outcomes, scoring, stats, windows
+from tidemark.plans import dialect, evaluation
 from tidemark.plans.domain import domain, sql
 
 QUERIES: dict = {}
@@ -56,7 +56,7 @@ def w04_ema_and_box(spark, d):
 
 @query("SELECT symbol, ts_ms, $r(list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(trades AS DOUBLE)) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)), lambda a, x: greatest(CAST(0 AS DOUBLE), a + x - 3))) AS cusum FROM bars")
 def w41_cusum(spark, d):
-    return domain(spark, d, "bars").select("symbol", "ts_ms", r(windows.cusum(F.col("trades"), 3.0, 100)).alias("cusum"))
+    return halo.with_cusum(domain(spark, d, "bars").select("symbol", "ts_ms", "trades"), "trades", 3.0, 100, "cusum").select("symbol", "ts_ms", r("cusum").alias("cusum"))
 
 
 @query("WITH c AS (SELECT symbol, ts_ms, row_number() OVER w AS i, (max(high) OVER b - min(low) OVER b) / nullif(min(low) OVER b, 0) <= 40 AS ok FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms), b AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) SELECT symbol, ts_ms, $int(i - coalesce(max(CASE WHEN NOT coalesce(ok, FALSE) THEN i END) OVER (PARTITION BY symbol ORDER BY ts_ms), 0)) AS box_age FROM c")
@@ -69,12 +69,8 @@ def w13_box_age(spark, d):
 
 @query("WITH b AS (SELECT symbol, ts_ms, rank() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i, close, volume FROM bars), p AS (SELECT a.symbol, a.ts_ms, x.close, x.volume FROM b a JOIN b x ON x.symbol = a.symbol AND x.i BETWEEN a.i - 23 AND a.i WHERE a.i >= 24), k AS (SELECT symbol, ts_ms, rank() OVER (PARTITION BY symbol, ts_ms ORDER BY close) + (count(*) OVER (PARTITION BY symbol, ts_ms, close) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol, ts_ms ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, ts_ms, volume) - 1) / 2.0 AS b FROM p) SELECT symbol, ts_ms, $r(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE))) AS rho FROM k GROUP BY 1, 2")
 def w20_rolling_spearman(spark, d):
-    """Rank correlation of close and volume over 24 rows, at every bar: frames become arrays, ranks are counted inside them."""
-    w = windows.by_symbol()
-    frame = F.collect_list(F.struct("close", "volume")).over(windows.frame(24))
-    rows = domain(spark, d, "bars").withColumn("i", F.row_number().over(w)).withColumn("f", frame).where("i >= 24")
-    each = rows.select("symbol", "ts_ms", F.explode("f").alias("v")).select("symbol", "ts_ms", "v.*")
-    return stats.spearman(each, "close", "volume", ["symbol", "ts_ms"], 3).select("symbol", "ts_ms", r("ic").alias("rho"))
+    """Rank correlation of close and volume over 24 rows, at every bar."""
+    return stats.rolling_spearman(domain(spark, d, "bars"), "close", "volume", ["symbol"], "ts_ms", 24, "rho").select("symbol", "ts_ms", r("rho").alias("rho"))
 
 
 @query(None)
@@ -92,8 +88,7 @@ def w30_random_rank(spark, d):
 
 @query("SELECT symbol, ts_ms, $r(max(high) OVER f) AS top, CAST(max(CASE WHEN TRUE THEN (high, ts_ms) END) OVER f AS STRUCT(a DOUBLE, b BIGINT)).b AS top_ms FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY ts_ms RANGE BETWEEN 3600000 FOLLOWING AND 86400000 FOLLOWING)")
 def w35_future_extreme(spark, d):
-    high, at = windows.future_extreme("high", 24)
-    return domain(spark, d, "bars").select("symbol", "ts_ms", r(high).alias("top"), at.alias("top_ms"))
+    return windows.with_future_extreme(domain(spark, d, "bars").select("symbol", "ts_ms", "high"), "high", 24).select("symbol", "ts_ms", r("top").alias("top"), "top_ms")
 
 
 @query(f"WITH o AS ({_INTEREST}), q AS ({_DECISIONS}) SELECT q.symbol, q.ts_ms, q.event_id, o.ts_ms AS obs_ms, $r(o.value) AS value FROM q ASOF LEFT JOIN (SELECT symbol, ts_ms, value FROM o) o ON o.symbol = q.symbol AND o.ts_ms <= q.ts_ms")
@@ -111,27 +106,27 @@ def j09_asof_forward(spark, d):
     return asof.forward(sql(spark, d, _DECISIONS), sql(spark, d, _INTEREST), ["value"]).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
 
 
-_BOUNDED = f"""o AS (SELECT symbol, ts_ms, value, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i FROM ({_INTEREST}) z),
- v AS (SELECT a.symbol, a.ts_ms, a.i, a.value, b.ts_ms AS t, b.value AS x, b.i AS bi FROM o a JOIN o b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 39 AND a.i AND b.value > 5),
+_BOUNDED = f"""o AS (SELECT symbol, ts_ms, value, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms, value) AS i FROM ({_INTEREST}) z),
+ v AS (SELECT a.symbol, a.ts_ms, a.i, a.value, b.ts_ms AS t, b.value AS x, b.i AS bi FROM o a JOIN o b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 199 AND a.i AND b.value > 5),
  l AS (SELECT symbol, ts_ms, i, value, count(*) AS n_valid, max(t) AS adopted_ms, arg_max(x, t) AS adopted, max(bi) AS last_i FROM v GROUP BY 1, 2, 3, 4),
  g AS (SELECT l.*, (SELECT arg_max(v.x, v.t) FROM v WHERE v.symbol = l.symbol AND v.i = l.i AND v.t <= l.adopted_ms - 24 * 3600000) AS b24, (SELECT arg_max(v.x, v.t) FROM v WHERE v.symbol = l.symbol AND v.i = l.i AND v.t <= l.adopted_ms - 72 * 3600000) AS b72 FROM l)"""
 
 
-@query(f"WITH {_BOUNDED} SELECT symbol, ts_ms, n_valid, CASE WHEN n_valid >= 10 THEN adopted_ms END AS adopted_ms, $r(CASE WHEN n_valid >= 10 THEN adopted / b24 - 1 END) AS chg_24, $r(CASE WHEN n_valid >= 10 THEN adopted / b72 - 1 END) AS chg_72, i - last_i AS stale FROM g")
+@query(f"WITH {_BOUNDED} SELECT symbol, ts_ms, n_valid, CASE WHEN n_valid >= 25 THEN adopted_ms END AS adopted_ms, $r(CASE WHEN n_valid >= 25 THEN adopted / b24 - 1 END) AS chg_24, $r(CASE WHEN n_valid >= 25 THEN adopted / b72 - 1 END) AS chg_72, i - last_i AS stale FROM g")
 def j08_bounded_changes(spark, d):
-    """Changes against offset bases inside the last 40 observations, gated by ten valid ones."""
-    out = asof.bounded_changes(sql(spark, d, _INTEREST), "value", 40, 10, valid=F.col("value") > 5).where("n_valid > 0")
+    """Changes against offset bases inside the last 200 observations, gated by 25 valid ones."""
+    out = asof.bounded_changes(sql(spark, d, _INTEREST), "value", 200, 25, valid=F.col("value") > 5).where("n_valid > 0")
     return out.select("symbol", "ts_ms", F.col("n_valid").cast("long").alias("n_valid"), "adopted_ms", r("chg_24").alias("chg_24"), r("chg_72").alias("chg_72"), F.col("stale").cast("long").alias("stale"))
 
 
-@query(f"""WITH {_BOUNDED}, q AS ({_DECISIONS}), rt AS ({_RATIOS}), k AS (SELECT symbol, ts_ms, CASE WHEN n_valid >= 10 THEN adopted / b24 - 1 END AS c24, CASE WHEN n_valid >= 10 THEN adopted / b72 - 1 END AS c72 FROM g),
+@query(f"""WITH {_BOUNDED}, q AS ({_DECISIONS}), rt AS ({_RATIOS}), k AS (SELECT symbol, ts_ms, CASE WHEN n_valid >= 25 THEN adopted / b24 - 1 END AS c24, CASE WHEN n_valid >= 25 THEN adopted / b72 - 1 END AS c72 FROM g),
  j AS (SELECT q.symbol, q.ts_ms, q.event_id, k.c24, k.c72 FROM q ASOF LEFT JOIN k ON k.symbol = q.symbol AND k.ts_ms <= q.ts_ms), j2 AS (SELECT j.*, rt.ratio FROM j ASOF LEFT JOIN rt ON rt.symbol = j.symbol AND rt.ts_ms <= j.ts_ms)
  SELECT symbol, ts_ms, event_id, CASE WHEN coalesce(c24 >= 0.1, FALSE) THEN 4 ELSE 0 END + CASE WHEN coalesce(c72 >= 0.2, FALSE) THEN 3 ELSE 0 END + CASE WHEN coalesce(ratio < 1, FALSE) THEN 3 ELSE 0 END AS score_deriv,
  CASE WHEN c24 IS NOT NULL AND c72 IS NOT NULL AND ratio IS NOT NULL THEN 'ok' WHEN c24 IS NOT NULL OR c72 IS NOT NULL OR ratio IS NOT NULL THEN 'partial' ELSE 'failed' END AS deriv_status FROM j2""")
 def c04_derivative_score(spark, d):
     """Points and status at decision times."""
     interest = sql(spark, d, _INTEREST)
-    changes = asof.bounded_changes(interest, "value", 40, 10, valid=F.col("value") > 5).where("n_valid > 0")
+    changes = asof.bounded_changes(interest, "value", 200, 25, valid=F.col("value") > 5).where("n_valid > 0")
     first = asof.backward(sql(spark, d, _DECISIONS), changes, ["chg_24", "chg_72"]).drop("obs_ms")
     both = asof.backward(first, sql(spark, d, _RATIOS), ["ratio"])
     return scoring.derivative_score(both, "ratio").select("symbol", "ts_ms", "event_id", "score_deriv", "deriv_status")
@@ -234,3 +229,36 @@ def j20_point_in_interval(spark, d):
     points = sql(spark, d, "SELECT user_id AS symbol, $ms(ts) + 7200000 AS ts_ms, event_id FROM events WHERE event_type = 'view'")
     got = asof.backward(points, z.select("symbol", F.col("lo").alias("ts_ms"), "session", "hi"), ["session", "hi"])
     return got.select("event_id", F.when(F.col("ts_ms") <= F.col("hi"), F.col("session")).alias("session"))
+
+
+# ---- what a history holds in an event's intervals
+def _events(bars: DataFrame) -> DataFrame:
+    return bars.where("trades >= 7").select("symbol", F.col("ts_ms").alias("t0"))
+
+
+@query(evaluation.SQL["e06_event_tradability"])
+def e06_event_tradability(spark, d):
+    bars = domain(spark, d, "bars")
+    out = intervals.tradability(bars.where("trades >= 7").select("symbol", F.col("ts_ms").alias("t0"), F.col("close").alias("p0")), bars, 24)
+    return out.select("symbol", "t0", "hours", F.col("fillable").cast("long").alias("fillable"), r("spike_share").alias("spike_share"), r("hours_to_double").alias("hours_to_double"))
+
+
+@query(evaluation.SQL["e07_reverse_coverage"])
+def e07_reverse_coverage(spark, d):
+    """Where the selections of an event's symbol lie, before, during or after it: differences of running counts."""
+    bars = domain(spark, d, "bars")
+    events_ = _events(bars).withColumn("t1", F.col("t0") + 6 * 3_600_000)
+    return intervals.reverse_coverage(events_, bars.where("close > 4 * open"), 86_400_000, 86_400_000).select("symbol", "t0", "disposition")
+
+
+@query(evaluation.SQL["e09_reminders"])
+def e09_reminders(spark, d):
+    bars = domain(spark, d, "bars")
+    return intervals.reminders(_events(bars), bars.where("close > open"), 43_200_000).select("symbol", "t0", "reminders")
+
+
+@query(evaluation.SQL["f21_recall_at_n"])
+def f21_recall_at_n(spark, d):
+    ranked = domain(spark, d, "bars").withColumn("rk", F.row_number().over(Window.partitionBy("ts_ms").orderBy(F.col("volume").desc(), "symbol")))
+    found = intervals.best_before(ranked.where("trades >= 7").select("symbol", "ts_ms"), ranked, 86_400_000)
+    return intervals.recall_at(found, [1, 2, 3]).select("top_n", "n_events", r("recall_any").alias("recall_any"), r("recall_start").alias("recall_start"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import asof, features, models, scoring, windows
+from tidemark.operators import asof, features, halo, models, scoring, windows
 from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
 from tidemark.sources import readers, sinks
@@ -194,8 +194,9 @@ def e13_all_features(spark, d):
 
 @query("SELECT symbol, ts_ms, $r(list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 50 PRECEDING AND CURRENT ROW), lambda a, x: a + (x - a) * CAST(0.25 AS DOUBLE))) AS ema FROM bars")
 def w05_framed_ema(spark, d):
-    """The recursive average as a reader of 51 bars sees it."""
-    return domain(spark, d, "bars").select("symbol", "ts_ms", r(windows.framed_ema("close", 7, 51)).alias("ema"))
+    """The recursive average as a reader of 51 bars sees it; sums of weighed values differ from a fold beyond the twelfth digit."""
+    out = halo.with_framed_ema(domain(spark, d, "bars").select("symbol", "ts_ms", "close"), "close", 7, 51, "ema")
+    return out.select("symbol", "ts_ms", r(F.round("ema", 9)).alias("ema"))
 
 
 @query("SELECT symbol, ts_ms, $r(CASE WHEN count(high) OVER b = 24 THEN max(high) OVER b END) AS box_high, $r(CASE WHEN count(low) OVER b = 24 THEN min(low) OVER b END) AS box_low FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)")
@@ -208,13 +209,13 @@ def w06_box(spark, d):
 @query("WITH o AS (SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value > 5 AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts) AS i FROM events WHERE event_type = 'purchase') SELECT symbol, ts_ms, i - coalesce(max(CASE WHEN ok THEN i END) OVER (PARTITION BY symbol ORDER BY ts_ms), 0) AS stale FROM o")
 def c09_stale_tail(spark, d):
     rows = sql(spark, d, "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'")
-    return asof.bounded_changes(rows, "value", 40, 10, valid=F.col("value") > 5).select("symbol", "ts_ms", F.col("stale").cast("long").alias("stale"))
+    return asof.bounded_changes(rows, "value", 200, 10, valid=F.col("value") > 5).select("symbol", "ts_ms", F.col("stale").cast("long").alias("stale"))
 
 
-@query("WITH o AS (SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, CASE WHEN value > 5 THEN 1 ELSE 0 END AS ok FROM events WHERE event_type = 'purchase') SELECT symbol, ts_ms, sum(ok) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) >= 25 AS enough FROM o")
+@query("WITH o AS (SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, CASE WHEN value > 5 THEN 1 ELSE 0 END AS ok FROM events WHERE event_type = 'purchase') SELECT symbol, ts_ms, sum(ok) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) >= 25 AS enough FROM o")
 def c10_least_observations(spark, d):
     rows = sql(spark, d, "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'")
-    return asof.bounded_changes(rows, "value", 40, 25, valid=F.col("value") > 5).select("symbol", "ts_ms", F.col("adopted").isNotNull().alias("enough"))
+    return asof.bounded_changes(rows, "value", 200, 25, valid=F.col("value") > 5).select("symbol", "ts_ms", F.col("adopted").isNotNull().alias("enough"))
 
 
 @query("WITH b AS (SELECT symbol, max(ts_ms) AS last_ms, count(*) AS n FROM user_bars WHERE ts_ms + 3600000 <= 1705276800000 GROUP BY 1) SELECT u.symbol, CASE WHEN b.n IS NULL THEN 'no_kline_data' WHEN b.n < 26 THEN 'kline_short_history' WHEN 1705276800000 - b.last_ms > 7200000 THEN 'kline_gap' ELSE 'scored' END AS status FROM (SELECT DISTINCT symbol FROM user_bars) u LEFT JOIN b ON b.symbol = u.symbol")
