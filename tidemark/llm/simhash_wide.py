@@ -24,7 +24,7 @@ n * n / 2**65.
 
 Defined results: texts are the same if all shingles are, in any order; texts without a word
 are equal; null and empty texts likewise; a null doc_id never names a component; repeated
-rows, with their doc_id and text, leave one row; an empty table gives no rows; columns of
+rows, equal in doc_id (null included) and text, leave one row; an empty table gives no rows; columns of
 any names pass through.
 """
 
@@ -393,8 +393,8 @@ def links(prints: DataFrame, marked: DataFrame) -> DataFrame:
 def deduplicated(df: DataFrame) -> DataFrame:
     """The rows of df with the least doc_id of their component, all columns kept.
 
-    Of rows with that same doc_id and text, one stays; rows without a doc_id stay only
-    where their component has no other.
+    Of rows with that same doc_id and text, or with none and the same text, one stays; rows
+    without a doc_id stay only where their component has no other.
     """
     held, back = apart(df)
     marked = with_columns_from_text(df.select(*held, F.col("doc_id").cast("long").alias("doc")), wide_fingerprints, "fp binary")
@@ -409,6 +409,6 @@ def deduplicated(df: DataFrame) -> DataFrame:
     few = losing.count() <= 500_000  # some 40 bytes each: a checked bound
     gone = (F.broadcast(losing) if few else losing).select(F.col("doc").alias("gone_doc"), F.col("id").alias("gone_id"))
     kept = marked.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("id") == F.col("gone_id")), "left_anti")
-    if marked.where("doc IS NOT NULL").groupBy("doc", "id").count().where("count > 1").limit(1).count():
+    if marked.groupBy("doc", "id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc", "id"])
     return kept.select(*back)
