@@ -156,7 +156,8 @@ def audited(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("overall").alias("lang_total"))
     chunks = F.greatest(F.lit(1), F.ceil(F.coalesce("kept", F.lit(0)) / chunk_terms)).cast("int")
     chunked = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks).cast("int"))
-    numbered = chunked.withColumn("no", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).select("lang", "term", "overall", "chunk", "no")
+    # Dealt by chunk: a language's terms must not all be numbered in the task of its join.
+    numbered = chunked.repartition("lang", "chunk").withColumn("no", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).select("lang", "term", "overall", "chunk", "no")
     mine = written(words.drop("docs").join(numbered, ["lang", "term"]), "kept-counts")
 
     groups = counts.where(F.col("term").isNull()).select("lang", "source")
