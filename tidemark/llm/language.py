@@ -16,7 +16,8 @@ windows (under 0.7 MB a language); everything else runs in batches on executors.
 
 Defined results: a null text, one without a letter (of any script), and any text where no
 language could be learnt give ``und`` with score 0; with one language its score is 1;
-repeated rows are judged each; documents with a null id or language aren't learnt from;
+repeated rows are judged each; documents with a null id or language aren't learnt from, and of
+those with one id and language the first text in order;
 equal scores go to the language first in order; columns besides doc_id, text and lang are
 not read; an empty table gives no row.
 """
@@ -39,8 +40,8 @@ MOST_DOCS, DOC_WINDOWS = 600, 4
 STEPS, BATCH, RATE, SHORTEST, SEED = 500, 64, 0.01, 24, 13
 HELD_MOD, HELD_REST = 5, 0
 UNKNOWN = "und"
-#: Windows that are run at once.
-AT_ONCE = 64
+#: Windows that are run at once; shares of a language in which documents are ranked first.
+AT_ONCE, SHARES = 64, 64
 
 _WIDEST = max(WIDTHS)
 _letter = np.zeros(256, bool)
@@ -132,8 +133,12 @@ def _samples(batch: pa.RecordBatch):
 def train(docs: DataFrame) -> Model:
     """A model from rows of (doc_id, text, lang), fitted by the driver on a bounded sample's windows."""
     good = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = good.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MOST_DOCS).select("lang", "text")
+    # Ids are ranked by themselves, first within shares of a language: texts move only for those that are chosen.
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("key", "doc_id")) <= MOST_DOCS
+    key = F.xxhash64("doc_id")
+    some = good.select("lang", "doc_id", key.alias("key"), F.pmod(key, F.lit(SHARES)).alias("share")).withColumn("in", first("lang", "share")).where("in")
+    some = some.repartition("lang").withColumn("in", first("lang")).where("in").select("lang", "doc_id").distinct()
+    chosen = good.join(some, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
     found = map_arrow(chosen, _samples, "lang string, bytes binary, size long").toArrow().sort_by([("lang", "ascending"), ("bytes", "ascending")])
     langs = sorted(set(found["lang"].to_pylist()))
     some = np.frombuffer(b"".join(found["bytes"].to_pylist()), np.uint8).reshape(-1, WINDOW)
