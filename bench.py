@@ -17,7 +17,7 @@ HEADLINES = (
     "c03_box_score_rank w04_ema_and_box w17_skew_kurt w28_calendar_rolling w35_future_extreme w29_cross_rank j03_star j07_asof_backward j08_bounded_changes j11_range_join "
     "c04_derivative_score d02_waves e01_forward_outcomes e03_outcome_labels e05_horizon_returns f01_auc f05_permutation_band f20_precision_at_n g03_threshold_sweep t06_retention_scale"
 ).split()
-OPTIONAL = "op1_suffix_tree op2_robust_quality op3_norm_buckets op4_event_chat op5_toxicity op6_simhash op7_byte_bpe op8_best_fit op9_url_filter op10_arrow_ids".split()
+OPTIONAL = "op1_suffix_tree op2_robust_quality op3_norm_buckets op4_event_chat op5_toxicity op6_simhash op7_byte_bpe op8_best_fit op9_url_filter op10_arrow_ids op11_summa_negatives op12_source_divergence op13_byte_network".split()
 
 
 def main() -> None:

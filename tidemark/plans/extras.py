@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import asof, features, halo, models, scoring, windows
+from tidemark.operators import asof, features, models, scoring, windows
 from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
 from tidemark.sources import readers, sinks
@@ -194,9 +194,8 @@ def e13_all_features(spark, d):
 
 @query("SELECT symbol, ts_ms, $r(list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 50 PRECEDING AND CURRENT ROW), lambda a, x: a + (x - a) * CAST(0.25 AS DOUBLE))) AS ema FROM bars")
 def w05_framed_ema(spark, d):
-    """The recursive average as a reader of 51 bars sees it; sums of weighed values differ from a fold beyond the twelfth digit."""
-    out = halo.with_framed_ema(domain(spark, d, "bars").select("symbol", "ts_ms", "close"), "close", 7, 51, "ema")
-    return out.select("symbol", "ts_ms", r(F.round("ema", 9)).alias("ema"))
+    """The recursive average as a reader of 51 bars sees it."""
+    return domain(spark, d, "bars").select("symbol", "ts_ms", r(windows.folded_ema("close", 7, 51)).alias("ema"))
 
 
 @query("SELECT symbol, ts_ms, $r(CASE WHEN count(high) OVER b = 24 THEN max(high) OVER b END) AS box_high, $r(CASE WHEN count(low) OVER b = 24 THEN min(low) OVER b END) AS box_low FROM bars WINDOW b AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranks, resampling, stats
+from tidemark.functions import columns as fn
+from tidemark.operators import ranks, resampling, stats, walkforward
 from tidemark.plans import evaluation, relational, windowed
 from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
@@ -191,3 +192,27 @@ def f23_segments(spark, d):
 def f26_reskin_check(spark, d):
     out = stats.spearman(domain(spark, d, "samples"), "score", "x2", [], 1)
     return out.select(r("ic").alias("rho"), (F.abs("ic") >= 0.9).alias("reskin"))
+
+
+# ---- models on expanding folds
+_CUTS = [250, 500, 750]
+_WALK = "SELECT c.cut AS split, avg(CASE WHEN s.doc_id < c.cut THEN s.score END) AS m, stddev_pop(CASE WHEN s.doc_id < c.cut THEN s.score END) AS d, covar_pop(CASE WHEN s.doc_id < c.cut THEN s.score END, s.x2) AS cv, avg(CASE WHEN s.doc_id < c.cut THEN s.x2 END) AS y, $int(sum(CASE WHEN s.doc_id < c.cut THEN 1 ELSE 0 END)) AS n, $int(sum(CASE WHEN s.doc_id >= c.cut THEN 1 ELSE 0 END)) AS n_test FROM samples s CROSS JOIN (SELECT 250 AS cut UNION ALL SELECT 500 UNION ALL SELECT 750) c GROUP BY 1"
+
+
+@query(f"WITH w AS ({_WALK}) SELECT CAST(w.split AS BIGINT) AS split, w.n AS train_n, w.n_test AS test_n, $r(w.n * w.cv / w.d / (w.n + 10)) AS weight, $r(w.y) AS intercept, $r((SELECT sqrt(avg(power(s.x2 - w.y - (s.score - w.m) / w.d * (w.n * w.cv / w.d / (w.n + 10)), 2))) FROM samples s WHERE s.doc_id >= w.split)) AS rmse FROM w")
+def f10_walk_forward_ridge(spark, d):
+    """a ridge of one feature on each expanding fold and its error on what comes after."""
+    rows = domain(spark, d, "samples").select("doc_id", "score", "x2")
+    folds = walkforward.ridge(rows, ["score"], "x2", "doc_id", _CUTS)
+    test = walkforward.tested(rows, ["score"], "doc_id", folds, "guess")
+    errors = test.groupBy("split").agg(F.count("*").alias("test_n"), F.sqrt(F.avg(F.pow(F.col("x2") - F.col("guess"), 2))).alias("rmse"))
+    fitted = spark.createDataFrame([(f.split, f.n, float(f.weights[0]), float(f.intercept)) for f in folds if f.weights is not None], "split long, train_n long, weight double, intercept double")
+    return fitted.join(errors, "split").select("split", "train_n", "test_n", r("weight").alias("weight"), r("intercept").alias("intercept"), r("rmse").alias("rmse"))
+
+
+@query(None)
+def f17_hierarchical(spark, d):
+    """On each expanding fold the chance of the label, the amplitude that positives let expect, their product, and its area."""
+    rows = domain(spark, d, "samples").withColumn("amp", fn.signed_log("x2"))
+    scored = walkforward.hierarchical(rows, ["score", "x1"], "label", "amp", "doc_id", _CUTS)
+    return walkforward.fold_areas(scored, "p_e", "label").select("split", "n", "n1", r("auc").alias("auc"))
