@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, hard_negatives, language
+from tidemark.llm import divergence, hard_negatives, language, simhash_wide, toxicity
 
 
 def tuples(df):
@@ -170,3 +170,41 @@ def test_languages_without_anything_to_learn(spark):
     one = language.train(df.withColumn("lang", F.lit("qq")))
     assert {r[1] for r in tuples(language.identified(df, one))} == {"qq"}
     assert not tuples(language.identified(df.limit(0), one))
+
+
+# ---- toxicity: the fit against plain loops
+def test_noisy_or_fit_equals_plain_loops(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(d, [[rng.randrange(12) for _ in range(rng.randrange(4))] for _ in range(rng.randrange(1, 5))]) for d in range(40)]
+    y = np.array([float(any(0 in s for s in sentences) or rng.random() < 0.1) for _, sentences in docs])
+    weights = np.array([rng.choice([0.5, 1.0, 2.0]) for _ in docs])
+    rows = [(d, s) for d, sentences in docs for s in sentences]
+    monkeypatch.setattr(toxicity, "STEPS", 40)
+    model = toxicity.fit(y, weights, np.arange(12).astype(np.uint64), np.array([d for d, _ in rows]), np.ones(len(rows)), np.repeat(np.arange(len(rows)), [len(s) for _, s in rows]), np.array([w for _, s in rows for w in s], np.int64))
+    theta, mean, square = [0.0] * 12 + [toxicity.FIRST_BIAS], [0.0] * 13, [0.0] * 13
+    for step in range(1, 41):
+        grad = [toxicity.RIDGE * t for t in theta[:-1]] + [0.0]
+        for (d, sentences), label, weight in zip(docs, y, weights):
+            odds = [theta[-1] + sum(theta[w] for w in s) for s in sentences]
+            # 1 - prod(1 - p) is the chance of a toxic document.
+            clean = np.prod([1 / (1 + np.exp(z)) for z in odds])
+            slope = weight * (1.0 if not label else 1 - 1 / (1 - clean))
+            for s, z in zip(sentences, odds):
+                g = slope / (1 + np.exp(-z))
+                grad[-1] += g
+                for w in s:
+                    grad[w] += g
+        for i, g in enumerate(grad):
+            mean[i], square[i] = 0.9 * mean[i] + 0.1 * g, 0.99 * square[i] + 0.01 * g * g
+            theta[i] -= toxicity.RATE * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8)
+    assert np.allclose(np.append(model.weights, model.bias), theta, atol=1e-8) and model.weights.argmax() == 0 and len(words) == len(model.words)
+
+
+# ---- near-duplicates without an id
+def test_repeated_rows_without_an_id_leave_one_whatever_else_repeats(spark):
+    text, other = "one two three four five six seven eight nine ten", "some quite different words stand here in this longer text"
+    base = [(None, text), (None, text), (5, other)]
+    for more in ([], [(5, other)], [(7, other + " again and again")] * 2):
+        got = simhash_wide.deduplicated(spark.createDataFrame(base + more, "doc_id long, text string"))
+        assert [r["text"] for r in got.collect() if r["doc_id"] is None] == [text]
