@@ -212,7 +212,7 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.reused(spark, str(tmp_path / "r"), {"v": 1}, lambda: made.append(1) or df)
     assert len(made) == 1 and sinks.fingerprint({"a": 1, "b": 2}) == sinks.fingerprint({"b": 2, "a": 1})
-    table = sinks.text_table(spark.createDataFrame([("日本", float("nan")), ("a", 1.0)], "k string, v double"), markdown=True)
+    table = sinks.text_table(spark.createDataFrame([("日本", float("nan")), ("a", 1.0)], "k string, v double"), 50, markdown=True)
     assert "| 日本 | —" in table and sinks.width("日本a") == 5
 
 

@@ -13,7 +13,7 @@ from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
 from tidemark.sources import readers, sinks
 from tidemark.sources.shared import shared_folder
-from tidemark.streaming import streams
+from tidemark.streaming import journal, streams
 
 
 def scratch(spark: SparkSession) -> str:
@@ -155,7 +155,7 @@ def k02_dynamic_columns(spark, d):
 @query(None)
 def k06_text_table(spark, d):
     """A small result as lines of text."""
-    lines = sinks.text_table(domain(spark, d, "caps").orderBy("base"), markdown=True).split("\n")
+    lines = sinks.text_table(domain(spark, d, "caps").orderBy("base"), 50, markdown=True).split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 
 
@@ -321,5 +321,12 @@ def r04_pause_machine(spark, d):
 
 @query("SELECT user_id AS record, max(event_id) AS seq, $max_by(event_type; event_id) AS value, max($ms(ts)) AS until_ms FROM events GROUP BY 1")
 def r13_journal_replay(spark, d):
-    j = sql(spark, d, "SELECT user_id AS record, event_id AS seq, event_type AS value, $ms(ts) AS until_ms FROM events")
-    return streams.replayed(j).join(j.groupBy("record").agg(F.max("seq").alias("seq")), "record").select("record", "seq", "value", "until_ms")
+    """Appends, a compaction and more appends, with broken lines among them, give the state of all entries."""
+    at = scratch(spark)
+    j = sql(spark, d, "SELECT CAST(user_id AS STRING) AS record, event_id AS seq, event_type AS value, $ms(ts) AS until_ms FROM events")
+    journal.append(j.where("seq % 3 = 0"), at)
+    journal.append(j.where("seq % 3 = 1"), at)
+    journal.compact(spark, at)
+    journal.append(j.where("seq % 3 = 2"), at)
+    j.select(F.expr("left(to_json(struct(record, seq, value, until_ms)), 20)")).write.text(f"{at}/log/broken")
+    return journal.replayed(spark, at).select(F.col("record").cast("long").alias("record"), "seq", "value", "until_ms")

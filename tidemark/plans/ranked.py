@@ -10,8 +10,6 @@ from tidemark.plans import evaluation, relational, windowed
 from tidemark.plans.domain import domain, sql, table
 from tidemark.plans.engine import query, r
 
-_FOLD = F.when(F.col("doc_id") % 100 < 40, 0).when(F.col("doc_id") % 100 < 60, 1).when(F.col("doc_id") % 100 < 80, 2).otherwise(3)
-
 
 @query(relational.SQL["t02_candidate_rank"])
 def t02_candidate_rank(spark, d):
@@ -160,7 +158,7 @@ def f09_rank_tournament(spark, d):
 
 @query(evaluation.SQL["f12_train_threshold"])
 def f12_train_threshold(spark, d):
-    rows = domain(spark, d, "samples").withColumn("fold", _FOLD.cast("long"))
+    rows = domain(spark, d, "samples").withColumn("fold", F.expr(evaluation._FOLD).cast("long"))
     learnt = ranks.quantiles(rows.where("fold = 0"), "score", {"th": 0.8}).select("th")
     test = rows.where("fold > 0").join(F.broadcast(learnt))  # one row
     chosen = F.col("score") > F.col("th")

@@ -60,15 +60,17 @@ def width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def text_table(df: DataFrame, limit: int = 50, markdown: bool = False) -> str:
-    """At most ``limit`` rows as a table of text; null and non-finite cells as a dash."""
+def text_table(df: DataFrame, limit: int, markdown: bool = False) -> str:
+    """At most ``limit`` rows as a table of text, and a line that says how many more there are; null and non-finite cells as a dash."""
 
     def cell(v: object) -> str:
         return "—" if v is None or (isinstance(v, float) and (v != v or abs(v) == float("inf"))) else f"{v:.4f}" if isinstance(v, float) else str(v)
 
-    rows = [df.columns, *([cell(v) for v in r] for r in df.limit(limit).collect())]
+    some = df.limit(limit + 1).collect()
+    more = [f"({df.count() - limit} more rows)"] if len(some) > limit else []
+    rows = [df.columns, *([cell(v) for v in r] for r in some[:limit])]
     wide = [max(width(r[i]) for r in rows) for i in range(len(df.columns))]
     lines = [[c + " " * (wide[i] - width(c)) for i, c in enumerate(r)] for r in rows]
     if markdown:
-        return "\n".join("| " + " | ".join(r) + " |" for r in [lines[0], ["-" * n for n in wide], *lines[1:]])
-    return "\n".join("  ".join(r).rstrip() for r in lines)
+        return "\n".join("| " + " | ".join(r) + " |" for r in [lines[0], ["-" * n for n in wide], *lines[1:]]) + "".join(f"\n{m}" for m in more)
+    return "\n".join([*("  ".join(r).rstrip() for r in lines), *more])

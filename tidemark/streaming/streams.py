@@ -66,12 +66,6 @@ def pauses(events: DataFrame, cooldown_ms: int = 300_000) -> DataFrame:
     return events.groupBy("domain").applyInPandasWithState(step, PAUSE_OUT, PAUSE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def replayed(journal: DataFrame) -> DataFrame:
-    """A journal's records: the last value of each, and the latest pause of each host; broken lines are skipped."""
-    good = journal.where("record IS NOT NULL")
-    return good.groupBy("record").agg(F.max_by("value", "seq").alias("value"), F.max("until_ms").alias("until_ms"))
-
-
 def to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns its result, written below folder: for tests and ``--once`` rounds.
 
