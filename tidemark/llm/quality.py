@@ -6,9 +6,10 @@ the least determinant: distances under the last mean and covariance, the bin of
 that holds the wanted share (exact counts by bin, summed before any shuffle), then mean
 and covariance of the texts up to there.  There are three starts: the coordinates' spreads
 alone, correlations of squashed coordinates, and of directions from the median.  After
-TRIAL steps of each, a group goes on with the start of the least determinant until no
-determinant changes (at most MOST_STEPS steps).  A text whose Mahalanobis distance under
-the last estimate passes CUTOFF is rejected.
+TRIAL steps of each, a group goes on with the start of the least determinant until its
+determinant falls no further, by SETTLED in the logarithm; groups that have settled take no
+part in later steps.  A determinant has a floor, so that every group settles.  A text whose
+Mahalanobis distance under the last estimate passes CUTOFF is rejected.
 
 Every variance has a floor, so that a statistic that is constant in most texts neither
 makes the matrix singular nor rejects the first text that differs a little.  Groups of
@@ -45,8 +46,8 @@ STATISTICS = {
     "10 * n_dup_lines / (n_words + 50)": 0.1,
     "n_repeat_words / (n_words + 20)": 0.06,
 }
-SHARE, TRIAL, MOST_STEPS, LEAST_ROWS, CUTOFF = 0.75, 2, 30, 25, 36.0
-#: Change of a determinant's logarithm that counts as none.
+SHARE, TRIAL, LEAST_ROWS, CUTOFF = 0.75, 2, 25, 36.0
+#: Fall of a determinant's logarithm that counts as none.
 SETTLED = 0.001
 #: Distances are told apart by bins of a sixteenth of a power of two; groups whose estimates may be broadcast (some 400 bytes each).
 BINS, BROADCAST_GROUPS = 16, 20_000
@@ -126,7 +127,7 @@ def _solver(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-_ESTIMATE = "g string, start long, mean array<double>, inverse array<double>, determinant double, change double"
+_ESTIMATE = "g string, start long, mean array<double>, inverse array<double>, determinant double, fall double"
 
 
 def _starts(moments: DataFrame, k: int) -> DataFrame:
@@ -148,7 +149,7 @@ def _starts(moments: DataFrame, k: int) -> DataFrame:
 
 
 def _solved(moments: DataFrame, floors: list[float], share: float) -> DataFrame:
-    """Estimates from the start, the last determinant, n and the moments of x of the nearest texts; a determinant is a logarithm, its change the distance from the last."""
+    """Estimates from the start, the last determinant, n and the moments of x of the nearest texts; a determinant is a logarithm, its fall the distance from the last."""
     k = len(floors)
     factor = consistency(k, share)
 
@@ -156,12 +157,12 @@ def _solved(moments: DataFrame, floors: list[float], share: float) -> DataFrame:
         mean, cov = _covariances(m[:, 2], m[:, 3:], k)
         cov = factor * cov + np.diag(np.square(floors))
         size = np.linalg.slogdet(cov)[1]
-        yield g, m[:, 0].astype(int).tolist(), mean.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), size.tolist(), np.abs(size - m[:, 1]).tolist()
+        yield g, m[:, 0].astype(int).tolist(), mean.tolist(), np.linalg.inv(cov).reshape(len(g), -1).tolist(), size.tolist(), (m[:, 1] - size).tolist()
 
     return _solver(moments, make, _ESTIMATE)
 
 
-def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
+def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE) -> DataFrame:
     """g, mean, inverse, determinant and n of every group of rows (a table of g and x0, x1, ...)."""
     k = len(floors)
     names = [f"x{i}" for i in range(k)]
@@ -177,8 +178,10 @@ def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE,
     order = [c for c in first.columns if c != "g"] + [c for c in ways.columns if c != "g"]
     estimate = written(_starts(_attached(ways, first, groups).select("g", *order), k), "estimates")
     by_start = Window.partitionBy("g", "start")
-    for step in range(most_steps):
-        scored = _attached(rows, estimate.drop("change"), groups * (3 if step < TRIAL else 1)).select("g", "start", "determinant", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
+    going, step = F.col("fall") >= SETTLED, 0
+    while step < TRIAL or estimate.where(going).limit(1).count():
+        moving = estimate.where(going).drop("fall")
+        scored = _attached(rows, moving, groups * (3 if step < TRIAL else 1)).select("g", "start", "determinant", *names, F.floor(F.log2(F.greatest(_distance(k), F.lit(1e-6))) * BINS).alias("bin"))
         per_bin = scored.groupBy("g", "start", "bin").agg(F.max("determinant").alias("last"), F.count("*").alias("rows"), *_moments([F.col(x) for x in names], "p"))
         below = F.coalesce(F.sum("rows").over(by_start.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         near = per_bin.withColumn("near", below < F.ceil(F.sum("rows").over(by_start) * share)).where("near")
@@ -186,15 +189,16 @@ def robust_estimates(rows: DataFrame, floors: list[float], share: float = SHARE,
         moments = near.groupBy("g", "start").agg(F.max("last").alias("last"), F.sum("rows").alias("rows"), *(F.sum(c).alias(c) for c in sums))
         # A group has a few hundred bins, however many texts: a task takes many groups, as Python starts for each task.
         new = _solved(moments.coalesce(max(1, groups // SOLVED_GROUPS)), floors, share)
+        if step < TRIAL:
+            new = new.withColumn("fall", F.lit(math.inf))
         if step == TRIAL - 1:
             new = new.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("determinant", "start"))).where("place = 1").drop("place")
-        new = written(new, "estimates")
-        estimate = new
-        if step >= TRIAL:
-            change = new.agg(F.max("change")).first()[0]
-            if change is None or change < SETTLED:
-                break
-    return estimate.drop("start", "change").join(first.select("g", "n"), "g")
+        if step >= TRIAL:  # a step that makes a determinant larger is not taken
+            shape = ["start", "mean", "inverse", "determinant"]
+            both = _attached(new, moving.select("g", *(F.col(c).alias(f"last_{c}") for c in shape)), groups)
+            new = both.select("g", *(F.when(F.col("fall") < 0, F.col(f"last_{c}")).otherwise(F.col(c)).alias(c) for c in shape), "fall").unionByName(estimate.where(~going))
+        estimate, step = written(new, "estimates"), step + 1
+    return estimate.drop("start", "fall").join(first.select("g", "n"), "g")
 
 
 @dataclass
