@@ -548,3 +548,34 @@ def test_wide_stage_keeps_texts_below_the_similarity(spark, monkeypatch):
     assert loose > len(linked) > 30
     df = spark.createDataFrame([(i, t, "en", "s", 0, "", "", "") for i, t in enumerate(texts)], DOCS)
     assert sorted(r["doc_id"] for r in rows(simhash_wide.deduplicated(df))) == want
+
+
+@pytest.mark.parametrize("partners", [1, 8])
+def test_wide_stage_joins_chains_whatever_is_tried_first(spark, monkeypatch, partners):
+    """Chains of shifted texts, each alike its neighbours only: what a text leaves untried is found later."""
+    monkeypatch.setattr(simhash_wide, "PARTNERS", partners)
+    rng, texts = random.Random(4), []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        texts += [" ".join(words[8 * k : 8 * k + 200]) for k in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "", "", "") for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in rows(simhash_wide.deduplicated(df))) == [20 * k for k in range(6)]
+
+
+def test_choices_tell_who_left_partners_untried(monkeypatch):
+    """A text that isn't marked has all its partners among its choices, in one task and however often choices are merged."""
+    monkeypatch.setattr(simhash_wide, "PARTNERS", 3)
+    rng = np.random.default_rng(2)
+    seen, held, cut = {}, [], set()
+    for _ in range(40):
+        a, b = rng.integers(0, 12, 15), rng.integers(100, 108, 15)
+        for x, y in zip(a.tolist(), b.tolist()):
+            seen.setdefault(x, set()).add(y)
+        held = [simhash_wide._least([*held, (a, b, b % 5, np.zeros(15, bool))])]
+        a, b, _, more = held[0]
+        for x in seen:
+            mine = set(b[a == x].tolist())
+            assert len(mine) <= 3 and mine <= seen[x]
+            assert mine == seen[x] or more[a == x].all()
+            cut |= {x} if more[a == x].all() else set()
+    assert len(cut) == 12

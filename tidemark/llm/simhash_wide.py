@@ -12,11 +12,13 @@ beyond that nearly always, as one near block of eleven is enough: of pairs at 38
 never meet, at 51 bits 3 %, of all pairs with a similarity of exactly 0.8 some 0.4 %; and
 0.1 % of these are further apart than MOST_BITS.
 
-Large groups cost links in proportion to their texts.  Each text tries some of those that it
-meets, the nearest and some by hash; texts that meet few have tried all of them by then.  The others form clusters by the pairs that they
-chose.  A second covering of these texts gives the met pairs between clusters; within a cluster
-that isn't one component yet, texts and their sets are dealt into a grid of tasks, which
-compare all of them and give only the links that join components.  Anchors and clusters that
+Large groups cost links in proportion to their texts.  Both texts of a met pair see each
+other, and each tries some of those that it sees, the nearest and some by hash.  A text is full
+if it left any untried: a pair that nobody tried has two full texts.  Pairs that were tried,
+links or not, make clusters.  A second covering, of all full texts, gives the met pairs between
+clusters; within a cluster that isn't one component yet, texts and their sets are dealt into a
+grid of tasks, which compare all of them and give only the links that join components.  So
+PARTNERS decides what is tried first, not which links are found.  Anchors and clusters that
 hold many texts are split, by counts of all anchors (45,056, whatever the corpus) and clusters.
 
 Texts are known by 64-bit hashes of their keys: of n texts two collide with a chance of
@@ -46,8 +48,8 @@ MOST_BITS = 56
 TASK_ROWS, PART_ROWS, DEAL = 120_000, 30_000, 4_000
 #: Texts of a cluster that are compared with as many others in one task.
 CLUSTER_ROWS = 2_000
-#: Of each kind, nearest and by hash, the partners that a text tries first.
-PARTNERS = 8
+#: Of each kind, nearest and by hash, the partners that a text tries first; choices held in a task before they are merged.
+PARTNERS, HELD = 8, 300_000
 #: Homes of one component at an anchor from which texts of that component skip them.
 MANY = 64
 #: Fixed value: anchors of a block, the words of the Golay code; a word's upper 12 bits number it.
@@ -225,27 +227,47 @@ def _columns(names: str, *values) -> pa.RecordBatch:
 def _first(order: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
     """Of rows in an order by a, the first n of each a."""
     place = np.arange(len(order))
-    begin = np.maximum.accumulate(np.where(np.append(True, a[order][1:] != a[order][:-1]), place, 0))
+    begin = np.maximum.accumulate(np.where(np.append(True, a[order][1:] != a[order][:-1])[: len(order)], place, 0))
     return order[place - begin < n]
 
 
 def _some(key, batches):
-    """For each text that meets others some of them: at each anchor the nearest (kind 0) and the first by a hash of its own (kind 1)."""
-    best: dict[int, list] = {0: [], 1: []}
+    """For each text of pairs that meet some of its partners: at each anchor all, if they are few, else the nearest (kind 0) and the first by a hash (kind 1), marked as more."""
+    best, new = {0: [], 1: []}, {0: 0, 1: 0}
     for slot, a, b, i, j, bits in _met(batches):
-        if len(i):
-            edge = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            code = (mixed(mixed(b[j].view(np.uint64)) + np.uint64(slot)) >> np.uint64(33)).astype(np.int64)
-            for kind, value in ((0, bits.astype(np.int64)), (1, code)):
-                least = np.minimum.reduceat(value << 32 | j, edge)
-                best[kind].append((a[i[edge]], b[least & 0xFFFFFFFF], least >> 32))
+        if not len(i):
+            continue
+        back = np.argsort((j - j.min()).astype(np.uint16), kind="stable")  # a part has at most 2,048 of b
+        for of, with_, mine, other, near in ((a, b, i, j, bits), (b, a, j[back], i[back], bits[back])):
+            edge = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            times = np.diff(np.append(edge, len(mine)))
+            many = times > PARTNERS
+            few = np.flatnonzero(np.repeat(~many, times))
+            code = (mixed(mixed(with_[other].view(np.uint64)) + np.uint64(slot)) >> np.uint64(33)).astype(np.int64)
+            for kind, value in ((0, near.astype(np.int64)), (1, code)):
+                best[kind].append((of[mine[few]], with_[other[few]], value[few], np.zeros(len(few), bool)))
+                if many.any():
+                    least = np.minimum.reduceat(value << 32 | other, edge)[many]
+                    best[kind].append((of[mine[edge[many]]], with_[least & 0xFFFFFFFF], least >> 32, np.ones(len(least), bool)))
+                new[kind] += len(few) + int(many.sum())
+                if new[kind] > max(HELD, len(best[kind][0][0])):
+                    best[kind], new[kind] = [_least(best[kind])], 0
     for kind, found in best.items():
         if found:
-            a, b, value = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((value, b, a))
-            order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))]  # a pair once
-            order = _first(order[np.lexsort((b[order], value[order], a[order]))], a, PARTNERS)
-            yield _columns("a b kind value", a[order], b[order], np.full(len(order), kind), value[order])
+            a, b, value, more = _least(found)
+            yield _columns("a b kind value more", a, b, np.full(len(a), kind), value, more.astype(np.int64))
+
+
+def _least(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (a, b, value, more) in parts: each pair once and the PARTNERS least of each a, all marked as more if any was or any was left out."""
+    a, b, value, more = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((value, b, a))
+    order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))[: len(order)]]
+    _, name = np.unique(a, return_inverse=True)
+    marked = np.bincount(name, more, minlength=1) > 0
+    marked |= np.bincount(name[order], minlength=len(marked)) > PARTNERS
+    order = _first(order[np.lexsort((b[order], value[order], a[order]))], a, PARTNERS)
+    return a[order], b[order], value[order], marked[name[order]]
 
 
 def _all(key, batches):
@@ -271,12 +293,19 @@ def _dealt_out(prints: DataFrame):
 
 
 def chosen(prints: DataFrame) -> DataFrame:
-    """(a, b, full), a < b: the pairs that texts choose, and whether the choosing text may have met more."""
-    some = _dealt_out(prints.withColumn("label", F.col("id"))).applyInArrow(_iterated(_some), "a long, b long, kind long, value long")
-    some = some.groupBy("a", "b", "kind").agg(F.min("value").alias("value"))
+    """(a, b, a_full, b_full), a < b: the pairs that texts choose, and which of the two left partners untried."""
+    some = _dealt_out(prints.withColumn("label", F.col("id"))).applyInArrow(_iterated(_some), "a long, b long, kind long, value long, more long")
+    some = some.groupBy("a", "b", "kind").agg(F.min("value").alias("value"), F.max("more").alias("more"))
     by_text = Window.partitionBy("a", "kind")
-    some = some.withColumn("place", F.row_number().over(by_text.orderBy("value", "b"))).where(F.col("place") <= PARTNERS).withColumn("full", F.max("place").over(by_text) == PARTNERS)
-    return some.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("full").alias("full"))
+    placed = some.withColumn("place", F.row_number().over(by_text.orderBy("value", "b"))).withColumn("full", (F.count("*").over(by_text) > PARTNERS) | (F.max("more").over(by_text) > 0))
+    least = F.col("a") < F.col("b")
+    full = [F.max(F.when(side, F.col("full")).otherwise(False)).alias(name) for side, name in ((least, "a_full"), (~least, "b_full"))]
+    return placed.where(F.col("place") <= PARTNERS).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(*full)
+
+
+def _full(some: DataFrame) -> DataFrame:
+    """id of every text that left partners untried."""
+    return some.select(F.explode(F.array(F.when(F.col("a_full"), F.col("a")), F.when(F.col("b_full"), F.col("b")))).alias("id")).where("id IS NOT NULL").distinct()
 
 
 def _iterated(make):
@@ -355,12 +384,11 @@ def _within(key, batches):
 
 
 def _clusters(some: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
-    """cluster, id, fp, root and the cluster's size n of the texts whose cluster may hold links that nobody has tried."""
+    """cluster, id, fp, root, the cluster's size n, whether the text is full, and whether the cluster is open: holds full texts and isn't one component; of clusters that hold full texts."""
     cluster = components(some.select("a", "b")).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    named = cluster.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    full = some.where("full").select(F.explode(F.array("a", "b")).alias("id")).join(cluster, "id").select("cluster").distinct()
-    open_ = named.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").join(full, "cluster", "left_semi")
-    return named.join(open_.select("cluster", "n"), "cluster").join(prints, "id")
+    named = cluster.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(_full(some).withColumn("full", F.lit(True)), "id", "left").fillna(False, ["full"])
+    some_full = named.groupBy("cluster").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.max("full").alias("any")).where("any").drop("any")
+    return named.join(some_full, "cluster").where("full or open").join(prints, "id")
 
 
 def links(prints: DataFrame, marked: DataFrame) -> DataFrame:
@@ -372,14 +400,12 @@ def links(prints: DataFrame, marked: DataFrame) -> DataFrame:
 
     some = written(chosen(prints), "some")
     roots = components(tried(some.select("a", "b"), "links")).withColumnRenamed("node", "id")
-    if not some.where("full").limit(1).count():
-        return roots
-    open_ = written(_clusters(some, roots, prints), "open")
-    if not open_.limit(1).count():
+    if not some.where("a_full or b_full").limit(1).count():
         return roots
-    # Between clusters: pairs that neither text chose.
-    full = some.where("full").select(F.explode(F.array("a", "b")).alias("id")).distinct().join(open_.select("id", "fp", F.col("cluster").alias("label")), "id")
-    between = tried(written(_dealt_out(written(full, "full")).applyInArrow(_iterated(_all), "a long, b long").distinct(), "met"), "links-between")
+    named = written(_clusters(some, roots, prints), "clusters")
+    # Between clusters: met pairs of full texts.
+    between = tried(written(_dealt_out(named.where("full").select("id", "fp", F.col("cluster").alias("label"))).applyInArrow(_iterated(_all), "a long, b long").distinct(), "met"), "links-between")
+    open_ = named.where("open")
     # Within clusters: a grid of parts.
     parts = F.ceil(F.col("n") / CLUSTER_ROWS).cast("int")
     cells = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
