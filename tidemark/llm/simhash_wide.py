@@ -49,7 +49,7 @@ TASK_ROWS, PART_ROWS, DEAL = 120_000, 30_000, 4_000
 #: Texts of a cluster that are compared with as many others in one task.
 CLUSTER_ROWS = 2_000
 #: Of each kind, nearest and by hash, the partners that a text tries first; choices held in a task before they are merged.
-PARTNERS, HELD = 8, 300_000
+PARTNERS, HELD = 2, 300_000
 #: Homes of one component at an anchor from which texts of that component skip them.
 MANY = 64
 #: Fixed value: anchors of a block, the words of the Golay code; a word's upper 12 bits number it.
@@ -383,10 +383,23 @@ def _within(key, batches):
     yield _columns("a b", *(np.array([o[k] for o in out], np.int64) for k in (0, 1)))
 
 
+def _roots_joined(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, top) of the components that edges (a, b) make of components (id, root): a node without a root is its own."""
+    ends = edges.select("a", "b")
+    for c in "ab":
+        ends = ends.join(roots.select(F.col("id").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    return components(ends.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+
+def _rooted(tops: DataFrame, roots: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """id, root and, under a name, the top of every node of nodes (id)."""
+    named = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return named.join(tops, "root", "left").select("id", "root", F.coalesce("top", "root").alias(name))
+
+
 def _clusters(some: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
     """cluster, id, fp, root, the cluster's size n, whether the text is full, and whether the cluster is open: holds full texts and isn't one component; of clusters that hold full texts."""
-    cluster = components(some.select("a", "b")).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    named = cluster.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(_full(some).withColumn("full", F.lit(True)), "id", "left").fillna(False, ["full"])
+    named = _rooted(_roots_joined(some, roots), roots, some.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "cluster").join(_full(some).withColumn("full", F.lit(True)), "id", "left").fillna(False, ["full"])
     some_full = named.groupBy("cluster").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.max("full").alias("any")).where("any").drop("any")
     return named.join(some_full, "cluster").where("full or open").join(prints, "id")
 
@@ -412,8 +425,9 @@ def links(prints: DataFrame, marked: DataFrame) -> DataFrame:
     cells = cells.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
     sets = written(_sets(marked, open_.select("id")), "sets")
     within = written(cells.join(sets, "id").groupBy("cluster", "p", "q").applyInArrow(_iterated(_within), "a long, b long"), "links-within")
-    stars = roots.select(F.col("root").alias("a"), F.col("id").alias("b")).where("a < b")
-    return components(stars.union(between).union(within)).withColumnRenamed("node", "id")
+    more = between.union(within)
+    nodes = roots.select("id").union(more.select(F.explode(F.array("a", "b")))).distinct()
+    return _rooted(_roots_joined(more, roots), roots, nodes, "top").select("id", F.col("top").alias("root"))
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
