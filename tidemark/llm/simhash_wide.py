@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.buffers import blocks, mixed, ragged, text_buffer
-from tidemark.llm.shared import apart, finished, map_arrow, with_columns_from_text, written
+from tidemark.llm.shared import apart, map_arrow, with_columns_from_text, written
 from tidemark.llm.simhash import BLOCK, SEED, components, cosets, majorities, shingle_hashes, syndromes
 
 WORDS, WORDS_OF_64, BLOCKS, EXCESS, LEAST = 5, 4, 11, 1, 0.8
@@ -52,6 +52,8 @@ CLUSTER_ROWS = 2_000
 PARTNERS, HELD = 2, 300_000
 #: Homes of one component at an anchor from which texts of that component skip them.
 MANY = 64
+#: Ids that are broadcast at most, some 40 bytes each; more are joined by a shuffle.
+MOST_IDS = 500_000
 #: Fixed value: anchors of a block, the words of the Golay code; a word's upper 12 bits number it.
 ANCHORS = 4_096
 _BITS = BLOCK * BLOCKS
@@ -319,8 +321,17 @@ def _iterated(make):
     return run
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _among(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of df that nodes (id) names: they stay where they are if the ids, counted here, are few."""
+    return df.join(F.broadcast(nodes) if nodes.count() <= MOST_IDS else nodes, "id", "left_semi")
+
+
 def _sets(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id and its set, sorted hashes, of the texts named."""
+    """id and its set, sorted hashes, of the texts that nodes (id) names."""
 
     def make(batch):
         raw, offsets = text_buffer(batch.column(1))
@@ -328,7 +339,7 @@ def _sets(marked: DataFrame, nodes: DataFrame) -> DataFrame:
             values, by_text = shingle_sets(*shingle_hashes(part, at, WORDS, SEED))
             yield {"id": batch.column(0).slice(a, b - a), "set": [values[p:q].astype("<u8").tobytes() for p, q in zip(by_text, by_text[1:])]}
 
-    texts = marked.select("id", "text").join(nodes, "id", "left_semi")
+    texts = _among(marked.select("id", "text"), nodes)
     return map_arrow(texts.groupBy("id").agg(F.first("text").alias("text")), make, "id long, set binary")
 
 
@@ -399,32 +410,29 @@ def _rooted(tops: DataFrame, roots: DataFrame, nodes: DataFrame, name: str) -> D
 
 def _clusters(some: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
     """cluster, id, fp, root, the cluster's size n, whether the text is full, and whether the cluster is open: holds full texts and isn't one component; of clusters that hold full texts."""
-    named = _rooted(_roots_joined(some, roots), roots, some.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "cluster").join(_full(some).withColumn("full", F.lit(True)), "id", "left").fillna(False, ["full"])
+    named = _rooted(_roots_joined(some, roots), roots, _ends(some), "cluster").join(_full(some).withColumn("full", F.lit(True)), "id", "left").fillna(False, ["full"])
     some_full = named.groupBy("cluster").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"), F.max("full").alias("any")).where("any").drop("any")
     return named.join(some_full, "cluster").where("full or open").join(prints, "id")
 
 
 def links(prints: DataFrame, marked: DataFrame) -> DataFrame:
     """(id, root) of the components of all links of the distinct texts (id, fp) of marked (id, text)."""
-    spark = prints.sparkSession
-
-    def tried(edges: DataFrame, name: str) -> DataFrame:
-        return finished(spark, lambda: verified(edges, _sets(marked, edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct())), name)
-
     some = written(chosen(prints), "some")
-    roots = components(tried(some.select("a", "b"), "links")).withColumnRenamed("node", "id")
+    # All that is compared below, too, is among the texts of these pairs.
+    sets = written(_sets(marked, written(_ends(some), "nodes")), "sets")
+    roots = components(written(verified(some.select("a", "b"), sets), "links")).withColumnRenamed("node", "id")
     if not some.where("a_full or b_full").limit(1).count():
         return roots
     named = written(_clusters(some, roots, prints), "clusters")
     # Between clusters: met pairs of full texts.
-    between = tried(written(_dealt_out(named.where("full").select("id", "fp", F.col("cluster").alias("label"))).applyInArrow(_iterated(_all), "a long, b long").distinct(), "met"), "links-between")
+    met = written(_dealt_out(named.where("full").select("id", "fp", F.col("cluster").alias("label"))).applyInArrow(_iterated(_all), "a long, b long").distinct(), "met")
+    between = written(verified(met, _among(sets, _ends(met))), "links-between")
     open_ = named.where("open")
     # Within clusters: a grid of parts.
     parts = F.ceil(F.col("n") / CLUSTER_ROWS).cast("int")
     cells = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     cells = cells.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
-    sets = written(_sets(marked, open_.select("id")), "sets")
-    within = written(cells.join(sets, "id").groupBy("cluster", "p", "q").applyInArrow(_iterated(_within), "a long, b long"), "links-within")
+    within = written(cells.join(_among(sets, open_.select("id")), "id").groupBy("cluster", "p", "q").applyInArrow(_iterated(_within), "a long, b long"), "links-within")
     more = between.union(within)
     nodes = roots.select("id").union(more.select(F.explode(F.array("a", "b")))).distinct()
     return _rooted(_roots_joined(more, roots), roots, nodes, "top").select("id", F.col("top").alias("root"))
@@ -446,7 +454,7 @@ def deduplicated(df: DataFrame) -> DataFrame:
     # Only texts that stand in several rows, or aren't their component's only one, can go.
     shared = named.join(best, "root").where((F.col("n") > 1) | ~F.col("least").eqNullSafe(F.col("best"))).select("id", "best")
     losing = written(marked.select("doc", "id").join(shared, "id").where(F.col("best").isNotNull() & ~F.col("doc").eqNullSafe(F.col("best"))).select("doc", "id").distinct(), "losing")
-    few = losing.count() <= 500_000  # some 40 bytes each: a checked bound
+    few = losing.count() <= MOST_IDS
     gone = (F.broadcast(losing) if few else losing).select(F.col("doc").alias("gone_doc"), F.col("id").alias("gone_id"))
     kept = marked.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("id") == F.col("gone_id")), "left_anti")
     if marked.groupBy("doc", "id").count().where("count > 1").limit(1).count():
