@@ -303,3 +303,18 @@ def test_pumps_need_a_trough_before_the_peak_and_an_ignition(spark):
     df = spark.createDataFrame(data, "symbol string, day date, close double, high double, low double")
     got = [(r["symbol"], r["i"], str(r["ignite"])) for r in rows(events.greedy_pumps(df))]
     assert got == [("plain", 77, "2024-03-16")]
+
+
+def test_granularity_fallback_with_prices_of_zero(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import registry
+
+    prices = {1: [0.0, 3.0], 2: [0.0, 0.0], 3: [2.0, 0.0], 4: [0.0], 5: [3.2, 41.51], 6: [None, None], 7: [5.0]}  # 41.51 / 3.2 lies at a half
+    data = [(10 * u + i, datetime.datetime(2024, 1, 1, 0, i), u, "view", v, "{}") for u, values in prices.items() for i, v in enumerate(values)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()["e02_granularity_fallback"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["e02_granularity_fallback"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 7
+    assert {r[0]: str(r[3]) for r in got} == {1: "inf", 2: "nan", 3: "1.0", 4: "nan", 5: str(want[[w[0] for w in want].index(5)][3]), 6: "None", 7: "1.0"}

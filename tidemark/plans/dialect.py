@@ -13,6 +13,8 @@ MACROS: dict[str, tuple[str, str]] = {
     "ms": ("unix_millis(CAST({0} AS TIMESTAMP))", "(epoch_us({0}) // 1000)"),
     "hour": ("(unix_millis(CAST({0} AS TIMESTAMP)) div 3600000) * 3600000", "(epoch_us({0}) // 3600000000) * 3600000"),
     "div": ("({0} div {1})", "({0} // {1})"),
+    # Of doubles, by zero too: infinite, or NaN for zero by zero.
+    "over": ("CASE WHEN {1} = 0 THEN {0} * power({1}, -1) ELSE {0} / {1} END", "{0} / {1}"),
     "min_by": ("min_by({0}, struct({1}))", "arg_min({0}, ({1}))"),
     "max_by": ("max_by({0}, struct({1}))", "arg_max({0}, ({1}))"),
     "pct": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
@@ -26,6 +28,8 @@ MACROS: dict[str, tuple[str, str]] = {
     "int": ("CAST({0} AS BIGINT)", "CAST({0} AS BIGINT)"),
     "try_double": ("try_cast({0} AS DOUBLE)", "TRY_CAST({0} AS DOUBLE)"),
     "r": ("(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))"),
+    # As r, but halves are found by doubles on both sides: Spark's own round goes by decimal digits.
+    "r_half": ("(round(CAST({0} AS DOUBLE) * 100000) / 100000 + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 5) + CAST(0 AS DOUBLE))"),
     "list": ("sort_array(collect_list({0}))", "list_sort(list({0}))"),
     "r6": ("(round(CAST({0} AS DOUBLE), 6) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 6) + CAST(0 AS DOUBLE))"),
     "r8": ("(round(CAST({0} AS DOUBLE), 8) + CAST(0 AS DOUBLE))", "(round(CAST({0} AS DOUBLE), 8) + CAST(0 AS DOUBLE))"),

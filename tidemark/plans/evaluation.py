@@ -7,7 +7,7 @@ SQL: dict[str, str] = {}
 _FOLD = "CASE WHEN doc_id % 100 < 40 THEN 0 WHEN doc_id % 100 < 60 THEN 1 WHEN doc_id % 100 < 80 THEN 2 ELSE 3 END"
 
 # ---- outcomes and coverage
-SQL["e02_granularity_fallback"] = "WITH f AS (SELECT symbol, ts_ms, high / open AS t FROM user_bars WHERE trades > 1), c AS (SELECT symbol, $div(ts_ms; 86400000) * 86400000 AS d, max(high) / min(low) AS t FROM user_bars GROUP BY 1, 2) SELECT u.symbol, u.ts_ms, CASE WHEN f.t IS NOT NULL THEN 'fine' WHEN c.t IS NOT NULL THEN 'coarse' ELSE 'none' END AS granularity, $r(coalesce(f.t, c.t)) AS touch FROM user_bars u LEFT JOIN f ON f.symbol = u.symbol AND f.ts_ms = u.ts_ms LEFT JOIN c ON c.symbol = u.symbol AND c.d = $div(u.ts_ms; 86400000) * 86400000"
+SQL["e02_granularity_fallback"] = "WITH f AS (SELECT symbol, ts_ms, $over(high; open) AS t FROM user_bars WHERE trades > 1), c AS (SELECT symbol, $div(ts_ms; 86400000) * 86400000 AS d, $over(max(high); min(low)) AS t FROM user_bars GROUP BY 1, 2) SELECT u.symbol, u.ts_ms, CASE WHEN f.t IS NOT NULL THEN 'fine' WHEN c.t IS NOT NULL THEN 'coarse' ELSE 'none' END AS granularity, $r_half(coalesce(f.t, c.t)) AS touch FROM user_bars u LEFT JOIN f ON f.symbol = u.symbol AND f.ts_ms = u.ts_ms LEFT JOIN c ON c.symbol = u.symbol AND c.d = $div(u.ts_ms; 86400000) * 86400000"
 SQL["e04_proxy_labels"] = "WITH h AS (SELECT symbol, $div(ts_ms; 3600000) AS hour_idx, CASE WHEN trades >= 7 THEN 1 ELSE 0 END AS starts FROM bars) SELECT symbol, hour_idx, coalesce(max(starts) OVER (PARTITION BY symbol ORDER BY hour_idx RANGE BETWEEN 1 FOLLOWING AND 24 FOLLOWING), 0) AS e FROM h"
 SQL["e05_horizon_returns"] = "WITH x AS (SELECT symbol, day, close, low, high, min(day) OVER f AS d0, max(high) OVER f AS mfe, min(low) OVER f AS mae, $plus_days(day, 7) AS target FROM daily WINDOW f AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)) SELECT x.symbol, $ymd(x.day) AS day, $r(t.close / nullif(x.close, 0) - 1) AS ret7, $r(x.mfe / nullif(x.close, 0) - 1) AS mfe, $r(x.mae / nullif(x.close, 0) - 1) AS mae FROM x LEFT JOIN daily t ON t.symbol = x.symbol AND t.day = x.target"
 SQL["e06_event_tradability"] = "WITH e AS (SELECT symbol, ts_ms AS t0, close AS p0 FROM bars WHERE trades >= 7), p AS (SELECT e.symbol, e.t0, e.p0, b.ts_ms, b.high, b.low, b.close, b.volume FROM e JOIN bars b ON b.symbol = e.symbol AND b.ts_ms BETWEEN e.t0 AND e.t0 + 86400000) SELECT symbol, t0, count(*) AS hours, $int(sum(CASE WHEN low <= p0 THEN 1 ELSE 0 END)) AS fillable, $r(max(volume) / nullif(sum(volume), 0)) AS spike_share, $r(min(CASE WHEN high >= 2 * p0 THEN (ts_ms - t0) / 3600000.0 END)) AS hours_to_double FROM p GROUP BY 1, 2"
