@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -579,3 +580,33 @@ def test_choices_tell_who_left_partners_untried(monkeypatch):
             assert mine == seen[x] or more[a == x].all()
             cut |= {x} if more[a == x].all() else set()
     assert len(cut) == 12
+
+
+def test_suffix_tree_holds_a_large_group_once():
+    rng = np.random.default_rng(3)
+    n, parts = 30_000, 8
+    blobs, want = [], []
+    for _ in range(parts):
+        near = np.sort(rng.integers(1, 4, n))
+        far = rng.integers(0, 5_000, n)
+        far = far[np.lexsort((far, near))]
+        symbol = rng.integers(0, 3_000, n)
+        w = suffix_tree.Windows.__new__(suffix_tree.Windows)
+        w.columns, w.counts = [near, far, far % 7, symbol], rng.integers(0, 9, n).astype("<i4")
+        w.numbers, w.times = np.arange(3_000), np.arange(3_000) * 2
+        blob, symbols = w.blob(np.arange(n))
+        blobs.append((blob, n, symbols))
+        want.append([near, far, far % 7, symbol, symbol * 2, w.counts])
+    rows = pa.table({"windows": pa.array([b for b, _, _ in blobs], pa.binary()), "rows": [m for _, m, _ in blobs], "symbols": [k for _, _, k in blobs]})
+    tracemalloc.start()
+    columns = suffix_tree._group(rows, np.arange(parts + 1) * n, 3)
+    _, peak = tracemalloc.get_traced_memory()
+    assert all((a == np.concatenate(b)).all() for a, b in zip(columns, zip(*want)))
+    assert peak < 1.5 * sum(c.nbytes for c in columns)
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    first, which = suffix_tree.paired(columns[0], columns[1])
+    assert tracemalloc.get_traced_memory()[1] - held < 36 * n * parts
+    tracemalloc.stop()
+    _, index, inverse = np.unique(columns[0] * 10_000 + columns[1], return_index=True, return_inverse=True)
+    assert (first == index).all() and (which == inverse).all()

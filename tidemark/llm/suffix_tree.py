@@ -155,11 +155,22 @@ def numbered(parts: DataFrame, counts: DataFrame, tokens: int, types: int) -> Da
 
 
 def paired(g: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each (g, x) the first place and which one of the sorted ones it is; both are at least zero."""
-    if len(g) and int(g.max() + 1) * int(x.max() + 1) >= 2**63:
+    """Of each (g, x) the first place and which one of the sorted ones it is; both are at least zero.
+
+    As numpy's unique, in half its memory: a group of a common word holds millions.
+    """
+    if len(g) and (int(g.max()) + 1) * (int(x.max()) + 1) >= 2**63:
         x = np.unique(x, return_inverse=True)[1]
         g = np.unique(g, return_inverse=True)[1]
-    return np.unique(g * (int(x.max(initial=0)) + 1) + x, return_index=True, return_inverse=True)[1:]
+    key = g * np.int64(int(x.max(initial=0)) + 1) + x
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    del key
+    first = order[new]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return first, which
 
 
 class Windows:
@@ -214,7 +225,16 @@ def _opened(blob: bytes, rows: int, symbols: int, depth: int) -> list[np.ndarray
     if depth > 1:
         sums, opens = np.cumsum(before[1]), np.diff(before[0], prepend=-1) != 0
         before[1] = sums - (sums - before[1])[opens][np.cumsum(opens) - 1]
-    return [*before, np.cumsum(names)[s], times[s], counts.astype(np.int64)]
+    return [*before, np.cumsum(names)[s], times[s], counts]
+
+
+def _group(rows: pa.Table, at: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Columns of a group's windows: each blob is opened into its place, so that none is held twice."""
+    columns = [np.empty(at[-1], kind) for kind in ["<i8"] * (depth + 2) + ["<i4"]]
+    for a, b, blob, symbols in zip(at, at[1:], rows["windows"], rows["symbols"].to_pylist()):
+        for column, part in zip(columns, _opened(blob.as_py(), int(b - a), symbols, depth)):
+            column[a:b] = part
+    return columns
 
 
 def extended(p: np.ndarray, context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, on: np.ndarray, least: int) -> np.ndarray:
@@ -269,16 +289,17 @@ def fitted(asks: DataFrame, size: int, depth: int, least: int) -> DataFrame:
     """What the states of each window's contexts add to its base score, by chunk and group; ``size``: the root's denominator."""
 
     def answer(rows: pa.Table) -> pa.Table:
-        parts = [_opened(*x, depth) for x in zip(*(rows[c].to_pylist() for c in ("windows", "rows", "symbols")))]
-        at = np.append(0, np.cumsum(rows["rows"].to_numpy()))
-        *before, symbol, times, counts = (np.concatenate(x) for x in zip(*parts))
-        del parts
+        at = np.append(0, np.cumsum(rows["rows"].to_numpy(), dtype=np.int64))
+        *before, symbol, times, counts = _group(rows, at, depth)
         # a symbol without a number gets a factor of whatever its base probability is
         root = np.where(symbol == NONE, 1.0, (times + 1) / size)
-        p, context = root, np.zeros(len(symbol), np.int64)
-        for x in before:
-            context = paired(context, x)[1]
-            p = extended(p, context, symbol, counts, np.flatnonzero(x != NONE), least)
+        del times
+        p, context = root, np.zeros(len(symbol), np.int32)
+        while before:  # a column goes when it was read
+            x = before.pop(0)
+            context, on = paired(context, x)[1], np.flatnonzero(x != NONE)
+            del x
+            p = extended(p, context, symbol, counts, on, least)
         adds = np.rint(np.log10(p / root) / STEP).astype("<i4")
         return pa.table({"chunk": rows["chunk"], "span": rows["span"], **_tallied([adds[a:b] for a, b in zip(at, at[1:])])})
 
