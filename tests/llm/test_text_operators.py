@@ -610,3 +610,11 @@ def test_suffix_tree_holds_a_large_group_once():
     tracemalloc.stop()
     _, index, inverse = np.unique(columns[0] * 10_000 + columns[1], return_index=True, return_inverse=True)
     assert (first == index).all() and (which == inverse).all()
+
+
+def test_rounds_of_components_broadcast_nothing(spark):
+    links = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (5, 6)], "a long, b long")
+    least = simhash._with_least(links)
+    assert {tuple(r) for r in least.collect()} == {(1, 2, 2), (1, 3, 2), (1, 4, 2), (5, 6, 6)}
+    assert "Broadcast" not in least._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in simhash.components(links).collect()} == {(2, 1), (3, 1), (4, 1), (1, 1), (6, 5), (5, 5)}

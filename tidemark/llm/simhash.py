@@ -166,11 +166,15 @@ SALTS = 64
 
 
 def _with_least(links_: DataFrame) -> DataFrame:
-    """Links (a, b) with m, the least b of each a; a hub's links are never in one task: minima go by part, then by node, and come back by part."""
+    """Links (a, b) with m, the least b of each a; a hub's links are never in one task: minima go by part, then by node, and come back by part.
+
+    Both joins are merged where their rows lie: the rounds of small links would else broadcast one
+    table after another, each with a thread and blocks of the driver.
+    """
     salted = links_.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("a", "part").agg(F.min("b").alias("m"))
-    low = parts.join(parts.groupBy("a").agg(F.min("m").alias("least")), "a").select("a", "part", F.col("least").alias("m"))
-    return salted.join(low, ["a", "part"]).select("a", "b", "m")
+    low = parts.join(parts.groupBy("a").agg(F.min("m").alias("least")).hint("merge"), "a").select("a", "part", F.col("least").alias("m"))
+    return salted.join(low.hint("merge"), ["a", "part"]).select("a", "b", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
