@@ -618,3 +618,21 @@ def test_rounds_of_components_broadcast_nothing(spark):
     assert {tuple(r) for r in least.collect()} == {(1, 2, 2), (1, 3, 2), (1, 4, 2), (5, 6, 6)}
     assert "Broadcast" not in least._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in simhash.components(links).collect()} == {(2, 1), (3, 1), (4, 1), (1, 1), (6, 5), (5, 5)}
+
+
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in rng.sample(range(400, 500), 100)]
+    pairs = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+    above = {x: x for p in pairs for x in p}
+    for _ in above:
+        for a, b in pairs:
+            above[a] = above[b] = min(above[a], above[b])
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    made, round_ = [], simhash._round
+    monkeypatch.setattr(simhash, "_round", lambda edges: made.append(1) or round_(edges))
+    assert {tuple(r) for r in simhash.components(links).collect()} == set(above.items()) and not made
+    monkeypatch.setattr(simhash, "TASK_LINKS", 20)  # many tasks, and more stars in a task than it may hold
+    got = [tuple(r) for r in simhash.components(links).collect()]
+    assert set(got) == set(above.items()) and len(got) == len(above) and made
+    assert not simhash.components(links.limit(0)).collect()

@@ -11,8 +11,8 @@ and copies meet homes only at equal anchors, where all 64 bits are compared.  No
 within the threshold is missed, and none is found by chance.
 
 Only distinct fingerprints are compared: exact copies, however many, are one row.  Links
-become components by alternating large and small stars, every round written to the shared
-folder.
+become components in the tasks that have them, then across tasks by alternating large and
+small stars, every round written to the shared folder.
 
 Defined results: texts without a word have fingerprint 0 and are linked like any other;
 fewer words than a shingle make one shingle; repeated rows keep their rows; null doc_ids
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.buffers import ascii_lower, blocks, ragged, text_buffer, word_spans
-from tidemark.llm.shared import finished, map_arrow, written
+from tidemark.llm.shared import map_arrow, map_batches, written
 from tidemark.llm.xxh import xxh64
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
@@ -177,26 +177,79 @@ def _with_least(links_: DataFrame) -> DataFrame:
     return salted.join(low.hint("merge"), ["a", "part"]).select("a", "b", "m")
 
 
+#: Links that a task joins by itself.
+TASK_LINKS = 500_000
+
+
+def least_joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, in order, and of each the smallest node that it is joined to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    above = np.arange(len(nodes))
+    while True:
+        x, y = above[x], above[y]
+        on = x != y
+        x, y = x[on], y[on]
+        if not len(x):
+            return nodes, nodes[above]
+        np.minimum.at(above, np.maximum(x, y), np.minimum(x, y))
+        while (above != above[above]).any():
+            above = above[above]
+
+
+def _joined(links_: DataFrame, tasks: int) -> DataFrame:
+    """Links (a, b), a > b, that join the same nodes: each task's own become stars, of some TASK_LINKS links at once."""
+
+    def run(batches):
+        held, size = [np.zeros((2, 0), np.int64)], 0
+
+        def stars():
+            node, root = least_joined(*np.concatenate(held, 1))
+            return np.stack([node, root])[:, node != root]
+
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in (0, 1)]))
+            size += batch.num_rows
+            if size > 2 * TASK_LINKS:
+                held = [stars()]
+                size = held[0].shape[1]
+                if size > TASK_LINKS:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["a", "b"])
+                    held, size = [held[0][:, :0]], 0
+        yield pa.RecordBatch.from_arrays([*map(pa.array, stars())], ["a", "b"])
+
+    return map_batches(links_.coalesce(tasks), run, "a long, b long")
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large and a small star of the links (a, b)."""
+    both = _with_least(edges.union(edges.select("b", "a"))).withColumn("m", F.least("m", "a"))
+    large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    small = _with_least(down)
+    return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(small.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node below a root has one link, and no root is below another."""
+    ends = edges.select("a", F.lit(1).alias("below"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("a").agg(F.sum("below").alias("below"), F.max("root").alias("root")).where("below > 1 OR (below > 0 AND root > 0)").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
-    Large and small stars in turn, each round a table, until the links are stars: every node
-    below a root has one link, and no root is below another.
+    Each task makes stars of the links that it has, then a large and a small star join those of
+    different tasks, each time a table, until all are stars.  As many links as one task joins
+    take no round.  No step makes an end of a link larger or adds links, so the rounds end.
     """
-    spark = edges.sparkSession
     edges = written(edges.select("a", "b"), "links")
     while True:
-
-        def rounds(edges=edges):
-            both = _with_least(edges.union(edges.select("b", "a"))).withColumn("m", F.least("m", "a"))
-            large = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-            down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            small = _with_least(down)
-            return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(small.select("a", F.col("m").alias("b"))).distinct()
-
-        edges = finished(spark, rounds, "star")
-        ends = edges.select("a", F.lit(1).alias("below"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
-        if not ends.groupBy("a").agg(F.sum("below").alias("below"), F.max("root").alias("root")).where("below > 1 OR (below > 0 AND root > 0)").limit(1).count():
+        tasks = max(1, -(-edges.count() // TASK_LINKS))
+        edges = written(_joined(edges, tasks), "joined")
+        if tasks > 1:
+            edges = written(_round(edges), "star")
+        if tasks == 1 or _are_stars(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

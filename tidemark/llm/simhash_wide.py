@@ -420,7 +420,7 @@ def links(prints: DataFrame, marked: DataFrame) -> DataFrame:
     some = written(chosen(prints), "some")
     # All that is compared below, too, is among the texts of these pairs.
     sets = written(_sets(marked, written(_ends(some), "nodes")), "sets")
-    roots = components(written(verified(some.select("a", "b"), sets), "links")).withColumnRenamed("node", "id")
+    roots = components(verified(some.select("a", "b"), sets)).withColumnRenamed("node", "id")
     if not some.where("a_full or b_full").limit(1).count():
         return roots
     named = written(_clusters(some, roots, prints), "clusters")
