@@ -334,3 +334,34 @@ def test_stale_tail_follows_the_full_time(spark, tmp_path):
     want = con.execute(registry.oracle_sql()["c09_stale_tail"]).fetchall()
     got = [tuple(r) for r in registry.queries()["c09_stale_tail"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and sorted(r[2] for r in got) == [-1, 0, 0, 1, 2, 3]
+
+
+def _events_table(spark, path, data):
+    """data: event_id, microseconds, user_id, event_type, value."""
+    began = datetime.datetime(2024, 1, 1)
+    made = [(i, began + datetime.timedelta(microseconds=us), u, kind, v, "{}") for i, us, u, kind, v in data]
+    spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+def test_derivative_score_takes_the_last_of_one_time_not_the_greatest_change(spark, tmp_path):
+    from tidemark.plans import engine
+
+    hour = 3_600_000_000
+    data = [(0, 0, 0, "purchase", 10.0)] + [(i, 100 * hour + i * 1_000_000, 0, "purchase", 10.0) for i in range(1, 199)]
+    # The base is among the last 200 of the first of these two, not of the second.
+    data += [(199, 110 * hour, 0, "purchase", 20.0), (200, 110 * hour + 100, 0, "purchase", 20.0)]
+    data += [(300, 110 * hour + 10, 0, "signup", 90.0), (301, 110 * hour + 20, 0, "signup", 10.0)]  # ratios 1.8, then 0.2
+    data += [(400, 111 * hour, 0, "error", 1.0)]
+    got = rows(engine.c04_derivative_score(spark, _events_table(spark, tmp_path, data)))
+    assert [(r["score_deriv"], r["deriv_status"]) for r in got] == [(3, "partial")]
+
+
+def test_changes_of_one_time_count_by_place(spark):
+    q = spark.createDataFrame([("A", 7)], "symbol string, ts_ms long")
+    o = spark.createDataFrame([("A", 5, 1, 0.9), ("A", 5, 2, 0.1), ("A", 5, 0, None)], "symbol string, ts_ms long, place long, chg double")
+    for parts in (1, 3):
+        assert [r["chg"] for r in rows(asof.backward(q, o.repartition(parts), ["chg"], order=["place"]))] == [0.1]
+    repeated = [("A", i * HR, 100.0) for i in range(30)] + [("A", 60 * HR, 150.0)] * 2 + [("A", 61 * HR, 100.0)]
+    df = spark.createDataFrame(repeated, "symbol string, ts_ms long, value double")
+    assert [r["place"] for r in rows(asof.bounded_changes(df, "value", 200, place="place"), "place")] == list(range(1, 34))

@@ -65,8 +65,8 @@ def derivative_score(changes: DataFrame, ratio: str, weights: Weights = Weights(
 
 def at_decisions(decisions: DataFrame, interest: DataFrame, ratios: DataFrame, lag_ms: int = 0, rows: int = 200, least: int = 25, weights: Weights = Weights()) -> DataFrame:
     """decisions (symbol, ts_ms) with what bounded as-of lookups give, and the derivative score."""
-    changes = asof.bounded_changes(interest, "value", rows, least)
-    first = asof.backward(decisions, changes, ["n_valid", "adopted", "chg_24", "chg_72", "stale"], lag_ms=lag_ms).drop("obs_ms")
+    changes = asof.bounded_changes(interest, "value", rows, least, place="place")
+    first = asof.backward(decisions, changes, ["n_valid", "adopted", "chg_24", "chg_72", "stale"], lag_ms=lag_ms, order=["place"]).drop("obs_ms")
     both = asof.backward(first, ratios.where(F.col("ratio").isNotNull() & ~F.isnan("ratio")), ["ratio"], lag_ms=lag_ms).drop("obs_ms")
     return derivative_score(both, "ratio", weights)
 
