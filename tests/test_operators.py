@@ -365,3 +365,17 @@ def test_changes_of_one_time_count_by_place(spark):
     repeated = [("A", i * HR, 100.0) for i in range(30)] + [("A", 60 * HR, 150.0)] * 2 + [("A", 61 * HR, 100.0)]
     df = spark.createDataFrame(repeated, "symbol string, ts_ms long, value double")
     assert [r["place"] for r in rows(asof.bounded_changes(df, "value", 200, place="place"), "place")] == list(range(1, 34))
+
+
+def test_granularity_fallback_opens_at_the_first_known_price(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import registry
+
+    prices = {1: [None, 4.0, 8.0], 2: [5.0, None], 3: [None, 2.0], 4: [None, None]}
+    d = _events_table(spark, tmp_path, [(10 * u + i, i, u, "view", v) for u, values in prices.items() for i, v in enumerate(values)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()["e02_granularity_fallback"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["e02_granularity_fallback"](spark, d).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r[0]: r[2:] for r in got} == {1: ("fine", 2.0), 2: ("fine", 1.0), 3: ("fine", 1.0), 4: ("none", None)}

@@ -15,8 +15,9 @@ MACROS: dict[str, tuple[str, str]] = {
     "div": ("({0} div {1})", "({0} // {1})"),
     # Of doubles, by zero too: infinite, or NaN for zero by zero.
     "over": ("CASE WHEN {1} = 0 THEN {0} * power({1}, -1) ELSE {0} / {1} END", "{0} / {1}"),
-    "min_by": ("min_by({0}, struct({1}))", "arg_min({0}, ({1}))"),
-    "max_by": ("max_by({0}, struct({1}))", "arg_max({0}, ({1}))"),
+    # The first and the last known value: nulls don't count.
+    "min_by": ("min_by({0}, CASE WHEN {0} IS NOT NULL THEN struct({1}) END)", "arg_min({0}, ({1}))"),
+    "max_by": ("max_by({0}, CASE WHEN {0} IS NOT NULL THEN struct({1}) END)", "arg_max({0}, ({1}))"),
     "pct": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "k": ("CAST(get_json_object({0}, '$.k') AS INT)", "CAST(json_extract_string({0}, '$.k') AS INTEGER)"),
     "day": ("CAST({0} AS DATE)", "CAST({0} AS DATE)"),
