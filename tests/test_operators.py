@@ -339,7 +339,7 @@ def test_stale_tail_follows_the_full_time(spark, tmp_path):
 def _events_table(spark, path, data):
     """data: event_id, microseconds, user_id, event_type, value."""
     began = datetime.datetime(2024, 1, 1)
-    made = [(i, began + datetime.timedelta(microseconds=us), u, kind, v, "{}") for i, us, u, kind, v in data]
+    made = [(i, None if us is None else began + datetime.timedelta(microseconds=us), u, kind, v, "{}") for i, us, u, kind, v in data]
     spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(path / "events.parquet"))
     return str(path)
 
@@ -379,3 +379,27 @@ def test_granularity_fallback_opens_at_the_first_known_price(spark, tmp_path):
     got = [tuple(r) for r in registry.queries()["e02_granularity_fallback"](spark, d).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert {r[0]: r[2:] for r in got} == {1: ("fine", 2.0), 2: ("fine", 1.0), 3: ("fine", 1.0), 4: ("none", None)}
+
+
+_TIED = [(1, 1000, 0, "purchase", 9.0), (2, 1400, 0, "purchase", 2.0), (3, 1400, 0, "purchase", 1.5), (4, 1100, 0, "purchase", 4.0), (10, 500, 0, "error", 0.0), (11, 3_600_001_900, 0, "error", 0.0), (12, 3_600_000_000, 0, "error", 0.0)]
+
+
+def test_publish_lag_takes_the_later_of_one_millisecond(spark, tmp_path):
+    from tidemark.plans import engine
+
+    got = {r["event_id"]: r["value"] for r in rows(engine.p07_publish_lag(spark, _events_table(spark, tmp_path, _TIED)))}
+    assert got == {10: None, 11: 1.5, 12: None}
+
+
+def test_publish_lag_of_null_users_and_times_meets_nothing(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import registry
+
+    data = [(1, 0, None, "purchase", 7.0), (2, 7_200_000_000, None, "error", 1.0), (3, None, 0, "purchase", 8.0), (4, 7_200_000_000, 0, "error", 1.0), (5, None, 0, "error", 1.0), (6, 0, 1, "purchase", 6.0), (7, 7_200_000_000, 1, "error", 1.0)]
+    d = _events_table(spark, tmp_path, data)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
+    for name in ("p07_publish_lag",):
+        want = con.execute(registry.oracle_sql()[name]).fetchall()
+        got = [tuple(r) for r in registry.queries()[name](spark, d).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4

@@ -11,6 +11,7 @@ from tidemark.operators import asof, events, halo, intervals, outcomes, scoring,
 from tidemark.plans import dialect, evaluation
 from tidemark.plans.domain import domain, sql
 
+_FULL_TIME = ["ts", "event_id"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,6 +28,11 @@ def query(oracle: str | None):
     return add
 
 
+def _timed(observations: str) -> str:
+    """The same rows with their full time, which says what is later within a millisecond."""
+    return observations.replace(" FROM events", f", {', '.join(_FULL_TIME)} FROM events")
+
+
 def r(c: str | Column, places: int = 5) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), places) + F.lit(0.0)
 
@@ -34,7 +40,6 @@ def r(c: str | Column, places: int = 5) -> Column:
 _INTEREST = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value FROM events WHERE event_type = 'purchase'"
 _RATIOS = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, value / 50 AS ratio FROM events WHERE event_type = 'signup'"
 _DECISIONS = "SELECT user_id % 20 AS symbol, $ms(ts) AS ts_ms, event_id FROM events WHERE event_type = 'error'"
-_FULL_TIME = ["ts", "event_id"]
 _EMA = "list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 238 PRECEDING AND CURRENT ROW), lambda a, x: a + (x - a) * CAST(2.0 / 51 AS DOUBLE))"
 _BOX = f"""x AS (SELECT symbol, ts_ms, close, count(*) OVER u AS n, CASE WHEN count(high) OVER b = 24 THEN max(high) OVER b END AS box_high, CASE WHEN count(low) OVER b = 24 THEN min(low) OVER b END AS box_low,
  CASE WHEN count(volume) OVER w24 = 24 THEN sum(volume) OVER w24 END AS v24, CASE WHEN count(volume) OVER p24 = 24 THEN sum(volume) OVER p24 END AS prev24, {_EMA} AS ema FROM bars
@@ -99,7 +104,7 @@ def j07_asof_backward(spark, d):
 
 @query(f"WITH o AS ({_INTEREST}), q AS (SELECT symbol, ts_ms, event_id, ts_ms - 3600000 AS cut FROM ({_DECISIONS}) z) SELECT q.symbol, q.ts_ms, q.event_id, $r(o.value) AS value FROM q ASOF LEFT JOIN o ON o.symbol = q.symbol AND o.ts_ms <= q.cut")
 def p07_publish_lag(spark, d):
-    return asof.backward(sql(spark, d, _DECISIONS), sql(spark, d, _INTEREST), ["value"], lag_ms=3_600_000).select("symbol", "ts_ms", "event_id", r("value").alias("value"))
+    return asof.backward(sql(spark, d, _DECISIONS), sql(spark, d, _timed(_INTEREST)), ["value"], lag_ms=3_600_000, order=_FULL_TIME).select("symbol", "ts_ms", "event_id", r("value").alias("value"))
 
 
 @query(f"WITH o AS ({_INTEREST}), q AS ({_DECISIONS}) SELECT q.symbol, q.ts_ms, q.event_id, o.ts_ms AS obs_ms, $r(o.value) AS value FROM q ASOF LEFT JOIN o ON o.symbol = q.symbol AND o.ts_ms >= q.ts_ms")
@@ -107,11 +112,6 @@ def j09_asof_forward(spark, d):
     return asof.forward(sql(spark, d, _DECISIONS), sql(spark, d, _INTEREST), ["value"]).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
 
 
-def _timed(observations: str) -> str:
-    """The same rows with their full time, which says what is later within a millisecond."""
-    return observations.replace(" FROM events", f", {', '.join(_FULL_TIME)} FROM events")
-
-
 _BOUNDED = f"""o AS (SELECT symbol, ts_ms, value, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms, value) AS i FROM ({_INTEREST}) z),
  v AS (SELECT a.symbol, a.ts_ms, a.i, a.value, b.ts_ms AS t, b.value AS x, b.i AS bi FROM o a JOIN o b ON b.symbol = a.symbol AND b.i BETWEEN a.i - 199 AND a.i AND b.value > 5),
  l AS (SELECT symbol, ts_ms, i, value, count(*) AS n_valid, max(t) AS adopted_ms, arg_max(x, t) AS adopted, max(bi) AS last_i FROM v GROUP BY 1, 2, 3, 4),
