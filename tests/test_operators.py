@@ -391,7 +391,15 @@ def test_publish_lag_takes_the_later_of_one_millisecond(spark, tmp_path):
     assert got == {10: None, 11: 1.5, 12: None}
 
 
-def test_publish_lag_of_null_users_and_times_meets_nothing(spark, tmp_path):
+def test_asof_backward_takes_the_later_of_one_millisecond(spark, tmp_path):
+    from tidemark.plans import engine
+
+    got = {r["event_id"]: (r["obs_ms"], r["value"]) for r in rows(engine.j07_asof_backward(spark, _events_table(spark, tmp_path, _TIED)))}
+    at = 1_704_067_200_001
+    assert got == {10: (None, None), 11: (at, 1.5), 12: (at, 1.5)}
+
+
+def test_lookups_of_null_users_and_times_meet_nothing(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     from tidemark.plans import registry
 
@@ -399,7 +407,7 @@ def test_publish_lag_of_null_users_and_times_meets_nothing(spark, tmp_path):
     d = _events_table(spark, tmp_path, data)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
-    for name in ("p07_publish_lag",):
+    for name in ("p07_publish_lag", "j07_asof_backward"):
         want = con.execute(registry.oracle_sql()[name]).fetchall()
         got = [tuple(r) for r in registry.queries()[name](spark, d).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4

@@ -99,7 +99,7 @@ def w35_future_extreme(spark, d):
 
 @query(f"WITH o AS ({_INTEREST}), q AS ({_DECISIONS}) SELECT q.symbol, q.ts_ms, q.event_id, o.ts_ms AS obs_ms, $r(o.value) AS value FROM q ASOF LEFT JOIN (SELECT symbol, ts_ms, value FROM o) o ON o.symbol = q.symbol AND o.ts_ms <= q.ts_ms")
 def j07_asof_backward(spark, d):
-    return asof.backward(sql(spark, d, _DECISIONS), sql(spark, d, _INTEREST), ["value"]).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
+    return asof.backward(sql(spark, d, _DECISIONS), sql(spark, d, _timed(_INTEREST)), ["value"], order=_FULL_TIME).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
 
 
 @query(f"WITH o AS ({_INTEREST}), q AS (SELECT symbol, ts_ms, event_id, ts_ms - 3600000 AS cut FROM ({_DECISIONS}) z) SELECT q.symbol, q.ts_ms, q.event_id, $r(o.value) AS value FROM q ASOF LEFT JOIN o ON o.symbol = q.symbol AND o.ts_ms <= q.cut")
