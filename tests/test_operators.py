@@ -399,6 +399,14 @@ def test_asof_backward_takes_the_later_of_one_millisecond(spark, tmp_path):
     assert got == {10: (None, None), 11: (at, 1.5), 12: (at, 1.5)}
 
 
+def test_asof_forward_takes_the_earlier_of_one_millisecond(spark, tmp_path):
+    from tidemark.plans import engine
+
+    tied = [(i, us, u, kind, {9.0: 3.0, 2.0: 8.0}.get(v, v)) for i, us, u, kind, v in _TIED]
+    got = {r["event_id"]: (r["obs_ms"], r["value"]) for r in rows(engine.j09_asof_forward(spark, _events_table(spark, tmp_path, tied)))}
+    assert got == {10: (1_704_067_200_001, 3.0), 11: (None, None), 12: (None, None)}
+
+
 def test_lookups_of_null_users_and_times_meet_nothing(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     from tidemark.plans import registry
@@ -407,7 +415,7 @@ def test_lookups_of_null_users_and_times_meet_nothing(spark, tmp_path):
     d = _events_table(spark, tmp_path, data)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
-    for name in ("p07_publish_lag", "j07_asof_backward"):
+    for name in ("p07_publish_lag", "j07_asof_backward", "j09_asof_forward"):
         want = con.execute(registry.oracle_sql()[name]).fetchall()
         got = [tuple(r) for r in registry.queries()[name](spark, d).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4

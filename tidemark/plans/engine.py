@@ -109,7 +109,7 @@ def p07_publish_lag(spark, d):
 
 @query(f"WITH o AS ({_INTEREST}), q AS ({_DECISIONS}) SELECT q.symbol, q.ts_ms, q.event_id, o.ts_ms AS obs_ms, $r(o.value) AS value FROM q ASOF LEFT JOIN o ON o.symbol = q.symbol AND o.ts_ms >= q.ts_ms")
 def j09_asof_forward(spark, d):
-    return asof.forward(sql(spark, d, _DECISIONS), sql(spark, d, _INTEREST), ["value"]).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
+    return asof.forward(sql(spark, d, _DECISIONS), sql(spark, d, _timed(_INTEREST)), ["value"], order=_FULL_TIME).select("symbol", "ts_ms", "event_id", "obs_ms", r("value").alias("value"))
 
 
 _BOUNDED = f"""o AS (SELECT symbol, ts_ms, value, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms, value) AS i FROM ({_INTEREST}) z),
