@@ -412,10 +412,13 @@ def test_lookups_of_null_users_and_times_meet_nothing(spark, tmp_path):
     from tidemark.plans import registry
 
     data = [(1, 0, None, "purchase", 7.0), (2, 7_200_000_000, None, "error", 1.0), (3, None, 0, "purchase", 8.0), (4, 7_200_000_000, 0, "error", 1.0), (5, None, 0, "error", 1.0), (6, 0, 1, "purchase", 6.0), (7, 7_200_000_000, 1, "error", 1.0)]
+    data += [(100 + i, 100 * 3_600_000_000 + i * 1_000_000 if i else 0, 2, "purchase", 10.0) for i in range(20)] + [(300 + i, None, 2, "purchase", 50.0) for i in range(9)]
+    data += [(400, 110 * 3_600_000_000, 2, "purchase", 20.0), (401, 111 * 3_600_000_000, 2, "error", 1.0)]
     d = _events_table(spark, tmp_path, data)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
-    for name in ("p07_publish_lag", "j07_asof_backward", "j09_asof_forward"):
+    for name in ("p07_publish_lag", "j07_asof_backward", "j09_asof_forward", "c04_derivative_score"):
         want = con.execute(registry.oracle_sql()[name]).fetchall()
         got = [tuple(r) for r in registry.queries()[name](spark, d).collect()]
-        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 5
+    assert [r[3] for r in got if r[2] == 401] == [0]  # 21 observations are too few, nine of null times don't help

@@ -131,7 +131,8 @@ def j08_bounded_changes(spark, d):
  CASE WHEN c24 IS NOT NULL AND c72 IS NOT NULL AND ratio IS NOT NULL THEN 'ok' WHEN c24 IS NOT NULL OR c72 IS NOT NULL OR ratio IS NOT NULL THEN 'partial' ELSE 'failed' END AS deriv_status FROM j2""")
 def c04_derivative_score(spark, d):
     """Points and status at decision times."""
-    interest = sql(spark, d, _INTEREST)
+    # In the SQL null times stand last, so no observation that a decision can meet counts them.
+    interest = sql(spark, d, _INTEREST).where("symbol IS NOT NULL AND ts_ms IS NOT NULL")
     changes = asof.bounded_changes(interest, "value", 200, 25, valid=F.col("value") > 5, place="place").where("n_valid > 0")
     first = asof.backward(sql(spark, d, _DECISIONS), changes, ["chg_24", "chg_72"], order=["place"]).drop("obs_ms")
     both = asof.backward(first, sql(spark, d, _timed(_RATIOS)), ["ratio"], order=_FULL_TIME)
